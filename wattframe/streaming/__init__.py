@@ -1,0 +1,5 @@
+"""No stream operators live here: the source system is batch only.
+
+The row-wise functions of :mod:`wattframe.functions` are plain column expressions, so they also apply to a
+DataFrame from ``readStream`` without change.
+"""
