@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wattframe.functions import calendar
 from wattframe.operators.relational import median_ratio
@@ -21,25 +22,23 @@ def disaggregate(monthly: DataFrame, profile: DataFrame, total: str, keys: tuple
 
     A missing weight falls back to the mean weight of that hour in the month, then to the month's mean; negative
     weights count as 0 and a month without positive weight is spread evenly. The month total is conserved.
-    A month has at most 744 hours, so the per-month sums are small groups.
+    The hourly shares depend on the calendar month alone, so they are made once per month (at most 744 rows each)
+    and then joined with however many totals there are.
     """
-    k = [*keys, year, month]
-    grid = calendar.month_hours(monthly.select(*k, total), year, month)
+    months = monthly.select(year, month).distinct()
     parts = calendar.parts("ts")
-    grid = grid.withColumns({"_m": parts["month"], "dow": parts["dow"], "hour": parts["hour"]})
+    grid = calendar.month_hours(months, year, month).withColumns(
+        {"_m": parts["month"], "dow": parts["dow"], "hour": parts["hour"]})
     prof = profile.select(F.col("month").alias("_m"), "dow", "hour", "weight")
-    g = grid.join(prof, ["_m", "dow", "hour"], "left")
-    by_hour = g.groupBy(*k, "hour").agg(F.avg("weight").alias("_wh"), F.count_if(F.col("weight").isNull()).alias("_miss"),
-                                        F.sum("weight").alias("_sw"), F.count("*").alias("_n"))
-    # the month mean runs over the weights already filled from their hour
-    by_month = by_hour.groupBy(*k).agg(
-        (F.sum(F.when(F.col("_wh").isNotNull(), F.col("_sw") + F.col("_miss") * F.col("_wh")))
-         / F.sum(F.when(F.col("_wh").isNotNull(), F.col("_n")))).alias("_wm"))
-    w = (g.join(by_hour.select(*k, "hour", "_wh"), [*k, "hour"]).join(by_month, k)
-         .withColumn("_w", F.greatest(F.coalesce("weight", "_wh", "_wm", F.lit(0.0)), F.lit(0.0))))
-    sums = w.groupBy(*k).agg(F.sum("_w").alias("_s"), F.count("*").alias("_hours"))
-    share = F.when(F.col("_s") > 0, F.col("_w") / F.col("_s")).otherwise(1.0 / F.col("_hours"))
-    return w.join(sums, k).select(*k, "ts", (share * F.col(total) * factor).alias(name))
+    in_hour, in_month = W.partitionBy(year, month, "hour"), W.partitionBy(year, month)
+    w = (grid.join(prof, ["_m", "dow", "hour"], "left").repartition(year, month)
+         .withColumn("_w", F.coalesce("weight", F.avg("weight").over(in_hour)))
+         .withColumn("_w", F.greatest(F.coalesce("_w", F.avg("_w").over(in_month), F.lit(0.0)), F.lit(0.0)))
+         .withColumn("_s", F.sum("_w").over(in_month)).withColumn("_n", F.count("*").over(in_month)))
+    share = F.when(F.col("_s") > 0, F.col("_w") / F.col("_s")).otherwise(1.0 / F.col("_n"))
+    shares = w.select(year, month, "ts", share.alias("_share"))
+    return (monthly.select(*keys, year, month, total).join(shares, [year, month])
+            .select(*keys, year, month, "ts", (F.col("_share") * F.col(total) * factor).alias(name)))
 
 
 def fallback_source(df: DataFrame, primary: str, secondary: str, name: str, tags: tuple[str, str]) -> DataFrame:
