@@ -7,7 +7,7 @@ the result is the exact linear-interpolation quantile.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +39,12 @@ def sliced_values(df: DataFrame, keys: Sequence[str], value: str, slices: int =
     return tagged.join(offsets, [*keys, "slice"])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group; ``probs`` maps a result column to its level."""
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at fractional 0-based ranks per group; each entry maps the group size to a rank."""
     s = sliced_values(df, keys, value)
-    rank = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in probs.items()}
-    wanted = [r for x in rank.values() for r in (F.floor(x), F.ceil(x))]
+    rank = {name: fn(F.col("n")) for name, fn in ranks.items()}
     hit = F.lit(False)
-    for r in wanted:
+    for r in [r for x in rank.values() for r in (F.floor(x), F.ceil(x))]:
         hit = hit | ((r >= F.col("off")) & (r < F.col("off") + F.col("_rows")))
     w = W.partitionBy(*keys, "slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     picked = s.filter(hit).withColumn("_end", F.col("off") + F.sum("c").over(w))
@@ -64,6 +63,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     return got.select(*keys, "n", *out)
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles per group; ``probs`` maps a result column to its level."""
+    return order_statistics(df, keys, value, {name: (lambda n, p=p: F.lit(float(p)) * (n - 1)) for name, p in probs.items()})
+
+
 def cumulative_share(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per distinct value: how many rows are at or above it, and their share of the group (exceedance)."""
     s = sliced_values(df, keys, value)
