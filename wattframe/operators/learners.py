@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -26,7 +27,12 @@ def fit_gbt(train: DataFrame, features: Sequence[str], target: str, weight: str
         gbt = gbt.setWeightCol(weight)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     cols = [*features, target, *([weight] if weight else [])]
-    return Pipeline(stages=[assembler, gbt]).fit(train.select(*cols).na.drop())
+    # boosting passes over its input several times; the cache spills to disk and is rebuilt if an executor is lost
+    rows = train.select(*cols).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[assembler, gbt]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -87,6 +93,7 @@ def lag_gbt(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: int, hor
 
 def rolling_origin(panel: DataFrame, folds: Sequence[tuple], row: Column, features: Sequence[str], target: str, by: Sequence[str] = (), **params) -> DataFrame:
     """Refit per fold (train before, test inside) and score each; ``folds`` holds (fold, test_from, test_to)."""
+    panel = cut_lineage(panel)  # the feature table is made once for all folds
     parts = None
     for fold, a, b in folds:
         scored = direct(panel.filter(row < a), panel.filter((row >= a) & (row < b)), features, target, **params)
@@ -97,6 +104,7 @@ def rolling_origin(panel: DataFrame, folds: Sequence[tuple], row: Column, featur
 
 def tune(train: DataFrame, val: DataFrame, features: Sequence[str], target: str, grid: Sequence[Mapping]) -> tuple[DataFrame, PipelineModel]:
     """Score every parameter map on the validation rows; refit the best on train and validation together."""
+    train, val = cut_lineage(train), cut_lineage(val)
     rows = None
     for i, params in enumerate(grid):
         scored = direct(train, val, features, target, **params)

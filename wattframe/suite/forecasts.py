@@ -47,16 +47,14 @@ def linear_trend(v):
 
 
 def _holt_frame(v):
-    s = dense(v).withColumn("idx", F.col("pos"))
     s = panel.with_row_index(v.dense, R, ["ts"], F.col("ts").cast("date"))
     return s, fc.single_cutoff(s, R, F.floor(F.count("*") * F.lit(0.8)))
 
 
 _HOLT = """s as (select region_id, y, row_number() over (partition by region_id order by ts) - 1 as i, count(*) over (partition by region_id) as n from fx_hourly_dense),
   g as (select a / 10.0::double as alpha, b / 10.0::double as beta from (select unnest({a}) as a) x cross join (select unnest({b}) as b) y),
-  h as (select s0.region_id, alpha, beta, s0.n, 1::bigint as i, s0.y as l, s1.y - s0.y as b, 0.0::double as sse from s s0 join s s1 on s0.region_id = s1.region_id and s0.i = 0 and s1.i = 1
-    cross join g where false
-    union all select region_id, alpha, beta, n, 0, y, b0, 0.0 from (select s0.region_id, alpha, beta, s0.n, s0.y, s1.y - s0.y as b0 from s s0 join s s1 on s0.region_id = s1.region_id and s0.i = 0 and s1.i = 1 cross join g) z
+  h as (select s0.region_id, alpha, beta, s0.n, 0::bigint as i, s0.y as l, s1.y - s0.y as b, 0.0::double as sse
+    from s s0 join s s1 on s0.region_id = s1.region_id and s0.i = 0 and s1.i = 1 cross join g
     union all select h.region_id, alpha, beta, h.n, h.i + 1, alpha * s.y + (1 - alpha) * (h.l + h.b),
       beta * (alpha * s.y + (1 - alpha) * (h.l + h.b) - h.l) + (1 - beta) * h.b, h.sse + (s.y - h.l - h.b) ** 2
     from h join s on s.region_id = h.region_id and s.i = h.i + 1 where h.i + 1 < floor(h.n * 0.8::double))"""
@@ -200,11 +198,11 @@ _HALF = "val as (select * from fx_preds where ts < timestamp '2024-01-20'), test
 
 @query("m17_conformal_band", f"""
 with {_HALF}, q as (select region_id, model, quantile_cont(abs(y_true - y_pred), 0.9) as q from val group by 1, 2)
-select region_id, model, ts, round(y_pred - q, 5) as lo, round(y_pred + q, 5) as hi from test join q using (region_id, model)""")
+select region_id, model, ts, round(y_pred - q, 6) as lo, round(y_pred + q, 6) as hi from test join q using (region_id, model)""")
 def conformal_band(v):
     val, test = _halves(v)
     b = fc.conformal_band(val, test, ["region_id", "model"])
-    return rounded(b.select("region_id", "model", "ts", "lo", "hi"), 5)
+    return rounded(b.select("region_id", "model", "ts", "lo", "hi"), 6)
 
 
 @query("m17_conformal_finite_sample", f"""

@@ -1 +1,315 @@
-"""Registered queries."""
+"""Queries of the composed jobs."""
+
+from pyspark.sql import functions as F
+
+from wattframe.operators import quality
+from wattframe.plans import balance, demand, market, site
+from wattframe.sources.tables import build_manifest
+from wattframe.suite import checks, decompositions as deco, resources as res
+from wattframe.suite.forecasts import SMALL
+from wattframe.suite.panels import R
+from wattframe.suite.registry import query, rounded
+from wattframe.suite.shapes import GRID_SQL
+from wattframe.suite.views import LOCATIONS
+
+
+def _target():
+    return F.col("region_id") == "view"
+
+
+# --- balance ----------------------------------------------------------------------------------------------
+
+_LONG = "g as (" + GRID_SQL.strip().replace("\nwith", "with") + """),
+long as (select sheet as year, 'TJ' as unit, section, line_item, fuel, fuel_group, value from (
+  select *, row_number() over (partition by sheet, line_item, fuel order by row_idx, col_idx) as k from g) t where k = 1)"""
+
+
+def _balance(v):
+    cells = v.cells.withColumnRenamed("sheet", "year").withColumn("unit", F.lit("TJ"))
+    return balance.build_balance(cells, "year", "unit", group_lines=["A (+)", "N (+)"])
+
+
+@query("p1_balance_long", f"with {_LONG} select year, unit, section, line_item, fuel, fuel_group, round(value, 2) as value from long")
+def balance_long(v):
+    return rounded(_balance(v)["balance_long"], 2)
+
+
+@query("p1_balance_by_group", f"""
+with {_LONG} select year, unit, fuel_group, line_item, round(sum(value), 2) as value from long where line_item in ('A (+)', 'N (+)') group by 1, 2, 3, 4""")
+def balance_by_group(v):
+    return rounded(_balance(v)["by_fuel_group"], 2)
+
+
+@query("p1_balance_quality", f"""
+with {_LONG} select 'rows by year,unit' as section, concat_ws('/', year, unit) as item, count(*) as n from long group by 2
+union all select 'rows by section', concat_ws('/', section), count(*) from long group by 2
+union all select 'distinct', 'line_item', count(distinct line_item) from long union all select 'distinct', 'fuel_group', count(distinct fuel_group) from long
+union all select 'distinct', 'fuel', count(distinct fuel) from long""")
+def balance_quality(v):
+    return _balance(v)["quality"]
+
+
+@query("p1_balance_wide", """
+with t as (select line_item, yr, fuel_group, sum(value) as value from fx_balance_long where unit = 'TJ' group by 1, 2, 3)
+select line_item, """ + ", ".join(
+    f"round(sum(value) filter (yr = {y} and fuel_group = '{g}'), 2) as \"{y}__{g.lower()}\""
+    for y in range(1995, 2002) for g in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " from t group by 1")
+def balance_wide(v):
+    long = v.balance_long.withColumn("year", F.col("yr")).withColumn("fuel", F.col("fuel_group"))
+    return rounded(balance.balance_wide(long, "TJ"), 2)
+
+
+# --- market and series ------------------------------------------------------------------------------------
+
+def _raw_market(v):
+    k, day = F.col("event_id"), F.col("ts").cast("date")
+    north = F.col("event_type").isin("view", "click")
+    name = F.concat(F.lit("Январь 2024 "), F.when(north, "Север-Юг").otherwise("Запад"), F.lit(" "), F.col("event_type"), F.lit(".xlsx"))
+    hour = F.hour("ts")
+    return v.t("events").select(
+        name.alias("file_name"), F.when(north, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yyyy")).alias("date_txt"),
+        F.concat_ws("-", hour.cast("string"), ((hour + 1) % 24).cast("string")).alias("hour_txt"),
+        F.when(k % 2 == 0, " Up").otherwise("down ").alias("direction"),
+        F.when(k % 25 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("payment"))
+
+
+@query("p2_market_monthly", """
+select 2024::int as year, 1::int as month, case when event_type in ('view', 'click') then 'North-South' else 'West' end as zone, count(*) as rows,
+  round(sum(case when event_id % 25 <> 0 then value else 0 end), 2) as total_payment from events group by 3""")
+def market_monthly(v):
+    m = market.build_market_hourly(_raw_market(v), {"up": "up", "down": "down"}, ["payment"])
+    return rounded(m["monthly"], 2)
+
+
+@query("p2_market_hourly", """
+select cast(ts as date) as date, cast(hour(ts) as int) as hour, case when event_id % 2 = 0 then 'up' else 'down' end as direction,
+  case when event_type in ('view', 'click') then 'North-South' else 'West' end as zone, count(*) as n, count(case when event_id % 25 <> 0 then 1 end) as n_paid
+from events group by 1, 2, 3, 4""")
+def market_hourly(v):
+    m = market.build_market_hourly(_raw_market(v), {"up": "up", "down": "down"}, ["payment"])
+    return m["hourly"].groupBy("date", "hour", "direction", "zone").agg(F.count("*").alias("n"), F.count("payment").alias("n_paid"))
+
+
+def _facts(v):
+    f = v.facts.select("yr", "metric", "value_bkwh", "source_year_report")
+    found = f.select("yr", (F.col("value_bkwh") + (F.col("yr") % 3) * 0.4).alias("value_bkwh"))
+    return balance.build_verified_balance(f, found, "yr", "metric", "value_bkwh", "source_year_report")
+
+
+@query("p3_verified_balance", """
+select yr::int as yr, round(max(value_bkwh) filter (metric = 'F'), 4) as "F", round(max(value_bkwh) filter (metric = 'O'), 4) as "O" from fx_facts group by 1""")
+def verified_balance(v):
+    return rounded(_facts(v)["wide"], 4)
+
+
+@query("p3_fact_audit", """
+with b as (select yr, value_bkwh + (yr % 3) * 0.4 as v from fx_facts)
+select yr::int as yr, metric, source_year_report::int as source_year_report, round(value_bkwh, 4) as value_bkwh,
+  exists (select 1 from b where b.yr = a.yr and abs(a.value_bkwh - b.v) <= 0.5) as confirmed from fx_facts a""")
+def fact_audit(v):
+    return rounded(_facts(v)["audit"], 4)
+
+
+def _countries(v):
+    m = v.monthly_zone.groupBy("yr", "zone").agg(F.sum("total").alias("gdp"), F.sum("n").alias("population"))
+    m = m.withColumn("gdp", F.when(F.col("yr") % 3 != 0, F.col("gdp")))
+    return balance.extract_country(m, "ASIA", 1997, ["year", "country", "gdp", "population", "co2"], ["gdp", "co2"],
+                                   ["ASIA", "EUROPE", "AFRICA", "AMERICA"], 1999, ("gdp", "population"), {"yr": "year", "zone": "country"})
+
+
+@query("p4_extract_country", """
+with m as (select yr, zone, case when yr % 3 <> 0 then sum(total) end as gdp, sum(n)::bigint as population from fx_monthly_zone group by 1, 2)
+select yr::int as year, zone as country, round(gdp, 2) as gdp, population, case when gdp is null then 1 else 0 end as gdp_missing_flag, 1 as co2_missing_flag
+from m where zone = 'ASIA' and yr >= 1997""")
+def extract_country(v):
+    return rounded(_countries(v)["country"], 2)
+
+
+@query("p4_peer_comparison", """
+with m as (select zone, sum(total) / sum(n) as per_capita from fx_monthly_zone where yr = 1999 and zone <> 'MIDDLE EAST' group by 1)
+select zone as country, round(per_capita, 4) as per_capita, rank() over (order by per_capita desc) as rank from m""")
+def peer_comparison(v):
+    return rounded(_countries(v)["peers"], 4)
+
+
+def _cleaned(v):
+    raw = checks.raw_series(v).drop("ts")
+    return market.clean_series(raw, ["series"], "txt", ["v"], "event_id")
+
+
+_CLEAN = f"""{checks.RAW_SQL}, good as (select series, ts, v from (select *, row_number() over (partition by series, ts order by event_id) as k
+  from flagged where v is not null and ts is not null) t where k = 1)"""
+
+
+@query("p5_clean_series", f"with {_CLEAN} select series, ts, v from good")
+def clean_series(v):
+    return _cleaned(v)["rows"]
+
+
+@query("p5_missing_hours", f"""
+with {_CLEAN}, e as (select series, min(ts) as a, max(ts) as z from good group by 1),
+g as (select series, unnest(generate_series(a, z, interval 1 hour)) as ts from e)
+select g.series, g.ts from g left join good using (series, ts) where good.v is null""")
+def missing_hours(v):
+    return _cleaned(v)["missing"]
+
+
+@query("p5_cleaning_report", checks.CLEANING_SQL)
+def cleaning_report(v):
+    return _cleaned(v)["report"]
+
+
+# --- demand -----------------------------------------------------------------------------------------------
+
+def _tables(v):
+    cap = v.daily.select(F.col("d").cast("timestamp_ntz").alias("ts"), F.lit("cf").alias("region_id"), (F.col("cf") - 0.3).alias("wind_cf"),
+                         F.col("cf").alias("solar_cf"))
+    macro = v.monthly_zone.groupBy(F.col("yr").alias("year"), F.col("zone").alias("region_id")).agg(F.sum("total").alias("industry_index"))
+    newer = macro.filter("year >= 2000").withColumn("industry_index", F.col("industry_index") * 2)
+    return demand.build_forecast_tables(v.load_wide, "ts", deco.two_sources(v), ("a", "b"), "KZ_SYSTEM", cap, [macro, newer])
+
+
+@query("p6_forecast_load", f"""
+with {deco.FALLBACK_SQL},
+prof as (select month(ts) as month, isodow(ts) - 1 as dow, hour(ts) as hour, avg(y) as weight from fx_hourly group by 1, 2, 3),
+dem as (select yr, mo, coalesce(a, b * ratio) as demand, case when a is not null then 'official' else 'scaled' end as source from w, r where coalesce(a, b) is not null),
+s as (select 'KZ_SYSTEM' as region_id, 'monthly_disaggregated_' || source as source, 1 as is_synthetic, sum(day(last_day(make_date(yr, mo, 1))) * 24)::bigint as n,
+  sum(demand) * 1000 as total from dem group by 2)
+select region_id, source, is_synthetic, n, round(total, 0) as total from s
+union all select region_id, 'measured', 0, count(*), round(sum(y), 0) from fx_hourly group by 1""")
+def forecast_load(v):
+    load = _tables(v)["load"]
+    return rounded(load.groupBy("region_id", "source", "is_synthetic").agg(F.count("*").alias("n"), F.sum("load_mw").alias("total")), 0)
+
+
+@query("p6_forecast_manifest", """
+with {0} select 'calendar' as tbl, '0' as grp, count(*) as n_rows, min(ts) as first_ts, max(ts) as last_ts from (
+  select distinct ts from (select ts from fx_hourly union all select ts from grid) a) b
+union all select 'weather', 'cf', count(*), min(cast(d as timestamp)), max(cast(d as timestamp)) from fx_daily
+union all select 'macro', zone, count(distinct yr), min(make_date(yr, 1, 1))::timestamp, max(make_date(yr, 1, 1))::timestamp from fx_monthly_zone group by 2""".format(
+    deco.FALLBACK_SQL + """, grid as (select unnest(generate_series(make_timestamp(yr, mo, 1, 0, 0, 0), cast(last_day(make_date(yr, mo, 1)) as timestamp)
+  + interval 23 hour, interval 1 hour)) as ts from w where coalesce(a, b) is not null)"""))
+def forecast_manifest(v):
+    t = _tables(v)
+    macro = t["macro"].withColumn("ts", F.make_date("year", F.lit(1), F.lit(1)))
+    return build_manifest({"calendar": (t["calendar"], "is_holiday", "ts"), "weather": (t["weather"], "region_id", "ts"), "macro": (macro, "region_id", "ts")})
+
+
+@query("p7_train_and_evaluate")
+def train_and_evaluate(v):
+    return rounded(demand.train_and_evaluate(v.dense.drop("is_filled"), R, "ts", "y", _target(), 24, **SMALL)["metrics"], 4)
+
+
+@query("p8_mirror_test")
+def mirror_test(v):
+    return rounded(demand.mirror_test(v.dense.drop("is_filled"), R, "ts", "y", _target(), 24, **SMALL)["metrics"], 4)
+
+
+def _compare(v, holt):
+    total = v.monthly_zone.withColumn("m", F.make_date("yr", "mo", F.lit(1))).select("zone", "m", "total")
+    return demand.walk_forward_compare(total, ["zone"], "m", F.trunc("m", "year"), "total", 3, 12, holt=holt)
+
+
+@query("p9_walk_forward_compare", """
+with ser as (select zone, row_number() over (partition by zone order by yr, mo) - 1 as idx, count(*) over (partition by zone) as n, total as y from fx_monthly_zone),
+cut as (select zone, n, s, unnest(range(s, n - 3 + 1)) as cutoff from (select zone, n, greatest(3, n - greatest(2, least(floor(n * 0.4::double), 12))::bigint - 3 + 1) as s
+  from (select distinct zone, n from ser) a where n >= 4) b),
+tgt as (select zone, n, cutoff, step, cutoff + step - 1 as idx from cut cross join (select unnest(range(1, 4)) as step) st),
+p as (select c.zone, c.cutoff, arg_max(y, idx) as last, avg(y) as mean, regr_slope(y, idx) as b, regr_intercept(y, idx) as a from cut c join ser s on s.zone = c.zone and s.idx < c.cutoff group by 1, 2),
+j as (select t.zone, c.y as y_true, last as persistence, mean, a + b * t.idx as trend, s.y as seasonal from tgt t join p using (zone, cutoff)
+  join ser c on c.zone = t.zone and c.idx = t.idx left join ser s on s.zone = t.zone and s.idx = t.idx - 12 * ceil(t.step / 12.0)),
+l as (unpivot j on persistence, mean, trend, seasonal into name model value y_pred),
+sc as (select zone, avg(abs(d)) as scale from (select s.zone, y - lag(y) over (partition by s.zone order by idx) as d from ser s join (select zone, max(cutoff) as last from cut group by 1) m
+  on m.zone = s.zone and s.idx < m.last) z group by 1)
+select zone, model, count(*) as n, round(avg(abs(y_true - y_pred)), 5) as mae, round(sqrt(avg((y_true - y_pred) ** 2)), 3) as rmse,
+  round(100 * avg(2 * abs(y_true - y_pred) / (abs(y_true) + abs(y_pred))), 6) as smape_pct, round(avg(abs(y_true - y_pred)) / max(scale), 6) as mase
+from l join sc using (zone) group by 1, 2""")
+def walk_forward_compare(v):
+    return rounded(rounded(_compare(v, False)["metrics"].drop("r2"), 3, "rmse"), 6, "smape_pct", "mase").withColumn("mae", F.round("mae", 5))
+
+
+@query("p9_walk_forward_tests")
+def walk_forward_tests(v):
+    return rounded(_compare(v, True)["comparison"], 6)
+
+
+@query("p10_daily_cf_compare")
+def daily_cf_compare(v):
+    return rounded(demand.daily_cf_compare(v.daily, "d", "cf", 14, **SMALL)["metrics"], 6)
+
+
+# --- weather, sites, dashboards, verification ---------------------------------------------------------------
+
+def _gridded(v):
+    w = v.weather.withColumns({"lat": 40.0 + F.col("loc") * 3, "lon": 50.0 + F.col("loc") * 8})
+    k = ["ts", "lat", "lon"]
+    return (w.groupBy(*k).agg(F.avg("u100").alias("u100"), F.avg("v100").alias("v100")),
+            w.groupBy(*k).agg(F.avg("t2m_k").alias("t2m_k"), F.avg("d2m_k").alias("d2m_k"), F.avg("ssrd").alias("ssrd")))
+
+
+@query("p11_weather_to_cf", """
+with w as (select ts, 40.0::double + loc * 3 as lat, 50.0::double + loc * 8 as lon, avg(u100) as u, avg(v100) as v, avg(t2m_k) - 273.15 as t,
+  greatest(avg(ssrd) / 3600, 0) as ghi from fx_weather group by 1, 2, 3),
+pts as (select distinct lat, lon from w),
+near as (select * from (select l.label, l.resource, p.lat, p.lon, row_number() over (partition by l.label
+  order by (p.lat - l.lat) ** 2 + (p.lon - l.lon) ** 2, p.lat, p.lon) as k from fx_locations l cross join pts p) z where k = 1),
+s as (select label, resource, ts, sqrt(u * u + v * v) as ws, t, ghi from w join near using (lat, lon))
+select label, resource, ts, round(ws, 6) as ws100, round(ghi, 5) as ghi_wm2,
+  round(case when resource = 'wind' then case when ws < 3 then 0 when ws < 12 then pow((ws - 3) / 9, 3) when ws <= 25 then 1 else 0 end end, 7) as cf_wind,
+  round(case when resource = 'solar' then least(greatest(ghi / 1000 * (1 - 0.004::double * t), 0), 1) end, 7) as cf_solar from s""")
+def weather_to_cf(v):
+    out = site.weather_to_cf(*_gridded(v), LOCATIONS).select("label", "resource", "ts", "ws100", "ghi_wm2", "cf_wind", "cf_solar")
+    return rounded(rounded(rounded(out, 6, "ws100"), 5, "ghi_wm2"), 7, "cf_wind", "cf_solar")
+
+
+def _verified(v):
+    accept = quality.acceptance(v.balance_long.filter("unit = 'TJ' and yr = 1998"), F.sum("value"), 3_132_269.0, "total")
+    return site.verify_all(
+        {"fx_balance_long": v.balance_long, "fx_facts": v.facts, "fx_hourly": v.hourly, "load": v.load_wide}, checks.FLOORS,
+        checks.parity_frames(v), ["zone", "d"], {"load": ["click_load_actual", "ts"]}, (v.hourly, R, "ts"), [accept])
+
+
+@query("p12_verification", f"""
+with {checks._PARITY_SQL}, par as (select case when s.n is not distinct from t.n and abs(coalesce(s.p, 0) - coalesce(t.p, 0)) < 1 then 'pass' else 'fail' end as severity
+  from s full join t on s.zone = t.zone and s.d = t.d),
+{checks.CHECKS_SQL}, total as (select severity from every union all select severity from par union all select 'fail' union all
+  select case when count(*) > count(ts) then 'fail' else 'pass' end from fx_load_wide)
+select case when count(*) filter (severity = 'fail') > 0 then 'FAIL' else 'PASS' end as status, count(*) filter (severity = 'fail') as n_fail,
+  count(*) filter (severity = 'warn') as n_warn, count(*) filter (severity = 'pass') as n_pass from total""")
+def verification(v):
+    return _verified(v)["verdict"]
+
+
+@query("p13_dashboards", """
+with one as (select * from fx_balance_long where unit = 'TJ' and line_item = 'N' and fuel_group <> 'PROMO'),
+mix as (select fuel_group, sum(value) as v from one where yr = 1998 group by 1)
+select 'overview' as page, 'total by year' as series, cast(yr as varchar) as item, round(sum(value), 2) as value from one group by 3
+union all select 'overview', 'fuel mix pct', fuel_group, round(100 * v / sum(v) over (), 6) from mix
+union all select 'demand', 'hour profile', concat_ws('/', zone, hr), round(avg(payment), 6) from fx_market group by 3
+union all select 'demand', 'weekday profile', concat_ws('/', zone, isodow(d) - 1), round(avg(payment), 6) from fx_market group by 3
+union all select 'generation', 'balance', cast(yr as varchar), round(production - consumption, 2) from fx_prod_cons
+union all select 'generation', 'latest production', cast(yr as varchar), round(production, 2) from fx_prod_cons where yr = (select max(yr) from fx_prod_cons)
+union all select 'forecast', 'mae', model, round(avg(abs(y_true - y_pred)), 6) from fx_preds group by 3""")
+def dashboards(v):
+    d = site.dashboard_queries(v.balance_long, v.market, v.prod_cons, v.preds, "TJ", "N", "PROMO", 1998)
+    money = F.col("series").isin("total by year", "balance", "latest production")
+    return d.withColumn("value", F.when(money, F.round("value", 2)).otherwise(F.round("value", 6)))
+
+
+def _study(v):
+    return site.site_study(v.sites, "site", deco.WEIGHTS, deco.BENEFIT, res._temps(v), ["loc"], "ts", "t", res.site_cost(v))
+
+
+@query("p14_site_ranking", f"""
+with {deco.TOPSIS_SQL}, t as (select site, capex, mw * 1000 * 8760 * tariff / 1e6 as opex from {res._SITE_COST} c)
+select d.site, round(d_minus / (d_plus + d_minus), 8) as closeness, rank() over (order by d_minus / (d_plus + d_minus) desc) as rank,
+  round(capex + opex * 10 + 60, 5) as stacked from d join t using (site)""")
+def site_ranking(v):
+    s = _study(v)
+    out = s["ranking"].join(s["tco"], "site").select("site", "closeness", "rank", "stacked")
+    return rounded(rounded(out, 8, "closeness"), 5, "stacked")
+
+
+@query("p14_site_efficiency", res.PUE_SQL)
+def site_efficiency(v):
+    return rounded(_study(v)["pue"], 8)

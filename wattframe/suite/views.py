@@ -323,6 +323,8 @@ def with_views(sql: str) -> str:
     if not names:
         return body
     ctes = ",\n".join(f"{n} as ({VIEW_SQL[n]})" for n in names)
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
