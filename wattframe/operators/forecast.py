@@ -68,27 +68,38 @@ def with_actuals(preds: DataFrame, series: DataFrame, keys: Sequence[str], pos:
 
 # --- Holt smoothing as a scan over chunks ------------------------------------------------------------------
 
-def _chunk_summary(ys: Column) -> Column:
-    """Fold a chunk with an unknown start state (l0, b0).
+PARTS = ("l1", "l2", "lq", "b1", "b2", "bq", "rr", "r1", "r2", "v11", "v12", "v22")
 
-    The state is linear in the start, l = pl.(l0, b0) + ql and b = pb.(l0, b0) + qb, and so is each one-step error;
-    the squared errors are then a quadratic form in (l0, b0). Chunks can thus be folded in parallel.
+
+def _chunk_summaries(alphas: Sequence[float], betas: Sequence[float]):
+    """Fold a chunk with an unknown start state (l0, b0), for all parameter pairs at once.
+
+    The state is linear in the start, l = l1 l0 + l2 b0 + lq and b = b1 l0 + b2 b0 + bq, and so is each one-step
+    error; the squared errors are then a quadratic form in (l0, b0). Chunks can thus be folded in parallel.
     """
-    names = ("l1", "l2", "lq", "b1", "b2", "bq", "rr", "r1", "r2", "v11", "v12", "v22")
-    start = F.struct(*[F.lit(1.0 if n in ("l1", "b2") else 0.0).alias(n) for n in names])
-    alpha, beta = F.col("alpha"), F.col("beta")
+    a, bt = (g.ravel() for g in np.meshgrid(np.asarray(alphas, float), np.asarray(betas, float), indexing="ij"))
+
+    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+    def fold(chunks: pd.Series) -> pd.Series:
+        return pd.Series([_fold_chunk(np.asarray(ys, float), a, bt) for ys in chunks])
+
+    return fold
 
-    def step(s, y):
-        v1, v2 = s["l1"] + s["b1"], s["l2"] + s["b2"]
-        r = y - s["lq"] - s["bq"]
-        ab = alpha * beta
-        new = {"l1": v1 - alpha * v1, "l2": v2 - alpha * v2, "lq": s["lq"] + s["bq"] + alpha * r,
-               "b1": s["b1"] - ab * v1, "b2": s["b2"] - ab * v2, "bq": s["bq"] + ab * r,
-               "rr": s["rr"] + r * r, "r1": s["r1"] + r * v1, "r2": s["r2"] + r * v2,
-               "v11": s["v11"] + v1 * v1, "v12": s["v12"] + v1 * v2, "v22": s["v22"] + v2 * v2}
-        return F.struct(*[new[n].alias(n) for n in names])
 
-    return F.aggregate(ys, start, step)
+def _fold_chunk(ys: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> list[list[float]]:
+    level = np.zeros((3, len(alpha)))  # coefficients of l0, b0 and 1
+    trend = np.zeros_like(level)
+    level[0], trend[1] = 1.0, 1.0
+    square = np.zeros((3, 3, len(alpha)))
+    for y in ys:
+        ahead = level + trend
+        err = -ahead
+        err[2] += y
+        square += err[:, None, :] * err[None, :, :]
+        level = ahead + alpha * err
+        trend = trend + alpha * beta * err
+    rows = [alpha, beta, *level, *trend, square[2, 2], -square[2, 0], -square[2, 1], square[0, 0], square[0, 1], square[1, 1]]
+    return np.stack(rows, axis=1).tolist()
 
 
 def holt_states(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], pos: str, y: str,
@@ -99,9 +110,9 @@ def holt_states(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], pos:
     head = segs.filter(p <= 1).groupBy(*keys).agg(F.max(F.when(p == 0, v)).alias("_y0"), F.max(F.when(p == 1, v)).alias("_y1"))
     blocks = (segs.filter(p >= 1).groupBy(*keys, "_seg", F.floor(p / chunk).alias("_k"))
               .agg(F.transform(F.array_sort(F.collect_list(F.struct(p.alias("p"), v.alias("y")))), lambda r: r["y"]).alias("_ys")))
-    pairs = F.lit([float(a) for a in alphas]), F.lit([float(b) for b in betas])
-    grid = (blocks.withColumn("alpha", F.explode(pairs[0])).withColumn("beta", F.explode(pairs[1]))
-            .select(*keys, "alpha", "beta", F.struct("_seg", "_k", _chunk_summary(F.col("_ys")).alias("s")).alias("_c")))
+    rows = blocks.select(*keys, "_seg", "_k", F.explode(_chunk_summaries(alphas, betas)("_ys")).alias("_r"))
+    grid = rows.select(*keys, F.col("_r")[0].alias("alpha"), F.col("_r")[1].alias("beta"), F.struct(
+        "_seg", "_k", F.struct(*[F.col("_r")[i + 2].alias(n) for i, n in enumerate(PARTS)]).alias("s")).alias("_c"))
     per = grid.groupBy(*keys, "alpha", "beta").agg(F.array_sort(F.collect_list("_c")).alias("_cs")).join(head, list(keys))
     per = per.join(cutoffs.select(*keys, "fold", "cutoff"), list(keys))
     start = F.struct(F.col("_y0").alias("l"), (F.col("_y1") - F.col("_y0")).alias("b"), F.lit(0.0).alias("sse"))

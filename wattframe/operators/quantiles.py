@@ -13,26 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SLICES = 256
+from wattframe.session import cut_lineage
 
+STEP = 16
+SLICES = STEP * STEP
 
-def _slice_number(value: str, bounds: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b < F.col(value)))
+
+def _slice_number(value: str, bounds: Column, coarse: Column) -> Column:
+    """Number of sorted bounds below the value, by a coarse pass over every STEP-th bound and one inside the step."""
+    x = F.col(value)
+    i = F.size(F.filter(coarse, lambda b: b < x)) * STEP
+    return i + F.size(F.filter(F.slice(bounds, i + 1, STEP), lambda b: b < x))
 
 
 def sliced_values(df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
-    """Distinct values with counts, a slice number, and the rows before the slice: keys, value, c, slice, off, n."""
+    """Distinct values with counts, a slice number, and the rows before the slice: keys, value, c, slice, off, n.
+
+    The sliced table is saved in the checkpoint folder before its slices are counted: a float that is computed twice
+    may differ in its last bit, and the counts and the rows have to agree.
+    """
     vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     probes = F.lit([i / slices for i in range(1, slices)])
-    cuts = vals.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probes, F.lit(10_000))).alias("_cuts"),
-                                   F.sum("c").alias("n"))
+    cuts = (vals.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probes, F.lit(10_000))).alias("_cuts"),
+                                    F.sum("c").alias("n"))
+            .withColumn("_coarse", F.filter("_cuts", lambda b, i: i % STEP == STEP - 1)))
+    number = _slice_number(value, F.col("_cuts"), F.col("_coarse")).alias("slice")
     if keys:
-        tagged = vals.join(cuts, list(keys)).withColumn("slice", _slice_number(value, F.col("_cuts")))
+        tagged = vals.join(cuts, list(keys))
     else:
-        both = cuts.select(F.struct("_cuts", "n")).scalar()
-        tagged = (vals.withColumn("_s", both).withColumn("n", F.col("_s.n"))
-                  .withColumn("slice", _slice_number(value, F.col("_s._cuts"))).drop("_s"))
-    tagged = tagged.select(*keys, value, "c", "n", "slice")
+        tagged = vals.withColumn("_s", cuts.select(F.struct("_cuts", "_coarse", "n")).scalar()).select("*", "_s.*")
+    tagged = cut_lineage(tagged.select(*keys, value, "c", "n", number))
     sizes = tagged.groupBy(*keys, "slice").agg(F.sum("c").alias("_rows"))
     w = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "slice", "_rows", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("off"))
@@ -79,7 +89,11 @@ def cumulative_share(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", ascending: bool = False) -> DataFrame:
-    """SQL ``rank()`` by value inside the group, without sorting the group in one task."""
+    """SQL ``rank()`` by value inside the group, without sorting the group in one task.
+
+    Ranks are joined back on the value, so the table is saved first: the value must not be computed twice.
+    """
+    df = cut_lineage(df)
     c = cumulative_share(df, keys, value)
     totals = c.groupBy(*keys).agg(F.max("n_at_or_above").alias("_n")) if keys else None
     if ascending:

@@ -175,11 +175,11 @@ prof as (select month(ts) as month, isodow(ts) - 1 as dow, hour(ts) as hour, avg
 dem as (select yr, mo, coalesce(a, b * ratio) as demand, case when a is not null then 'official' else 'scaled' end as source from w, r where coalesce(a, b) is not null),
 s as (select 'KZ_SYSTEM' as region_id, 'monthly_disaggregated_' || source as source, 1 as is_synthetic, sum(day(last_day(make_date(yr, mo, 1))) * 24)::bigint as n,
   sum(demand) * 1000 as total from dem group by 2)
-select region_id, source, is_synthetic, n, round(total, 0) as total from s
-union all select region_id, 'measured', 0, count(*), round(sum(y), 0) from fx_hourly group by 1""")
+select region_id, source, is_synthetic, n, round(total / 1e6, 3) as total from s
+union all select region_id, 'measured', 0, count(*), round(sum(y) / 1e6, 3) from fx_hourly group by 1""")
 def forecast_load(v):
     load = _tables(v)["load"]
-    return rounded(load.groupBy("region_id", "source", "is_synthetic").agg(F.count("*").alias("n"), F.sum("load_mw").alias("total")), 0)
+    return rounded(load.groupBy("region_id", "source", "is_synthetic").agg(F.count("*").alias("n"), (F.sum("load_mw") / 1e6).alias("total")), 3)
 
 
 @query("p6_forecast_manifest", """
