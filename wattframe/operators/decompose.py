@@ -82,11 +82,11 @@ def sup_f(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, value:
     ssr1 = left + right
     f = (ssr0 - ssr1) / (ssr1 / (n - 2))
     cand = run.filter((k >= trim) & (k <= n - trim) & (n > 2)).select(
-        *keys, k.cast("bigint").alias("k"), F.col(order).alias("at"), F.when(ssr1 > 0, f).alias("f"),
+        *keys, k.cast("bigint").alias("_at_k"), F.col(order).alias("_at"), F.when(ssr1 > 0, f).alias("_f"),
         (F.col("_m") + s / k).alias("mean_before"), (F.col("_m") - s / (n - k)).alias("mean_after"))
-    best = F.max_by(F.struct("k", "at", "f", "mean_before", "mean_after"), F.struct(F.col("f"), (-F.col("k")).alias("_k")))
+    best = F.max_by(F.struct("_at_k", "_at", "_f", "mean_before", "mean_after"), F.struct(F.col("_f"), (-F.col("_at_k")).alias("_k")))
     return (cand.groupBy(*keys).agg(best.alias("_b"))
-            .select(*keys, F.col("_b.at").alias("break_at"), F.col("_b.k").alias("n_before"), F.col("_b.f").alias("sup_f"),
+            .select(*keys, F.col("_b._at").alias("break_at"), F.col("_b._at_k").alias("n_before"), F.col("_b._f").alias("sup_f"),
                     F.col("_b.mean_before").alias("mean_before"), F.col("_b.mean_after").alias("mean_after")))
 
 
