@@ -26,38 +26,35 @@ def _slice_number(value: str, bounds: Column, coarse: Column) -> Column:
     return i + F.size(F.filter(F.slice(bounds, i + 1, STEP), lambda b: b < x))
 
 
-def sliced_values(df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
-    """Distinct values with counts, a slice number, and the rows before the slice: keys, value, c, slice, off, n.
+def sliced_values(df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
+    """Distinct values with counts and a slice number, and per (group, slice) the rows in it, before it and in all.
 
-    The sliced table is saved in the checkpoint folder before its slices are counted: a float that is computed twice
-    may differ in its last bit, and the counts and the rows have to agree.
+    The split points are those of the whole value range, one array for all groups, so tagging needs no join and no
+    (group, slice) is larger than a slice of the range. The tagged table is saved in the checkpoint folder before its
+    slices are counted: a float that is computed twice may differ in its last bit, and counts and rows have to agree.
     """
     vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     probes = F.lit([i / slices for i in range(1, slices)])
-    cuts = (vals.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probes, F.lit(10_000))).alias("_cuts"),
-                                    F.sum("c").alias("n"))
-            .withColumn("_coarse", F.filter("_cuts", lambda b, i: i % STEP == STEP - 1)))
-    number = _slice_number(value, F.col("_cuts"), F.col("_coarse")).alias("slice")
-    if keys:
-        tagged = vals.join(cuts, list(keys))
-    else:
-        tagged = vals.withColumn("_s", cuts.select(F.struct("_cuts", "_coarse", "n")).scalar()).select("*", "_s.*")
-    tagged = cut_lineage(tagged.select(*keys, value, "c", "n", number))
+    cuts = vals.agg(F.array_distinct(F.percentile_approx(value, probes, F.lit(10_000))).alias("cuts")).select(
+        F.struct("cuts", F.filter("cuts", lambda b, i: i % STEP == STEP - 1).alias("coarse")))
+    number = _slice_number(value, F.col("_s.cuts"), F.col("_s.coarse")).alias("slice")
+    tagged = cut_lineage(vals.withColumn("_s", cuts.scalar()).select(*keys, value, "c", number))
     sizes = tagged.groupBy(*keys, "slice").agg(F.sum("c").alias("_rows"))
-    w = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "slice", "_rows", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("off"))
-    return tagged.join(offsets, [*keys, "slice"])
+    w = W.partitionBy(*keys).orderBy("slice")
+    return tagged, sizes.select(
+        *keys, "slice", "_rows", F.coalesce(F.sum("_rows").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"),
+        F.sum("_rows").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Values at fractional 0-based ranks per group; each entry maps the group size to a rank."""
-    s = sliced_values(df, keys, value)
+    tagged, slices = sliced_values(df, keys, value)
     rank = {name: fn(F.col("n")) for name, fn in ranks.items()}
     hit = F.lit(False)
     for r in [r for x in rank.values() for r in (F.floor(x), F.ceil(x))]:
         hit = hit | ((r >= F.col("off")) & (r < F.col("off") + F.col("_rows")))
     w = W.partitionBy(*keys, "slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    picked = s.filter(hit).withColumn("_end", F.col("off") + F.sum("c").over(w))
+    picked = tagged.join(slices.filter(hit), [*keys, "slice"]).withColumn("_end", F.col("off") + F.sum("c").over(w))
 
     def at(r):
         return F.max(F.when((r < F.col("_end")) & (r >= F.col("_end") - F.col("c")), F.col(value)))
@@ -80,7 +77,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
 
 def cumulative_share(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per distinct value: how many rows are at or above it, and their share of the group (exceedance)."""
-    s = sliced_values(df, keys, value)
+    tagged, slices = sliced_values(df, keys, value)
+    s = tagged.join(slices, [*keys, "slice"])
     w = W.partitionBy(*keys, "slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     below = F.col("off") + F.coalesce(F.sum("c").over(w), F.lit(0))
     return (s.withColumn("_below", below)

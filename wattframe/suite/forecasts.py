@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wattframe.operators import forecast as fc, learners, metrics, panel, splits
+from wattframe.session import cut_lineage
 from wattframe.suite.calendars import FOLDS_SQL, fold_frame
 from wattframe.suite.panels import R, dense
 from wattframe.suite.registry import query, rounded
@@ -103,7 +104,7 @@ def feature_rows(v, horizon=H):
 
     s = splits.chronological_split(dense(v), R, "ts", F.col("ts").cast("date"))
     f = panel.feature_panel(s, R, "pos", "y", horizon)
-    return with_parts(f, "ts", ["hour", "dow"]).filter("target is not null and lag_168 is not null").drop("is_filled")
+    return cut_lineage(with_parts(f, "ts", ["hour", "dow"]).filter("target is not null and lag_168 is not null").drop("is_filled"))
 
 
 def transfer_frames(v, horizon=H):

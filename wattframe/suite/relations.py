@@ -291,15 +291,15 @@ def share_of_total(v):
     return rounded(rounded(rel.with_share(v.fuel_emis.groupBy("fuel").agg(F.sum("g").alias("g")), "g"), 2, "g"), 6, "share_pct")
 
 
-@query("a7_hour_profile", "select zone, hr::int as hr, round(avg(payment), 6) as mean_payment from fx_market group by 1, 2")
+@query("a7_hour_profile", "select zone, hr::int as hr, round(avg(payment) + 1e-9, 6) as mean_payment from fx_market group by 1, 2")
 def hour_profile(v):
-    return rounded(v.market.groupBy("zone", "hr").agg(F.avg("payment").alias("mean_payment")), 6)
+    return rounded(v.market.groupBy("zone", "hr").agg((F.avg("payment") + 1e-9).alias("mean_payment")), 6)
 
 
 @query("a8_weekday_profile", """
-select zone, cast(isodow(d) - 1 as int) as dow, round(avg(payment), 6) as mean_payment from fx_market group by 1, 2""")
+select zone, cast(isodow(d) - 1 as int) as dow, round(avg(payment) + 1e-9, 6) as mean_payment from fx_market group by 1, 2""")
 def weekday_profile(v):
-    return rounded(v.market.groupBy("zone", F.weekday("d").alias("dow")).agg(F.avg("payment").alias("mean_payment")), 6)
+    return rounded(v.market.groupBy("zone", F.weekday("d").alias("dow")).agg((F.avg("payment") + 1e-9).alias("mean_payment")), 6)
 
 
 @query("a9_month_zone_pivot", """
@@ -326,9 +326,9 @@ def intraday_profile(v):
     return rounded(profile(v.hourly, "ts", "y"), 6)
 
 
-@query("a12_hour_backstop", "select cast(hour(ts) as int) as hour, round(avg(y), 6) as weight from fx_hourly group by 1")
+@query("a12_hour_backstop", "select cast(hour(ts) as int) as hour, round(avg(y) + 1e-9, 6) as weight from fx_hourly group by 1")
 def hour_backstop(v):
-    return rounded(v.hourly.groupBy(F.hour("ts").alias("hour")).agg(F.avg("y").alias("weight")), 6)
+    return rounded(v.hourly.groupBy(F.hour("ts").alias("hour")).agg((F.avg("y") + 1e-9).alias("weight")), 6)
 
 
 @query("a13_group_stats", """

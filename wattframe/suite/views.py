@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from wattframe.operators import panel
+from wattframe.session import cut_lineage
 
 # Fixed values of the site list used by the resource queries: label, latitude, longitude, resource.
 LOCATIONS = [
@@ -185,6 +186,7 @@ class Views:
                 .groupBy(F.year("l_shipdate").alias("sheet"), F.col("l_returnflag").alias("lab"),
                          F.col("p_type").alias("g"), F.col("p_brand").alias("b"))
                 .agg(F.sum("l_extendedprice").alias("val")))
+        vals = cut_lineage(vals)  # a stored sheet: its parts below must not recompute it
         labels = (vals.select("sheet", "lab").distinct()
                   .withColumn("row_idx", 4 + F.dense_rank().over(W.partitionBy("sheet").orderBy("lab"))))
         sheet_list = vals.agg(F.collect_set("sheet"))
