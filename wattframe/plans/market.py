@@ -16,11 +16,13 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy")  # fixed values: the two encodings s
 
 def build_market_hourly(raw: DataFrame, directions: Mapping[str, str], money: Sequence[str], formats: Sequence[str] = DATE_FORMATS) -> dict[str, DataFrame]:
     """Raw file rows (file_name, date_txt, hour_txt, direction, money texts) to hourly rows and monthly totals."""
-    d = clean.vote_date_format(raw, "date_txt", list(formats), ["file_name"], "date")
+    # names are read once per file, not once per row
+    files = raw.select("file_name").distinct().select("file_name", *file_attributes(F.col("file_name")))
+    d = clean.vote_date_format(raw, "date_txt", list(formats), ["file_name"], "date").join(files, "file_name")
     hourly = d.select(
         "date", clean.parse_hour("hour_txt").alias("hour"),
         clean.map_alias(F.lower(F.trim("direction")), directions, F.col("direction")).alias("direction"),
-        *[clean.to_double(c).alias(c) for c in money], *file_attributes(F.col("file_name")))
+        *[clean.to_double(c).alias(c) for c in money], "year", "month", "zone")
     hourly = hourly.filter(F.col("date").isNotNull() & F.col("hour").isNotNull())
     monthly = hourly.groupBy("year", "month", "zone").agg(
         F.count("*").alias("rows"), *[rel.zero_sum(c).alias(f"total_{c}") for c in money])
