@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattframe.functions import clean
 from wattframe.operators import quality, relational as rel, reshape, splits
 from wattframe.operators.quantiles import quantiles, with_rank
+from wattframe.plans.lazy import LazyTables
 from wattframe.sources import tables as io
 
 BALANCE_KEY = ("year", "unit", "section", "line_item", "fuel")
@@ -18,7 +19,7 @@ GROUP_LINES = ("Primary energy production", "Imports", "Exports", "Total primary
 
 
 def build_balance(cells: DataFrame, year: str, unit: str, group_lines: Sequence[str] = GROUP_LINES,
-                  key: Sequence[str] = BALANCE_KEY) -> dict[str, DataFrame]:
+                  key: Sequence[str] = BALANCE_KEY) -> Mapping[str, DataFrame]:
     """Cell tables (year, unit, row_idx, col_idx, cell) to the long balance and the tables derived from it.
 
     ``key`` decides which rows are copies of each other; the first in sheet order stays.
@@ -30,14 +31,14 @@ def build_balance(cells: DataFrame, year: str, unit: str, group_lines: Sequence[
                              key, ["row_idx", "col_idx"]).drop("row_idx", "col_idx")
     electric = long.filter(F.col("fuel_group").rlike("(?i)electricity") | F.contains(F.lower("fuel"), F.lit("electric")))
     lines = F.col("line_item").isin(*group_lines)
-    return {
-        "balance_long": long,
-        "electricity": electric.groupBy("year", "unit", "line_item").agg(F.sum("value").alias("value")),
-        "by_fuel_group": (long.filter(lines).groupBy("year", "unit", "fuel_group", "line_item").agg(F.sum("value").alias("value"))),
-        "metadata": io.build_metadata(long, {"years": "year", "units": "unit"}),
-        "quality": quality.coverage_report(long, [["year", "unit"], ["section"]], ["line_item", "fuel_group", "fuel"]),
-        "distribution": quantiles(long, ["unit"], "value", {"min": 0.0, "median": 0.5, "max": 1.0}),
-    }
+    return LazyTables({
+        "balance_long": lambda: long,
+        "electricity": lambda: electric.groupBy("year", "unit", "line_item").agg(F.sum("value").alias("value")),
+        "by_fuel_group": lambda: long.filter(lines).groupBy("year", "unit", "fuel_group", "line_item").agg(F.sum("value").alias("value")),
+        "metadata": lambda: io.build_metadata(long, {"years": "year", "units": "unit"}),
+        "quality": lambda: quality.coverage_report(long, [["year", "unit"], ["section"]], ["line_item", "fuel_group", "fuel"]),
+        "distribution": lambda: quantiles(long, ["unit"], "value", {"min": 0.0, "median": 0.5, "max": 1.0}),
+    })
 
 
 def balance_wide(long: DataFrame, unit: str) -> DataFrame:
@@ -55,11 +56,11 @@ def build_verified_balance(facts: DataFrame, extracted: DataFrame, year: str, me
 
 
 def extract_country(table: DataFrame, country: str, since: int, wanted: Sequence[str], flags: Sequence[str], peers: Sequence[str],
-                    peer_year: int, per_capita: tuple[str, str], names: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+                    peer_year: int, per_capita: tuple[str, str], names: Mapping[str, str] | None = None) -> Mapping[str, DataFrame]:
     """One country's modern rows with missing-value flags, and the peer comparison of one year."""
     t = table.withColumnsRenamed(dict(names)) if names else table
     one = io.available_columns(t.filter((F.col("country") == country) & (F.col("year") >= since)), wanted)
     num, den = per_capita
     p = (t.filter(F.col("country").isin(*peers) & (F.col("year") == peer_year))
          .select("country", (F.col(num) / F.when(F.col(den) != 0, F.col(den))).alias("per_capita")))
-    return {"country": clean.missing_flags(one, flags), "peers": with_rank(p, [], "per_capita")}
+    return LazyTables({"country": lambda: clean.missing_flags(one, flags), "peers": lambda: with_rank(p, [], "per_capita")})

@@ -104,7 +104,7 @@ def walk_forward_compare(series: DataFrame, keys: Sequence[str], order: str, buc
 
     With ``save_to`` the predictions replace those of the same series in a table partitioned by series.
     """
-    s = panel.with_row_index(series, keys, [order], bucket)
+    s = cut_lineage(panel.with_row_index(series, keys, [order], bucket))
     cut = splits.walk_forward_cutoffs(s.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", horizon)
     preds = fc.walk_forward(s, cut, splits.fold_targets(cut, keys, horizon), keys, "idx", value, horizon, season, holt)
     if save_to:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import resource
 from wattframe.operators import decompose, quality, relational as rel, sites, splits
+from wattframe.plans.lazy import LazyTables
 
 
 def weather_to_cf(wind: DataFrame, sun: DataFrame, places: Sequence[tuple]) -> DataFrame:
@@ -20,19 +21,19 @@ def weather_to_cf(wind: DataFrame, sun: DataFrame, places: Sequence[tuple]) -> D
 
 
 def site_study(candidates: DataFrame, site: str, weights: Mapping[str, float], benefit: Mapping[str, bool], temperatures: DataFrame,
-               temp_keys: Sequence[str], ts: str, temp_c: str, cost: DataFrame, rate: float = 0.08, years: int = 10) -> dict[str, DataFrame]:
+               temp_keys: Sequence[str], ts: str, temp_c: str, cost: DataFrame, rate: float = 0.08, years: int = 10) -> Mapping[str, DataFrame]:
     """Ranking, efficiency, cooling hours, sensitivity and cost tables of the candidate sites."""
     matrix = decompose.to_matrix(candidates, site, list(weights))
     opex = resource.annual_opex("mw", "tariff") / 1e6
-    return {
-        "ranking": decompose.topsis(matrix, site, weights, benefit),
-        "scores": decompose.weighted_score(matrix, site, weights),
-        "pue": sites.pue_by_month(temperatures, temp_keys, ts, temp_c),
-        "cooling": sites.cooling_hours(temperatures, temp_keys, temp_c),
-        "sensitivity": sites.threshold_sensitivity(temperatures, temp_keys, temp_c, [5, 8, 10, 12, 15, 18, 21, 27]),
-        "tco": cost.select(site, resource.npv_cost(F.col("capex"), opex, rate, years).alias("npv"),
-                           resource.tco_undiscounted(F.col("capex"), opex, F.lit(60.0), years).alias("stacked")),
-    }
+    return LazyTables({
+        "ranking": lambda: decompose.topsis(matrix, site, weights, benefit),
+        "scores": lambda: decompose.weighted_score(matrix, site, weights),
+        "pue": lambda: sites.pue_by_month(temperatures, temp_keys, ts, temp_c),
+        "cooling": lambda: sites.cooling_hours(temperatures, temp_keys, temp_c),
+        "sensitivity": lambda: sites.threshold_sensitivity(temperatures, temp_keys, temp_c, [5, 8, 10, 12, 15, 18, 21, 27]),
+        "tco": lambda: cost.select(site, resource.npv_cost(F.col("capex"), opex, rate, years).alias("npv"),
+                                   resource.tco_undiscounted(F.col("capex"), opex, F.lit(60.0), years).alias("stacked")),
+    })
 
 
 def _series(page: str, name: str, df: DataFrame, item: Column, value: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import calendar
 from wattframe.operators import panel, splits
+from wattframe.session import cut_lineage
 from wattframe.suite.panels import R, dense
 from wattframe.suite.registry import query, rounded
 
@@ -177,7 +178,7 @@ ser as (select region_id, ts, y, row_number() over (partition by region_id order
 
 
 def fold_frame(v, horizon=24):
-    s = panel.with_row_index(v.dense.drop("is_filled"), R, ["ts"], day())
+    s = cut_lineage(panel.with_row_index(v.dense.drop("is_filled"), R, ["ts"], day()))  # read once per model family
     sizes = s.groupBy("region_id").agg(F.count("*").alias("n"))
     cut = splits.walk_forward_cutoffs(sizes, R, "n", horizon)
     return s, cut, splits.fold_targets(cut, R, horizon)

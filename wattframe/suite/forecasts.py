@@ -48,7 +48,7 @@ def linear_trend(v):
 
 
 def _holt_frame(v):
-    s = panel.with_row_index(v.dense, R, ["ts"], F.col("ts").cast("date"))
+    s = cut_lineage(panel.with_row_index(v.dense, R, ["ts"], F.col("ts").cast("date")))
     return s, fc.single_cutoff(s, R, F.floor(F.count("*") * F.lit(0.8)))
 
 
@@ -81,7 +81,7 @@ def holt_search(v):
 
 def train_rows(v, share=0.8):
     """Rows of the leading share of each series, numbered from 0."""
-    s = panel.with_row_index(v.dense.drop("is_filled"), R, ["ts"], F.col("ts").cast("date"), total="n_rows")
+    s = cut_lineage(panel.with_row_index(v.dense.drop("is_filled"), R, ["ts"], F.col("ts").cast("date"), total="n_rows"))
     return s, s.filter(F.col("idx") < F.floor(F.col("n_rows") * F.lit(share)))
 
 

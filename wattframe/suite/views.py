@@ -202,7 +202,8 @@ class Views:
                 .select("sheet", "row_idx", "col_idx",
                         F.when(F.col("col_idx") % 17 == 0, "-")
                         .otherwise(F.round("val").cast("bigint").cast("string")).alias("cell")))
-        return groups.select(*cols).unionByName(fuels).unionByName(stubs).unionByName(body)
+        # the stored cell table that the balance jobs start from
+        return cut_lineage(groups.select(*cols).unionByName(fuels).unionByName(stubs).unionByName(body))
 
     @cached_property
     def preds(self) -> DataFrame:
