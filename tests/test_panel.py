@@ -121,3 +121,15 @@ def test_hot_series_is_split_over_tasks(series):
     got = panel.over_chunks(series, ["k"], "i", lambda w: [F.count("*").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n")],
                             back=5, chunk=20)
     assert got.agg(F.max("n")).first()[0] <= 25
+
+
+def test_hour_grid_keeps_its_phase_over_days(spark):
+    df = spark.sql("""select * from values ('a', timestamp_ntz'2024-02-28 05:30:00'), ('a', timestamp_ntz'2024-03-02 03:30:00'),
+                      ('b', timestamp_ntz'2024-03-01 00:30:00') t(k, ts)""")
+    for per_series, want in ((True, {"a": 71, "b": 1}), (False, {"a": 71, "b": 71})):
+        g = panel.series_grid(df, ["k"], "ts", "hour", per_series).toPandas()
+        assert g.groupby("k").size().to_dict() == want and not g.duplicated().any()
+        one = g[g.k == "a"].ts.sort_values()
+        assert set(one.diff().dropna()) == {pd.Timedelta(hours=1)} and str(one.iloc[-1]) == "2024-03-02 03:30:00"
+    missing = panel.missing_steps(df, ["k"], "ts", "hour", per_series=True)
+    assert missing.count() == 69

@@ -99,14 +99,19 @@ def with_fill_forward(df: DataFrame, keys: Sequence[str], order: str, bucket: Co
 
 def series_grid(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
     """Every (series, time step) between the first and last time, of the table or of each series."""
-    step = F.expr(f"interval 1 {unit}")
     if per_series:
-        ends = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"))
-        return ends.select(*keys, F.explode(F.sequence("_a", "_z", step)).alias(ts))
-    ends = df.agg(F.struct(F.min(ts).alias("a"), F.max(ts).alias("z")))
-    # the grid is built per series inside the row, so no cross join is needed
-    span = df.select(*keys).distinct().withColumn("_e", ends.scalar())
-    return span.select(*keys, F.explode(F.sequence(F.col("_e.a"), F.col("_e.z"), step)).alias(ts))
+        span = df.groupBy(*keys).agg(F.struct(F.min(ts).alias("a"), F.max(ts).alias("z")).alias("_e"))
+    else:
+        ends = df.agg(F.struct(F.min(ts).alias("a"), F.max(ts).alias("z")))
+        # the grid is built per series inside the row, so no cross join is needed
+        span = df.select(*keys).distinct().withColumn("_e", ends.scalar())
+    step, first, last = F.expr(f"interval 1 {unit}"), F.col("_e.a"), F.col("_e.z")
+    if unit != "hour":
+        return span.select(*keys, F.explode(F.sequence(first, last, step)).alias(ts))
+    # days first, so that a long span never becomes one array of hours
+    days = span.select(*keys, last.alias("_z"), F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("_d"))
+    end = F.least(F.timestamp_add("HOUR", F.lit(23), F.col("_d")).cast("timestamp_ntz"), F.col("_z"))
+    return days.select(*keys, F.explode(F.sequence(F.col("_d"), end, step)).alias(ts))
 
 
 def dense_panel(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
