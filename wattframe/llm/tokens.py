@@ -22,7 +22,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattframe.llm.text import ragged_index, segment_sums, span_hashes, text_slices
 
@@ -42,8 +42,8 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, signs: bool = True) -> tu
     """Where units start: at each non-empty row's start and at proven pre-token starts; per row the number of its first unit.
 
     Proven whatever stands further left or right: white space after a visible character (no pre-token has white space behind
-    one), a visible character after a line break or tab (only a blank joins what follows), and, with ``signs``, an ASCII sign
-    after an ASCII letter.
+    one), a visible character after a single line break or tab (only a blank joins what follows; a longer run of white space
+    is cut differently where nothing follows it), and, with ``signs``, an ASCII sign after an ASCII letter.
     """
     n = len(data)
     start = np.zeros(n, bool)
@@ -54,7 +54,8 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, signs: bool = True) -> tu
         ends[1:] |= tail[1:] & _TWO[data[:-1]]
         ends[2:] |= tail[2:] & tail[1:-1] & _THREE[data[:-2]]
         breaks = _BREAK[data]
-        start[1:] = ends[:-1] & (breaks[1:] | (data[1:] == 32)) | breaks[:-1] & solid[1:]
+        start[1:] = ends[:-1] & (breaks[1:] | (data[1:] == 32))
+        start[2:] |= ends[:-2] & breaks[1:-1] & solid[2:]
         if signs:
             start[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
     start[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -228,11 +229,9 @@ def count_tokens(docs: DataFrame, *, limit: int = 1024, tokenizer: str | None =
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     made = ("n_bytes", "n_tokens", "over_limit", "n_resync")
-    kept = docs.select([docs[f"`{c}`"] for c in docs.columns if c not in made])
-    schema = kept.schema
-    types = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean", "n_resync": "int"}
-    for name, kind in types.items():
-        schema = schema.add(name, kind)
+    kept = docs.drop(*made)
+    types = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType(), "n_resync": T.IntegerType()}
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in types.items())])
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,4 +257,4 @@ def count_tokens(docs: DataFrame, *, limit: int = 1024, tokenizer: str | None =
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, n_resync of every document."""
-    return count_tokens(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit", F.col("n_resync"))
+    return count_tokens(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_resync")
