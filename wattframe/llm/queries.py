@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattframe.llm import mixing
+from wattframe.llm.cuckoo import exact_dedup
 from wattframe.llm.packing import pack
 from wattframe.llm.tokens import token_counts
 
@@ -21,9 +23,27 @@ def op1_square_sum_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op2_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(documents(spark, sf_dir)).drop("row_id")
+
+
+ORACLES["op2_cuckoo_dedup"] = """
+WITH t AS (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+SELECT doc_id, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size, doc_id = MAX(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY text)
+"""
+
+
+def op5_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+ORACLES["op5_threshold_mixing"] = mixing.ORACLE_SQL
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
-for _query in (op1_square_sum_packing, op7_token_counts):
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op5_threshold_mixing, op7_token_counts):
     QUERIES[_query.__name__] = _query
