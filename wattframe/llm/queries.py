@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattframe.llm import mixing
 from wattframe.llm.cuckoo import exact_dedup
 from wattframe.llm.kdshards import kd_shards
+from wattframe.llm.langid import identify
 from wattframe.llm.packing import pack
 from wattframe.llm.tokens import token_counts
 
@@ -50,5 +51,9 @@ def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), shards=24)
 
 
-for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op5_threshold_mixing, op7_token_counts, op9_kd_shards):
+def op10_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op5_threshold_mixing, op7_token_counts, op9_kd_shards, op10_viterbi_languages):
     QUERIES[_query.__name__] = _query
