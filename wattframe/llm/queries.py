@@ -10,6 +10,7 @@ from wattframe.llm import mixing
 from wattframe.llm.cuckoo import exact_dedup
 from wattframe.llm.kdshards import kd_shards
 from wattframe.llm.langid import identify
+from wattframe.llm.minmax import near_duplicates
 from wattframe.llm.packing import pack
 from wattframe.llm.tokens import token_counts
 
@@ -36,6 +37,30 @@ FROM t WINDOW w AS (PARTITION BY text)
 """
 
 
+def op3_minmax_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+ORACLES["op3_minmax_components"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s
+  FROM words, UNNEST(range(1, GREATEST(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+either_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM either_way UNION SELECT r.doc_id, e.b FROM reach r JOIN either_way e ON r.other = e.a),
+least AS (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(component_id, d.doc_id) AS component_id, COALESCE(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""
+
+
 def op5_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -55,5 +80,5 @@ def op10_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op5_threshold_mixing, op7_token_counts, op9_kd_shards, op10_viterbi_languages):
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op5_threshold_mixing, op7_token_counts, op9_kd_shards, op10_viterbi_languages):
     QUERIES[_query.__name__] = _query
