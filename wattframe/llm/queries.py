@@ -13,6 +13,7 @@ from wattframe.llm.langid import identify
 from wattframe.llm.minmax import near_duplicates
 from wattframe.llm.packing import pack
 from wattframe.llm.tokens import token_counts
+from wattframe.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +73,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op8_convolution_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), shards=24)
 
@@ -80,5 +85,5 @@ def op10_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op5_threshold_mixing, op7_token_counts, op9_kd_shards, op10_viterbi_languages):
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op5_threshold_mixing, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages):
     QUERIES[_query.__name__] = _query
