@@ -13,6 +13,7 @@ from wattframe.llm.langid import identify
 from wattframe.llm.minmax import near_duplicates
 from wattframe.llm.packing import pack
 from wattframe.llm.tokens import token_counts
+from wattframe.llm.topk import top_products
 from wattframe.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +63,23 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l
 """
 
 
+def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_products(vectors, vectors["vec_id"] % 20 == 0)
+
+
+ORACLES["op4_segment_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: FLOOR(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+QUALIFY rank <= 20
+"""
+
+
 def op5_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -85,5 +103,5 @@ def op10_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op5_threshold_mixing, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages):
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op4_segment_topk, op5_threshold_mixing, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages):
     QUERIES[_query.__name__] = _query
