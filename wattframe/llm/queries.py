@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattframe.llm import mixing
 from wattframe.llm.cuckoo import exact_dedup
 from wattframe.llm.kdshards import kd_shards
+from wattframe.llm.kneserney import quality
 from wattframe.llm.langid import identify
 from wattframe.llm.minmax import near_duplicates
 from wattframe.llm.packing import pack
@@ -87,6 +88,10 @@ def op5_threshold_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_threshold_mixing"] = mixing.ORACLE_SQL
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -103,5 +108,5 @@ def op10_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op4_segment_topk, op5_threshold_mixing, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages):
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op4_segment_topk, op5_threshold_mixing, op6_kneser_ney_quality, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages):
     QUERIES[_query.__name__] = _query
