@@ -21,6 +21,7 @@ from wattframe.llm.text import LOWER, text_slices
 from wattframe.session import cut_lineage
 
 SLOTS, KICKS = 4, 200
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows of one shard at most, on average; the number of shards grows with the table
 SHARD_ROWS = 100_000
 #: a digest reaches its shard in at most so many partial rows, however many copies it has
@@ -185,3 +186,17 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
                                         F.lit(False).alias("removed")), shards)
     return rows.join(live, "digest").select("row_id", "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"),
                                             F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) that stay: one of each group of equal texts."""
+    found = cut_lineage(exact_dedup(docs))
+    fates = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    # only what goes, and the rare rows that repeat both doc_id and text, need a word with the texts
+    fates = fates.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("__d"), F.col("text_sha256").alias("__s"), F.col("kept").alias("__k"))
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256)
+    rows = docs.withColumn("__sha", sha)
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__sha") == F.col("__s"))
+    single = rows.join(fates, same, "left_anti")
+    repeated = rows.join(fates.where("__k"), same, "left_semi").dropDuplicates(["doc_id", "__sha"])
+    return single.union(repeated).select(*docs.columns)

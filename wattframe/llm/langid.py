@@ -163,18 +163,18 @@ def best_path(scores: np.ndarray, splits: np.ndarray, penalty: float) -> np.ndar
     return path
 
 
-def label(docs: DataFrame, model: Model, *, text: str = "text", spans: bool = False) -> DataFrame:
-    """Adds lang_pred and score to ``docs``, and with ``spans`` the spans: array of (start, end, lang) in bytes of the UTF-8 text.
+def label(docs: DataFrame, model: Model, *, text: str = "text", spans: bool = False, prefix: str = "") -> DataFrame:
+    """Adds lang_pred and score to ``docs``, and with ``spans`` lang_spans: array of (start, end, lang) in bytes of the UTF-8 text.
 
     lang_pred is the language of most bytes; score is its share of the bytes of all words. A text that is null or has no letter
-    gets ``und`` and 0, as does every text where nothing was learned; ties go to the first language in order. Columns of
-    ``docs`` that bear a result's name are replaced.
+    gets ``und`` and 0, as does every text where nothing was learned; ties go to the first language in order. ``prefix``
+    goes before the results' names; columns of ``docs`` that bear such a name are replaced.
     """
-    made = ("lang_pred", "score", *(["lang_spans"] if spans else []))
+    made = tuple(prefix + c for c in ("lang_pred", "score", *(["lang_spans"] if spans else [])))
     kept = docs.drop(*made)
     at = kept.columns.index(text)
     kinds = {"lang_pred": "string", "score": "double", "lang_spans": "array<struct<start:long,end:long,lang:string>>"}
-    shape = kept.selectExpr("*", *[f"CAST(NULL AS {kinds[m]}) AS {m}" for m in made]).schema
+    shape = kept.selectExpr("*", *[f"CAST(NULL AS {kinds[m[len(prefix):]]}) AS {m}" for m in made]).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes for each bucket and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

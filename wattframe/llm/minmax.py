@@ -168,8 +168,8 @@ def _links(sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The columns of ``wanted`` but its doc_id and text_hash, and shingles: the set of one row of ``docs`` for each."""
     made = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = made.join(wanted.withColumnRenamed("doc_id", "_d"), (F.col("doc_id").eqNullSafe(F.col("_d"))) & (made["text_hash"] == wanted["text_hash"]))
-    rows = found.drop(wanted["text_hash"]).drop("doc_id", "text_hash", "_d")
+    found = made.join(wanted.withColumnRenamed("doc_id", "__d"), (F.col("doc_id").eqNullSafe(F.col("__d"))) & (made["text_hash"] == wanted["text_hash"]))
+    rows = found.drop(wanted["text_hash"]).drop("doc_id", "text_hash", "__d")
     others = [c for c in rows.columns if c != "text"]
     rows = rows.select(*others, "text")
     shape = rows.drop("text").selectExpr("*", "CAST(NULL AS BINARY) AS shingles").schema
@@ -185,7 +185,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Rows are linked when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the smallest doc_id that
     links lead to, kept says that the row bears it. A row without words (null or empty text) is linked with nothing. Repeated
@@ -226,8 +226,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> Da
     merged = components(links)
 
     named = sets.join(merged, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("label"))
-    labeled = full.join(named, ["set_a", "set_b"]).select("row", "doc_id", "n_shingles", "label")
+    labeled = full.join(named, ["set_a", "set_b"]).select("row", "doc_id", "text_hash", "n_shingles", "label")
     least = labeled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = labeled.join(least, "label").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = labeled.join(least, "label").select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) that stay: of each component those with its component_id.
+
+    Rows without words stay, and so do components of rows without a doc_id, which can't be told apart.
+    """
+    found = near_duplicates(docs, **options)
+    gone = found.where(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__t")), "left_anti").select(*docs.columns)

@@ -17,6 +17,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: bits of a histogram and how many are nested: a bucket of the last holds 2**-30 of a source, about one document of a billion
 BITS, LEVELS = 10, 3
+#: tables with one row per source are broadcast up to so many, else joined by a shuffle
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,17 +55,18 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return ranked.select("source", "source_size", "target")
 
 
-def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, budgets: DataFrame, few: bool = False) -> DataFrame:
     """source, limit: the documents of a source whose bucket lies under the limit hold about ``budget`` words.
 
-    ``sizes`` has source, size and bucket, ``budgets`` source and budget (below the source's size, else no row comes back).
+    ``sizes`` has source, size and bucket, ``budgets`` source and budget (below the source's size, else no row comes back). ``few``
+    says that there are at most BROADCAST_SOURCES of them.
     """
     found, rest = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix")), sizes
     for level in range(1, LEVELS + 1):
         prefix = F.shiftright("bucket", BITS * (LEVELS - level))
         if level > 1:  # only documents of the boundary bucket go on
             edge = found.select(F.col("source").alias("_s"), F.col("prefix").alias("_p"))
-            rest = rest.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("bucket", BITS * (LEVELS - level + 1)) == F.col("_p"))).drop("_s", "_p")
+            rest = rest.join(F.broadcast(edge) if few else edge, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("bucket", BITS * (LEVELS - level + 1)) == F.col("_p"))).drop("_s", "_p")
         sums = rest.groupBy("source", prefix.alias("_b")).agg(F.sum("size").alias("_words"))
         upto = Window.partitionBy("source").orderBy("_b")
         sums = sums.withColumn("_upto", F.sum("_words").over(upto)).withColumnRenamed("source", "_s")
@@ -76,22 +79,47 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError("no level")
 
 
+def source_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """source, source_size, target, whole, limit: each document comes ``whole`` times, and once more if its bucket lies under ``limit``."""
+    targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    rate = F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))
+    targets = cut_lineage(targets.withColumn("whole", F.coalesce(F.floor(rate), F.lit(0)).cast("long")))  # one row per source
+    few = targets.count() <= BROADCAST_SOURCES
+    budgets = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    limits = thresholds(sizes, budgets, few).withColumnRenamed("source", "_s")
+    return cut_lineage(targets.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds __source_size, __target and __copies to ``rows`` (source, __bucket)."""
+    copies = F.col("__whole") + F.coalesce((F.col("__bucket") < F.col("__limit")).cast("long"), F.lit(0))
+    named = plan.select([plan[c].alias(f"__{c}") for c in plan.columns])
+    if plan.count() <= BROADCAST_SOURCES:
+        named = F.broadcast(named)
+    return rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies).drop("__source", "__whole", "__limit")
+
+
+def document_sizes(docs: DataFrame) -> DataFrame:
+    return cut_lineage(docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), hash_bucket(docs["doc_id"]).alias("bucket")))
+
+
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source).
 
     A null or empty text has size 0 and takes 0 words; a null source is a source of its own, the last; repeated rows of one doc_id
     share their fate. copies times size is taken, and no document comes more than ``most`` times. An empty table gives no rows.
     """
-    sizes = cut_lineage(docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), hash_bucket(docs["doc_id"]).alias("bucket")))
-    targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    rate = F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))
-    targets = cut_lineage(targets.withColumn("whole", F.coalesce(F.floor(rate), F.lit(0)).cast("long")))  # one row per source
-    budgets = targets.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    limits = thresholds(sizes, budgets).withColumnRenamed("source", "_s")
-    plan = targets.join(limits, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_t")
-    copies = F.col("whole") + F.coalesce((F.col("bucket") < F.col("limit")).cast("long"), F.lit(0))
-    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("_t")))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    sizes = document_sizes(docs)
+    out = with_copies(sizes.withColumnRenamed("bucket", "__bucket"), source_plan(sizes, weights, most))
+    return out.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+                      F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: the texts stay where they are, only the plan by source goes to them."""
+    plan = source_plan(document_sizes(docs), weights, most)
+    rows = with_copies(docs.withColumn("__bucket", hash_bucket(docs["doc_id"])), plan)
+    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
