@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window as W
 
+from wattframe.joins import on_keys
 from wattframe.functions import calendar
 from wattframe.operators.panel import CHUNK, over_chunks
 from wattframe.operators.quantiles import order_statistics, quantiles
@@ -26,7 +27,7 @@ def _with_segment(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], po
     """Segment number = how many cut-offs lie at or before the row; rows after the last cut-off are not needed."""
     cuts = cutoffs.groupBy(*keys).agg(F.array_sort(F.collect_set("cutoff")).alias("_cuts"))
     seg = F.size(F.filter("_cuts", lambda c: c <= F.col(pos)))
-    return (series.join(cuts, list(keys)).withColumn("_seg", seg)
+    return (on_keys(series, cuts, keys).withColumn("_seg", seg)
             .filter(F.col("_seg") < F.size("_cuts")).drop("_cuts"))
 
 
@@ -44,14 +45,14 @@ def training_summaries(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str
     slope = F.coalesce((n * F.col("_sxy") - sx * sy) / F.when(det != 0, det), F.lit(0.0))
     s = cum.select(*keys, "fold", n.alias("n_train"), (sy / n).alias("mean"), F.col("_last.y").alias("last"), slope.alias("slope"),
                    ((sy - slope * sx) / n).alias("intercept"))
-    return cutoffs.select(*keys, "fold", "cutoff").join(s, [*keys, "fold"])
+    return on_keys(cutoffs.select(*keys, "fold", "cutoff"), s, [*keys, "fold"])
 
 
 def naive_forecasts(series: DataFrame, cutoffs: DataFrame, targets: DataFrame, keys: Sequence[str], pos: str, y: str,
                     season: int = 24, models: Sequence[str] = ("persistence", "mean", "trend", "seasonal")) -> DataFrame:
     """Long predictions (keys, fold, cutoff, step, idx, model, y_pred) of the closed-form models."""
     s = training_summaries(series, cutoffs, keys, pos, y)
-    t = targets.join(s.drop("cutoff"), [*keys, "fold"])
+    t = on_keys(targets, s.drop("cutoff"), [*keys, "fold"])
     back = F.col("idx") - season * F.ceil(F.col("step") / season)
     past = series.select(*keys, F.col(pos).alias("_back"), F.col(y).alias("_seasonal"))
     t = t.withColumn("_back", back.cast("bigint")).join(past, [*keys, "_back"], "left")
@@ -63,7 +64,7 @@ def naive_forecasts(series: DataFrame, cutoffs: DataFrame, targets: DataFrame, k
 
 def with_actuals(preds: DataFrame, series: DataFrame, keys: Sequence[str], pos: str, y: str) -> DataFrame:
     actual = series.select(*keys, F.col(pos).alias("idx"), F.col(y).alias("y_true"))
-    return preds.join(actual, [*keys, "idx"])
+    return on_keys(preds, actual, [*keys, "idx"])
 
 
 # --- Holt smoothing as a scan over chunks ------------------------------------------------------------------
@@ -232,14 +233,14 @@ def conformal_band(val: DataFrame, test: DataFrame, by: Sequence[str], y: str =
         q = order_statistics(e, by, "_e", {"_q": lambda n: F.least(F.ceil((n + 1) * F.lit(level)), n) - 1})
     else:
         q = quantiles(e, by, "_e", {"_q": level})
-    j = test.join(q.select(*by, "_q"), list(by), "left") if by else test.withColumn("_q", q.select("_q").scalar())
+    j = on_keys(test, q.select(*by, "_q"), by, "left") if by else test.withColumn("_q", q.select("_q").scalar())
     return j.withColumn("lo", F.col(p) - F.col("_q")).withColumn("hi", F.col(p) + F.col("_q")).drop("_q")
 
 
 def gaussian_band(val: DataFrame, test: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred", z: float = 1.645) -> DataFrame:
     """Band of z residual deviations, calibrated on validation rows only."""
     s = val.groupBy(*by).agg(F.stddev_pop(F.col(y) - F.col(p)).alias("_s"))
-    j = test.join(s, list(by), "left") if by else test.withColumn("_s", s.scalar())
+    j = on_keys(test, s, by, "left") if by else test.withColumn("_s", s.scalar())
     return j.withColumn("lo", F.col(p) - z * F.col("_s")).withColumn("hi", F.col(p) + z * F.col("_s")).drop("_s")
 
 

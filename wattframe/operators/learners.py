@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.joins import on_keys
 from wattframe.operators import metrics
 from wattframe.operators.panel import over_chunks, with_row_index
 from wattframe.session import checkpoint_folder, cut_lineage
@@ -20,23 +21,35 @@ DEFAULTS = {"maxDepth": 4, "maxIter": 20, "stepSize": 0.1, "seed": 42}
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], target: str, weight: str | None = None, **params) -> PipelineModel:
-    """One boosted-tree pipeline over the whole training table. Rows with a NULL feature or target are left out."""
+    """One boosted-tree pipeline over the whole training table; rows without a target or weight are left out.
+
+    A missing feature is filled with its median over the training rows, in the fit and in later predictions, so every model scores
+    the same rows.
+    """
     checkpoint_folder(train.sparkSession)
     gbt = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="y_pred", **{**DEFAULTS, **params})
     if weight:
         gbt = gbt.setWeightCol(weight)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    cols = [*features, target, *([weight] if weight else [])]
+    filled = [f"_filled_{i}" for i in range(len(features))]
+    imputer = Imputer(strategy="median", inputCols=list(features), outputCols=filled)
+    assembler = VectorAssembler(inputCols=filled, outputCol="_x", handleInvalid="error")
+    needed = [target, *([weight] if weight else [])]
     # boosting passes over its input several times; the cache spills to disk and is rebuilt if an executor is lost
-    rows = train.select(*cols).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*_doubles(features), *needed).na.drop(subset=needed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[assembler, gbt]).fit(rows)
+        return Pipeline(stages=[imputer, assembler, gbt]).fit(rows)
     finally:
         rows.unpersist()
 
 
+def _doubles(features: Sequence[str]) -> list[Column]:
+    return [F.col(f).cast("double").alias(f) for f in features]
+
+
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return model.transform(df.na.drop(subset=list(features))).drop("_x")
+    """All rows of ``df`` with y_pred."""
+    kept = [F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in df.columns]
+    return model.transform(df.select(*kept)).select(*df.columns, "y_pred")
 
 
 def direct(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, **params) -> DataFrame:
@@ -45,8 +58,8 @@ def direct(train: DataFrame, test: DataFrame, features: Sequence[str], target: s
 
 
 def pooled_transfer(source: DataFrame, train: DataFrame, test: DataFrame, features: Sequence[str], target: str,
-                    target_weight: float = 3.0, **params) -> DataFrame:
-    """Source and target rows in one weighted training set."""
+                    target_weight: float = 1.0, **params) -> DataFrame:
+    """Source and target rows in one training set, the target rows with a weight of their own if asked for."""
     cols = [*features, target]
     both = source.select(*cols, F.lit(1.0).alias("_wt")).unionByName(train.select(*cols, F.lit(target_weight).alias("_wt")))
     return predict(fit_gbt(both, features, target, "_wt", **params), test, features)
@@ -75,7 +88,7 @@ def lag_gbt(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: int, hor
     lagged = over_chunks(train, keys, pos, lambda w: [F.lag(y, i).over(w).alias(n) for i, n in enumerate(names, 1)], back=p)
     fitted = fit_gbt(lagged, names, y, **params).stages[-1]
     end = train.groupBy(*keys).agg((F.max(pos) + 1).alias("cutoff"))
-    tail = train.join(end, list(keys)) if keys else train.withColumn("cutoff", end.scalar())
+    tail = on_keys(train, end, keys) if keys else train.withColumn("cutoff", end.scalar())
     state = (tail.filter(F.col(pos) >= F.col("cutoff") - p).groupBy(*keys, "cutoff")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(y).alias("y"))), asc=False),
                               lambda r: r["y"]).alias("_lags"))
@@ -91,12 +104,15 @@ def lag_gbt(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: int, hor
                     (F.col("cutoff") + F.col("_i")).cast("bigint").alias("idx"), F.lit(model).alias("model"), "y_pred"))
 
 
-def rolling_origin(panel: DataFrame, folds: Sequence[tuple], row: Column, features: Sequence[str], target: str, by: Sequence[str] = (), **params) -> DataFrame:
-    """Refit per fold (train before, test inside) and score each; ``folds`` holds (fold, test_from, test_to)."""
-    panel = cut_lineage(panel)  # the feature table is made once for all folds
+def rolling_origin(panel: DataFrame, folds: DataFrame, keys: Sequence[str], k: int, row: str, features: Sequence[str], target: str,
+                   by: Sequence[str] = (), **params) -> DataFrame:
+    """Refit per fold 1 to ``k`` (train before, test inside) and score each; ``folds`` holds each series' (fold, test_from, test_to)."""
+    placed = on_keys(panel, folds.filter("fold is not null").select(*keys, "fold", "test_from", "test_to"), keys)
+    placed = cut_lineage(placed.filter(F.col(row) < F.col("test_to")))  # made once for all folds
     parts = None
-    for fold, a, b in folds:
-        scored = direct(panel.filter(row < a), panel.filter((row >= a) & (row < b)), features, target, **params)
+    for fold in range(1, k + 1):
+        own = placed.filter(F.col("fold") == fold)
+        scored = direct(own.filter(F.col(row) < F.col("test_from")), own.filter(F.col(row) >= F.col("test_from")), features, target, **params)
         one = scored.select(F.lit(fold).alias("fold"), *by, F.col(target).alias("y_true"), "y_pred")
         parts = one if parts is None else parts.unionByName(one)
     return metrics.score(parts, ["fold", *by])
@@ -147,4 +163,4 @@ def residual_hybrid(train: DataFrame, keys: Sequence[str], pos: str, y: str, k:
     resid = (fc.harmonic_fitted(train, base, keys, pos, k, period, "_fit").withColumn("_res", F.col(y) - F.col("_fit")))
     a = fc.ar_fourier_forecast(base, keys, horizon, 0, k, period, "hybrid")
     b = lag_gbt(resid, keys, pos, "_res", p, horizon, **params).select(*keys, "idx", F.col("y_pred").alias("_r"))
-    return a.join(b, [*keys, "idx"]).withColumn("y_pred", F.col("y_pred") + F.col("_r")).drop("_r").select(*a.columns)
+    return on_keys(a, b, [*keys, "idx"]).withColumn("y_pred", F.col("y_pred") + F.col("_r")).drop("_r").select(*a.columns)

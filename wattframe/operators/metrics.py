@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.joins import on_keys
 from wattframe.functions.tails import p_value
 from wattframe.operators.panel import over_chunks
 
@@ -71,7 +72,7 @@ def mase_scale(train: DataFrame, keys: Sequence[str], pos: str, y: str, season:
 
 
 def with_mase(scores: DataFrame, scale: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return (scores.join(scale, list(keys), "left") if keys else scores.withColumn("mase_scale", scale.scalar())
+    return (on_keys(scores, scale, keys, "left") if keys else scores.withColumn("mase_scale", scale.scalar())
             ).withColumn("mase", F.col("mae") / F.col("mase_scale")).drop("mase_scale")
 
 
@@ -110,7 +111,7 @@ def diebold_mariano(errors: DataFrame, by: Sequence[str], series: Sequence[str],
                               F.var_pop("_d").alias("_g0"))
     out = base
     if variance != "iid" and horizon > 1:
-        centred = d.join(base.select(*by, "_mean"), list(by)).withColumn("_x", F.col("_d") - F.col("_mean"))
+        centred = on_keys(d, base.select(*by, "_mean"), by).withColumn("_x", F.col("_d") - F.col("_mean"))
         keys = [*by, *[s for s in series if s not in by]]
         past = over_chunks(centred, keys, pos, lambda w: [
             F.collect_list("_x").over(w.rowsBetween(-(horizon - 1), 0)).alias("_past")], back=horizon - 1)
@@ -120,7 +121,7 @@ def diebold_mariano(errors: DataFrame, by: Sequence[str], series: Sequence[str],
             extra = cov.groupBy(*by).agg((2 * F.sum("_cs")).alias("_extra"))
         else:
             extra = cov.groupBy(*by).agg((2 * F.sum((1 - F.col("_k") / horizon) * F.col("_cp"))).alias("_extra"))
-        out = base.join(extra, list(by), "left")
+        out = on_keys(base, extra, by, "left")
     else:
         out = out.withColumn("_extra", F.lit(0.0))
     n, h = F.col("n"), horizon

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wattframe.joins import on_keys
+
 CHUNK = 8192
 FEATURE_LAGS = (1, 2, 3, 6, 12, 24, 48, 168)  # fixed values: the lags of the panel feature set
 FEATURE_ROLLS = (24, 168)  # fixed values: the rolling windows of the panel feature set
@@ -30,19 +32,22 @@ def with_hour_position(df: DataFrame, ts: str, name: str = "pos") -> DataFrame:
 
 
 def over_chunks(df: DataFrame, keys: Sequence[str], pos: str, build: Callable[[W], list[Column]],
-                back: int, ahead: int = 0, chunk: int = CHUNK) -> DataFrame:
+                back: int, ahead: int = 0, chunk: int = CHUNK, dense: bool = False) -> DataFrame:
     """Add row-frame window columns to series cut into chunks with an overlap.
 
-    ``pos`` numbers the rows of a series without gaps; ``build`` gets the window and returns columns that look
-    at most ``back`` rows behind and ``ahead`` rows in front. One shuffle on (keys, chunk), one sort.
+    ``pos`` is a number that orders the rows of a series; ``build`` gets the window and returns columns that look at most
+    ``back`` rows behind and ``ahead`` rows in front. ``dense`` says that ``pos`` counts rows without gaps, as hours of a gap-free
+    panel do; otherwise rows are numbered first, so the result doesn't depend on where chunks end. One shuffle on (keys, chunk),
+    asked for, as a table that is dealt by series already would be left so; one sort.
     """
     chunk = max(chunk, back + ahead, 1)
-    p = F.col(pos)
+    rows = df.withColumn("_row", F.col(pos)) if dense else with_row_index(df, keys, [pos], F.floor(F.col(pos) / chunk), index="_row")
+    p = F.col("_row")
     first, last = F.floor((p - ahead) / chunk), F.floor((p + back) / chunk)
-    pieces = df.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    w = W.partitionBy(*keys, "_chunk").orderBy(pos)
-    return (pieces.select(*df.columns, "_chunk", *build(w))
-            .filter(F.col("_chunk") == F.floor(p / chunk)).drop("_chunk"))
+    pieces = rows.withColumn("_chunk", F.explode(F.sequence(first, last))).repartition(*keys, "_chunk")
+    w = W.partitionBy(*keys, "_chunk").orderBy("_row")
+    return (pieces.select(*df.columns, "_row", "_chunk", *build(w))
+            .filter(F.col("_chunk") == F.floor(p / chunk)).drop("_chunk", "_row"))
 
 
 def _bucket_offsets(sizes: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
@@ -56,16 +61,17 @@ def with_row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buc
     """0-based row number per series (and the series length as ``total``).
 
     ``bucket`` is a coarsening of the first order column, such as the month of a timestamp. Rows are sorted only
-    inside (series, bucket); the sizes of the buckets before give the offset. Keys must not be NULL.
+    inside (series, bucket); the sizes of the buckets before give the offset. NULL keys are a series of their own, and NULLs
+    in the order come first.
     """
     b = df.withColumn("_b", bucket)
     sizes = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     offsets = _bucket_offsets(sizes, keys, {"_n": "_off"})
     if total:
-        offsets = offsets.join(sizes.groupBy(*keys).agg(F.sum("_n").alias(total)), list(keys)) if keys else \
+        offsets = on_keys(offsets, sizes.groupBy(*keys).agg(F.sum("_n").alias(total)), keys) if keys else \
             offsets.withColumn(total, sizes.agg(F.sum("_n")).scalar())
     w = W.partitionBy(*keys, "_b").orderBy(*order)
-    out = b.join(offsets, [*keys, "_b"]).withColumn(index, F.col("_off") + F.row_number().over(w) - 1)
+    out = on_keys(b.repartition(*keys, "_b"), offsets, [*keys, "_b"]).withColumn(index, F.col("_off") + F.row_number().over(w) - 1)
     return out.select(*df.columns, index, *([total] if total else []))
 
 
@@ -76,7 +82,7 @@ def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     totals = b.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     offsets = _bucket_offsets(totals, keys, {f"_t_{n}": f"_o_{n}" for n in sums})
     w = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (b.join(offsets, [*keys, "_b"])
+    return (on_keys(b.repartition(*keys, "_b"), offsets, [*keys, "_b"])
             .select(*df.columns, *[(F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(w)).alias(n) for n in sums]))
 
 
@@ -86,11 +92,11 @@ def with_fill_forward(df: DataFrame, keys: Sequence[str], order: str, bucket: Co
     b = df.withColumn("_b", bucket)
     tails = (b.filter(F.col(col).isNotNull()).groupBy(*keys, "_b")
              .agg(F.max_by(col, order).alias("_tail")))
-    buckets = b.select(*keys, "_b").distinct().join(tails, [*keys, "_b"], "left")
+    buckets = on_keys(b.select(*keys, "_b").distinct(), tails, [*keys, "_b"], "left")
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carried = buckets.select(*keys, "_b", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
     w = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return (b.join(carried, [*keys, "_b"])
+    return (on_keys(b.repartition(*keys, "_b"), carried, [*keys, "_b"])
             .withColumn(name, F.coalesce(F.last(col, ignorenulls=True).over(w), F.col("_carry")))
             .select(*df.columns, name))
 
@@ -109,19 +115,19 @@ def series_grid(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_seri
     if unit != "hour":
         return span.select(*keys, F.explode(F.sequence(first, last, step)).alias(ts))
     # days first, so that a long span never becomes one array of hours
-    days = span.select(*keys, last.alias("_z"), F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("_d"))
+    days = span.select(*keys, last.alias("_z"), F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("_d")).repartition(*keys, "_d")
     end = F.least(F.timestamp_add("HOUR", F.lit(23), F.col("_d")).cast("timestamp_ntz"), F.col("_z"))
     return days.select(*keys, F.explode(F.sequence(F.col("_d"), end, step)).alias(ts))
 
 
 def dense_panel(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
     """Gap-free panel: missing steps appear with NULL values."""
-    return series_grid(df, keys, ts, unit, per_series).join(df, [*keys, ts], "left")
+    return on_keys(series_grid(df, keys, ts, unit, per_series), df, [*keys, ts], "left")
 
 
 def missing_steps(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
     """Time steps that should exist and do not."""
-    return series_grid(df, keys, ts, unit, per_series).join(df.select(*keys, ts), [*keys, ts], "left_anti")
+    return on_keys(series_grid(df, keys, ts, unit, per_series), df.select(*keys, ts), [*keys, ts], "left_anti")
 
 
 # --- panel features ---------------------------------------------------------------------------------------
@@ -144,7 +150,7 @@ def seasonal_shift(horizon: int, season: int = 24) -> int:
 
 def feature_panel(df: DataFrame, keys: Sequence[str], pos: str, value: str, horizon: int,
                   lags: Sequence[int] = FEATURE_LAGS, rolls: Sequence[int] = FEATURE_ROLLS,
-                  closed: str = "right", season: int = 24) -> DataFrame:
+                  closed: str = "right", season: int = 24, dense: bool = False) -> DataFrame:
     """Lags, rolling means, seasonal naive and the target ``horizon`` rows ahead, in one sort."""
     shift = seasonal_shift(horizon, season)
 
@@ -155,14 +161,14 @@ def feature_panel(df: DataFrame, keys: Sequence[str], pos: str, value: str, hori
                 F.lead(value, horizon).over(w).alias("target")]
 
     back = max([*lags, *[n + 1 for n in rolls], shift])
-    return over_chunks(df, keys, pos, build, back=back, ahead=horizon)
+    return over_chunks(df, keys, pos, build, back=back, ahead=horizon, dense=dense)
 
 
 def clock_lag(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: int, name: str) -> DataFrame:
     """Value exactly ``hours`` earlier by the clock, NULL where that hour is missing."""
     past = df.select(*keys, F.timestamp_add("HOUR", F.lit(hours), ts).cast("timestamp_ntz").alias(ts),
                      F.col(value).alias(name))
-    return df.join(past, [*keys, ts], "left")
+    return on_keys(df, past, [*keys, ts], "left")
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -172,7 +178,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def zscore(df: DataFrame, keys: Sequence[str], value: str, name: str = "z", stats: DataFrame | None = None) -> DataFrame:
     """(value - mean) / sample deviation per group, keeping mu and sigma for the way back."""
     stats = group_stats(df, keys, value) if stats is None else stats
-    return df.join(stats, list(keys)).withColumn(
+    return on_keys(df, stats, keys).withColumn(
         name, (F.col(value) - F.col("mu")) / F.when(F.col("sigma") != 0, F.col("sigma")))
 
 
@@ -193,29 +199,29 @@ def minmax_inverse(scaled: Column, lo: Column, hi: Column) -> Column:
     return scaled * (hi - lo) + lo
 
 
-def difference(df: DataFrame, keys: Sequence[str], pos: str, value: str, seasons: Sequence[int]) -> DataFrame:
+def difference(df: DataFrame, keys: Sequence[str], pos: str, value: str, seasons: Sequence[int], dense: bool = False) -> DataFrame:
     return over_chunks(df, keys, pos, lambda w: [
-        (F.col(value) - F.lag(value, s).over(w)).alias(f"diff_{s}") for s in seasons], back=max(seasons))
+        (F.col(value) - F.lag(value, s).over(w)).alias(f"diff_{s}") for s in seasons], back=max(seasons), dense=dense)
 
 
-def sequence_windows(df: DataFrame, keys: Sequence[str], pos: str, value: str, length: int) -> DataFrame:
+def sequence_windows(df: DataFrame, keys: Sequence[str], pos: str, value: str, length: int, dense: bool = False) -> DataFrame:
     """Look-back arrays of the ``length`` rows before each row; rows without a full window are left out."""
     out = over_chunks(df, keys, pos, lambda w: [
-        F.collect_list(value).over(w.rowsBetween(-length, -1)).alias("window")], back=length)
+        F.collect_list(value).over(w.rowsBetween(-length, -1)).alias("window")], back=length, dense=dense)
     return out.filter(F.size("window") == length)
 
 
-def autocorrelation(df: DataFrame, keys: Sequence[str], pos: str, value: str, max_lag: int) -> DataFrame:
+def autocorrelation(df: DataFrame, keys: Sequence[str], pos: str, value: str, max_lag: int, dense: bool = False) -> DataFrame:
     """acf[k] = sum (y_t - m)(y_{t-k} - m) / sum (y_t - m)^2 for k = 1..max_lag."""
     mean = df.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    d = df.join(mean, list(keys)).withColumn("_d", F.col(value) - F.col("_m"))
+    d = on_keys(df, mean, keys).withColumn("_d", F.col(value) - F.col("_m"))
     past = over_chunks(d, keys, pos, lambda w: [
-        F.collect_list("_d").over(w.rowsBetween(-max_lag, 0)).alias("_past")], back=max_lag)
+        F.collect_list("_d").over(w.rowsBetween(-max_lag, 0)).alias("_past")], back=max_lag, dense=dense)
     # the lag rows exist only inside the task: partial aggregation folds them before the shuffle
     pairs = past.select(*keys, "_d", F.posexplode(F.reverse("_past")).alias("lag", "_dk"))
     sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("_d") * F.col("_dk")).alias("_c"), F.count("*").alias("_n"))
     base = sums.filter("lag = 0").select(*keys, F.col("_c").alias("_c0"), F.col("_n").alias("n"))
-    return (sums.filter("lag > 0").join(base, list(keys))
+    return (on_keys(sums.filter("lag > 0"), base, keys)
             .select(*keys, F.col("lag").cast("int").alias("lag"), "n",
                     (F.col("_c") / F.when(F.col("_c0") != 0, F.col("_c0"))).alias("acf")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wattframe.joins import on_keys
 from wattframe.operators.panel import with_row_index
 from wattframe.operators.quantiles import quantiles
 
@@ -101,7 +102,7 @@ def with_share(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "s
     """Percent of the total, of the table or of each group."""
     if by:
         totals = df.groupBy(*by).agg(F.sum(value).alias("_t"))
-        return (df.join(totals, list(by))
+        return (on_keys(df, totals, by)
                 .withColumn(name, 100 * F.col(value) / F.when(F.col("_t") != 0, F.col("_t"))).drop("_t"))
     total = df.agg(F.nullif(F.sum(value), F.lit(0.0))).scalar()
     return df.withColumn(name, 100 * F.col(value) / total)
@@ -122,7 +123,7 @@ def best_per_group(df: DataFrame, keys: Sequence[str], score: str, tie: str) ->
 def improvement_vs(df: DataFrame, keys: Sequence[str], model: str, score: str, base: str, name: str = "improvement_pct") -> DataFrame:
     """100 (1 - score / score of the base row) per group."""
     ref = df.filter(F.col(model) == base).select(*keys, F.col(score).alias("_base"))
-    return (df.join(ref, list(keys), "left")
+    return (on_keys(df, ref, keys, "left")
             .withColumn(name, 100 * (1 - F.col(score) / F.when(F.col("_base") != 0, F.col("_base")))).drop("_base"))
 
 

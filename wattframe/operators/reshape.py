@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wattframe.joins import on_keys
 from wattframe.functions import clean
 
 GROUP_ROW, FUEL_ROW, FIRST_DATA_ROW = 3, 4, 5  # fixed values: layout of a balance sheet
@@ -66,5 +67,5 @@ def grid_to_long(cells: DataFrame, sheet: Sequence[str]) -> DataFrame:
     body = (cells.filter((row >= FIRST_DATA_ROW) & (col > 0))
             .select(*sheet, "row_idx", "col_idx", clean.parse_number("cell").alias("value"))
             .filter(F.col("value").isNotNull()))
-    return (body.join(labels, [*sheet, "row_idx"]).join(heads, [*sheet, "col_idx"])
+    return (on_keys(on_keys(body, labels, [*sheet, "row_idx"]), heads, [*sheet, "col_idx"])
             .select(*sheet, "row_idx", "col_idx", "section", "line_item", "fuel_group", "fuel", "value"))

@@ -59,14 +59,27 @@ def merge_train_val(df: DataFrame) -> DataFrame:
     return df.filter(F.col("split").isin("train", "val"))
 
 
-def walk_forward_cutoffs(sizes: DataFrame, keys: Sequence[str], n: str, horizon: int, max_folds: int = 12) -> DataFrame:
-    """Cut-offs of the expanding-window folds per series length: at most ``max_folds`` of them."""
-    size = F.col(n)
-    folds = F.greatest(F.lit(2), F.least(F.floor(size * 0.4), F.lit(max_folds)))
-    start = F.greatest(F.lit(3), size - folds - horizon + 1)
-    ok = sizes.filter((size >= 4)).withColumn("_s", start.cast("bigint")).withColumn("_e", (size - horizon).cast("bigint"))
-    return (ok.filter("_s <= _e").select(*keys, F.col("_s"), F.explode(F.sequence("_s", "_e")).alias("cutoff"))
-            .select(*keys, (F.col("cutoff") - F.col("_s")).cast("int").alias("fold"), "cutoff"))
+def fold_plan(sizes: DataFrame, keys: Sequence[str], n: str, horizon: int, folds: Column | None = None, first: int = 3) -> DataFrame:
+    """Per series its length, first cut-off, number of expanding-window folds, and why there are none.
+
+    Every cut-off with at least ``first`` rows before it and ``horizon`` rows from it on is a fold; ``folds`` asks for the last so many.
+    """
+    size = F.col(n).cast("bigint")
+    start = F.lit(first).cast("bigint") if folds is None else F.greatest(F.lit(first), size - folds - horizon + 1).cast("bigint")
+    count = F.greatest(F.lit(0), size - horizon - start + 1).cast("bigint")
+    return sizes.select(*keys, size.alias("n_rows"), start.alias("first_cutoff"), count.alias("n_folds"),
+                        F.when(count == 0, "too short for one fold").alias("reason"))
+
+
+def walk_forward_cutoffs(sizes: DataFrame, keys: Sequence[str], n: str, horizon: int, folds: Column | None = None, first: int = 3) -> DataFrame:
+    """Cut-offs of the folds of ``fold_plan``, numbered from 0; series too short for one have a row there and none here."""
+    plan = fold_plan(sizes, keys, n, horizon, folds, first).filter("n_folds > 0")
+    return plan.select(*keys, F.posexplode(F.sequence(F.col("first_cutoff"), F.col("first_cutoff") + F.col("n_folds") - 1)).alias("fold", "cutoff"))
+
+
+def recent_folds(n: str, share: float = 0.4, most: int = 12, least: int = 2) -> Column:
+    """Number of folds for ``walk_forward_cutoffs``: a share of the series, between two bounds."""
+    return F.greatest(F.lit(least), F.least(F.floor(F.col(n) * share), F.lit(most)))
 
 
 def fold_targets(cutoffs: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
@@ -76,10 +89,15 @@ def fold_targets(cutoffs: DataFrame, keys: Sequence[str], horizon: int) -> DataF
             .withColumn("idx", (F.col("cutoff") + F.col("step") - 1).cast("bigint")))
 
 
-def rolling_origin_folds(sizes: DataFrame, keys: Sequence[str], n: str, k: int, min_rows: int = 500) -> DataFrame:
-    """``k`` equal folds: fold i trains on rows before ``test_from`` and tests up to ``test_to`` (exclusive)."""
+def rolling_origin_folds(sizes: DataFrame, keys: Sequence[str], n: str, k: int, min_rows: int | None = None) -> DataFrame:
+    """``k`` equal folds: fold i trains on rows before ``test_from`` and tests up to ``test_to`` (exclusive).
+
+    A series with fewer than ``min_rows`` rows (k + 1 unless given) has one row with a reason instead.
+    """
+    least = F.lit(k + 1 if min_rows is None else max(min_rows, k + 1))
     size = F.floor(F.col(n) / (k + 1)).cast("bigint")
-    return (sizes.filter(F.col(n) >= min_rows)
-            .select(*keys, F.col(n), size.alias("_z"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("fold"))
-            .select(*keys, "fold", (F.col(n) - (k - F.col("fold") + 1) * F.col("_z")).alias("test_from"),
-                    (F.col(n) - (k - F.col("fold")) * F.col("_z")).alias("test_to")))
+    fits = F.col(n) >= least
+    numbers = F.when(fits, F.sequence(F.lit(1), F.lit(k))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = sizes.select(*keys, F.col(n), size.alias("_z"), F.explode(numbers).alias("fold"))
+    return rows.select(*keys, "fold", (F.col(n) - (k - F.col("fold") + 1) * F.col("_z")).alias("test_from"),
+                       (F.col(n) - (k - F.col("fold")) * F.col("_z")).alias("test_to"), F.when(F.col("fold").isNull(), "too few rows").alias("reason"))

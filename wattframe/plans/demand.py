@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.joins import on_keys
 from wattframe.functions import calendar, clean
 from wattframe.operators import disagg, forecast as fc, learners, metrics, panel, reshape, splits
 from wattframe.session import cut_lineage
@@ -49,16 +50,16 @@ def _long(df: DataFrame, keys: Sequence[str], model: str, pred: Column) -> DataF
     return df.select(*keys, "ts", "pos", "split", F.lit(model).alias("model"), F.col("target").alias("y_true"), pred.alias("y_pred"))
 
 
-def _evaluate(preds: DataFrame, train: DataFrame, keys: Sequence[str], value: str, horizon: int, season: int, per_region: bool) -> dict[str, DataFrame]:
+def _evaluate(preds: DataFrame, models: Sequence[str], train: DataFrame, keys: Sequence[str], value: str, horizon: int, season: int, per_region: bool,
+              tail: str = "normal") -> dict[str, DataFrame]:
     preds = cut_lineage(preds)
     by = ["model", *(keys if per_region else [])]
     test = fc.conformal_band(preds.filter("split = 'val'"), preds.filter("split = 'test'"), by)
     scale = metrics.mase_scale(train, keys, "pos", value, season)
     scored = metrics.score(test, ["model", *keys], lo="lo", hi="hi")
     table = metrics.with_mase(scored, scale, keys).withColumn("horizon", F.lit(horizon))
-    models = [r["model"] for r in preds.select("model").distinct().collect()]  # a handful of names
     errors = metrics.paired_errors(test, [*keys, "pos"], "model", "y_true", "y_pred", metrics.all_pairs(models))
-    dm = metrics.with_p_value(metrics.diebold_mariano(errors, ["model_a", "model_b"], keys, "pos", horizon, "flat"))
+    dm = metrics.with_p_value(metrics.diebold_mariano(errors, ["model_a", "model_b"], keys, "pos", horizon, "flat"), tail)
     return {"predictions": test, "metrics": table, "comparison": dm.withColumn("horizon", F.lit(horizon))}
 
 
@@ -73,18 +74,20 @@ def train_and_evaluate(load: DataFrame, keys: Sequence[str], ts: str, value: str
         _long(learners.direct(train, rest, FEATURES, "target", **params), keys, "own", F.col("y_pred")),
         _long(learners.pooled_transfer(source, train, rest, FEATURES, "target", **params), keys, "pooled", F.col("y_pred")),
         _long(learners.residual_transfer(source, train, rest, FEATURES, "target", **params), keys, "transfer", F.col("y_pred")))
-    return _evaluate(preds, train, keys, value, horizon, season, per_region=False)
+    return _evaluate(preds, ["seasonal_naive", "own", "pooled", "transfer"], train, keys, value, horizon, season, per_region=False)
 
 
 def mirror_test(load: DataFrame, keys: Sequence[str], ts: str, value: str, target: Column, horizon: int = 24, season: int = 24,
                 **params) -> dict[str, DataFrame]:
     """The same comparison on z-scores per region, with the forecasts turned back into units before scoring.
 
-    Mean and deviation come from each region's training rows.
+    Mean and deviation come from each region's training rows; p-values take the Student tail.
     """
     split = splits.chronological_split(panel.with_hour_position(load, ts), keys, ts, F.col(ts).cast("date"), 0.7, 0.15)
     stats = cut_lineage(panel.group_stats(split.filter("split = 'train'"), keys, value))
-    z = panel.zscore(load, keys, value, "z", stats).drop("mu", "sigma").filter(F.col("z").isNotNull())
+    z = panel.zscore(load, keys, value, "z", stats).drop("mu", "sigma")
+    # a region without deviation stays, at its mean
+    z = z.withColumn("z", F.coalesce("z", F.lit(0.0))).filter(F.col(value).isNotNull())
     f = feature_table(z.withColumn("raw", F.col(value)), keys, ts, "z", horizon, 0.7, 0.15)
     own, source = f.filter(target), f.filter(~target & F.col("split").isin("train", "val"))
     train, rest = own.filter("split = 'train'"), own.filter("split <> 'train'")
@@ -93,9 +96,10 @@ def mirror_test(load: DataFrame, keys: Sequence[str], ts: str, value: str, targe
         _long(learners.direct(train, rest, FEATURES, "target", **params), keys, "target_only", F.col("y_pred")),
         _long(learners.zero_shot(source, rest, FEATURES, "target", **params), keys, "source_only", F.col("y_pred")),
         _long(learners.residual_transfer(source, train, rest, FEATURES, "target", **params), keys, "transfer", F.col("y_pred")))
-    back = preds.join(stats, list(keys)).select(
+    back = on_keys(preds, stats, keys).select(
         *keys, "ts", "pos", "split", "model", *[panel.denormalize(F.col(c), F.col("mu"), F.col("sigma")).alias(c) for c in ("y_true", "y_pred")])
-    return _evaluate(back, train.withColumn(value, F.col("raw")), keys, value, horizon, season, per_region=True)
+    return _evaluate(back, ["seasonal_naive", "target_only", "source_only", "transfer"], train.withColumn(value, F.col("raw")), keys, value, horizon, season,
+                     per_region=True, tail="t")
 
 
 def walk_forward_compare(series: DataFrame, keys: Sequence[str], order: str, bucket: Column, value: str, horizon: int, season: int,
@@ -105,12 +109,12 @@ def walk_forward_compare(series: DataFrame, keys: Sequence[str], order: str, buc
     With ``save_to`` the predictions replace those of the same series in a table partitioned by series.
     """
     s = cut_lineage(panel.with_row_index(series, keys, [order], bucket))
-    cut = splits.walk_forward_cutoffs(s.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", horizon)
+    cut = splits.walk_forward_cutoffs(s.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", horizon, splits.recent_folds("n"))
     preds = fc.walk_forward(s, cut, splits.fold_targets(cut, keys, horizon), keys, "idx", value, horizon, season, holt)
     if save_to:
         replace_slice(preds, save_to, keys)
     last = cut.groupBy(*keys).agg(F.max("cutoff").alias("_last"))
-    train = s.join(last, list(keys)).filter(F.col("idx") < F.col("_last")).drop("_last")
+    train = on_keys(s, last, keys).filter(F.col("idx") < F.col("_last")).drop("_last")
     scored = metrics.with_mase(metrics.score(preds, [*keys, "model"]), metrics.mase_scale(train, keys, "idx", value, 1), keys)
     models = ["persistence", "mean", "trend", "seasonal", *(["holt"] if holt else [])]
     errors = metrics.paired_errors(preds, [*keys, "fold", "step"], "model", "y_true", "y_pred", metrics.versus(models, base))

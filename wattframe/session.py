@@ -30,7 +30,7 @@ def build_session(app: str = "wattframe", master: str | None = None, **conf: str
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder named by the cluster; one of this machine only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -39,6 +39,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(current)
     return current

@@ -113,8 +113,8 @@ def build_manifest(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFram
     return out
 
 
-def catalog_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows per table and type and NULL count per column, one aggregate per table."""
+def catalog_profile(tables: Mapping[str, DataFrame], total: str | None = None) -> DataFrame:
+    """Rows per table and type and NULL count per column, one aggregate per table; ``total`` names a last row over all tables."""
     parts = []
     for name, df in tables.items():
         types = dict(df.dtypes)
@@ -126,7 +126,11 @@ def catalog_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if total is None:
+        return out
+    each = out.groupBy("tbl").agg(F.first("n_rows").alias("n_rows"), F.first("n_columns").alias("n_columns"), F.sum("n_null").alias("n_null"))
+    whole = each.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_columns").cast("int").alias("n_columns"), F.sum("n_null").alias("n_null"))
+    return out.unionByName(whole.select(F.lit(total).alias("tbl"), "*", *[F.lit(None).cast("string").alias(c) for c in ("column_name", "column_type")]))
 
 
 def preview(df: DataFrame, order: Sequence, n: int) -> DataFrame:

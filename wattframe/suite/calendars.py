@@ -180,7 +180,7 @@ ser as (select region_id, ts, y, row_number() over (partition by region_id order
 def fold_frame(v, horizon=24):
     s = cut_lineage(panel.with_row_index(v.dense.drop("is_filled"), R, ["ts"], day()))  # read once per model family
     sizes = s.groupBy("region_id").agg(F.count("*").alias("n"))
-    cut = splits.walk_forward_cutoffs(sizes, R, "n", horizon)
+    cut = splits.walk_forward_cutoffs(sizes, R, "n", horizon, splits.recent_folds("n"))
     return s, cut, splits.fold_targets(cut, R, horizon)
 
 
@@ -192,11 +192,22 @@ def walk_forward_folds(v):
 
 
 @query("u11_rolling_origin_folds", """
-select region_id, fold::int as fold, n - (5 - fold + 1) * (n // 6) as test_from, n - (5 - fold) * (n // 6) as test_to
-from (select region_id, count(*) as n from fx_hourly group by 1) a cross join (select unnest(range(1, 6)) as fold) f where n >= 500""")
+with a as (select region_id, count(*) as n from fx_hourly group by 1)
+select region_id, fold::int as fold, n - (5 - fold + 1) * (n // 6) as test_from, n - (5 - fold) * (n // 6) as test_to, cast(null as varchar) as reason
+from a cross join (select unnest(range(1, 6)) as fold) f where n >= 500
+union all select region_id, null, null, null, 'too few rows' from a where n < 500""")
 def rolling_origin_folds(v):
     sizes = v.hourly.groupBy("region_id").agg(F.count("*").alias("n"))
-    return splits.rolling_origin_folds(sizes, R, "n", 5)
+    return splits.rolling_origin_folds(sizes, R, "n", 5, min_rows=500)
+
+
+@query("u10_all_folds", """
+with a as (select event_type, user_id, count(*) as n from events group by 1, 2)
+select event_type, user_id, n as n_rows, 3::bigint as first_cutoff, greatest(0, n - 24 - 3 + 1)::bigint as n_folds,
+  case when n - 24 - 3 + 1 <= 0 then 'too short for one fold' end as reason from a""")
+def all_folds(v):
+    sizes = v.t("events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return splits.fold_plan(sizes, ["event_type", "user_id"], "n", 24)
 
 
 @query("u12_merge_train_val", "select region_id, count(*) as n from (" + _SPLIT.format(

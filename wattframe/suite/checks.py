@@ -90,11 +90,10 @@ def metric_realism(v):
 
 
 @query("q7_null_counts", """
-select 'click_load_actual' as column_name, count(*) - count(click_load_actual) as n_null from fx_load_wide
-union all select 'ts', count(*) - count(ts) from fx_load_wide
-union all select 'view_load_actual', count(*) - count(view_load_actual) from fx_load_wide""")
+""" + " union all ".join(f"select '{c}' as column_name, count(*) - count({c}) as n_null from fx_load_wide"
+                     for c in ("ts", *[f"{k}_load_actual" for k in ("click", "error", "purchase", "signup", "view")])))
 def null_counts(v):
-    return quality.null_counts(v.load_wide, ["click_load_actual", "ts", "view_load_actual"])
+    return quality.null_counts(v.load_wide, v.load_wide.columns)
 
 
 RAW_SQL = """raw as (select event_type as series, case event_id % 50 when 7 then 'bad' when 8 then null else

@@ -186,11 +186,10 @@ def clip(v):
 
 
 @query("n19_missing_flags", """
-select ts, case when click_load_actual is null then 1 else 0 end as click_load_actual_missing_flag,
-  case when view_load_actual is null then 1 else 0 end as view_load_actual_missing_flag,
-  1 as gdp_missing_flag from fx_load_wide""")
+select ts, """ + ", ".join(f"case when {k}_load_actual is null then 1 else 0 end as {k}_load_actual_missing_flag"
+                           for k in ("click", "error", "purchase", "signup", "view")) + """, 1 as gdp_missing_flag from fx_load_wide""")
 def missing_flags(v):
-    cols = ["click_load_actual", "view_load_actual", "gdp"]
+    cols = [*[c for c in v.load_wide.columns if c != "ts"], "gdp"]
     return clean.missing_flags(v.load_wide, cols).select("ts", *[f"{c}_missing_flag" for c in cols])
 
 

@@ -23,7 +23,7 @@ from f join s using (region_id) where i >= floor(cnt * (0.7::double + 0.15::doub
 def panel_scores(v):
     """Dense panel -> features -> seasonal naive -> per-region time split -> scores."""
     s = chronological_split(dense(v), R, "ts", F.col("ts").cast("date"), 0.7, 0.15)
-    f = panel.feature_panel(s, R, "pos", "y", 24)
+    f = panel.feature_panel(s, R, "pos", "y", 24, dense=True)
     test = f.filter("split = 'test' and target is not null and lag_168 is not null")
     scores = metrics.score(test, R, "target", "snaive")
     scale = metrics.mase_scale(s.filter("split = 'train'"), R, "pos", "y", 24)

@@ -103,7 +103,7 @@ def feature_rows(v, horizon=H):
     from wattframe.functions.calendar import with_parts
 
     s = splits.chronological_split(dense(v), R, "ts", F.col("ts").cast("date"))
-    f = panel.feature_panel(s, R, "pos", "y", horizon)
+    f = panel.feature_panel(s, R, "pos", "y", horizon, dense=True)
     return cut_lineage(with_parts(f, "ts", ["hour", "dow"]).filter("target is not null and lag_168 is not null").drop("is_filled"))
 
 
@@ -152,10 +152,9 @@ def residual_hybrid(v):
 def rolling_origin_backtest(v):
     f = feature_rows(v)
     sizes = f.groupBy("region_id").agg(F.count("*").alias("n"))
-    folds = splits.rolling_origin_folds(sizes.groupBy().agg(F.max("n").alias("n")), [], "n", 3, min_rows=100)
-    rows = [(r["fold"], r["test_from"], r["test_to"]) for r in folds.orderBy("fold").collect()]  # one row per fold
+    folds = splits.rolling_origin_folds(sizes, R, "n", 3)
     numbered = panel.with_row_index(f, R, ["ts"], F.col("ts").cast("date"), index="row_no")
-    return rounded(learners.rolling_origin(numbered, rows, F.col("row_no"), FEATURES, "target", **SMALL), 4)
+    return rounded(learners.rolling_origin(numbered, folds, R, 3, "row_no", FEATURES, "target", **SMALL), 4)
 
 
 @query("m14_walk_forward", f"""

@@ -21,7 +21,7 @@ def dense(v):
     f"round(lag(y, {k}) over w, 4) as lag_{k}" for k in panel.FEATURE_LAGS)
     + " from fx_hourly_dense window w as (partition by region_id order by ts)")
 def lags(v):
-    out = panel.over_chunks(dense(v), R, "pos", lambda w: panel.lag_columns(w, "y", panel.FEATURE_LAGS), back=168)
+    out = panel.over_chunks(dense(v), R, "pos", lambda w: panel.lag_columns(w, "y", panel.FEATURE_LAGS), back=168, dense=True)
     return rounded(out.select("region_id", "ts", *[f"lag_{k}" for k in panel.FEATURE_LAGS]), 4)
 
 
@@ -37,7 +37,7 @@ def lags_row_index(v):
 @query("w2_lead", """
 select region_id, ts, round(lead(y, 24) over (partition by region_id order by ts), 4) as target from fx_hourly_dense""")
 def lead(v):
-    out = panel.over_chunks(dense(v), R, "pos", lambda w: [F.lead("y", 24).over(w).alias("target")], back=0, ahead=24)
+    out = panel.over_chunks(dense(v), R, "pos", lambda w: [F.lead("y", 24).over(w).alias("target")], back=0, ahead=24, dense=True)
     return rounded(out.select("region_id", "ts", "target"), 4)
 
 
@@ -47,7 +47,7 @@ select region_id, ts, round(avg(y) over (partition by region_id order by ts rows
 from fx_hourly_dense""")
 def rolling_mean(v):
     out = panel.over_chunks(dense(v), R, "pos", lambda w: [
-        (panel.rolling(w, "y", n) + 1e-9).alias(f"roll_{n}") for n in (24, 168)], back=167)  # no ties in rounding
+        (panel.rolling(w, "y", n) + 1e-9).alias(f"roll_{n}") for n in (24, 168)], back=167, dense=True)  # no ties in rounding
     return rounded(out.select("region_id", "ts", "roll_24", "roll_168"), 6)
 
 
@@ -55,7 +55,7 @@ def rolling_mean(v):
 select region_id, ts, round(stddev_samp(y) over (partition by region_id order by ts rows between 23 preceding and current row), 5)
   as std_24 from fx_hourly_dense""")
 def rolling_std(v):
-    out = panel.over_chunks(dense(v), R, "pos", lambda w: [panel.rolling(w, "y", 24, "std").alias("std_24")], back=23)
+    out = panel.over_chunks(dense(v), R, "pos", lambda w: [panel.rolling(w, "y", 24, "std").alias("std_24")], back=23, dense=True)
     return rounded(out.select("region_id", "ts", "std_24"), 5)
 
 
@@ -64,7 +64,7 @@ select region_id, ts, round(avg(y) over w, 6) as mean_24, round(min(y) over w, 4
 from fx_hourly_dense window w as (partition by region_id order by ts rows between 24 preceding and 1 preceding)""")
 def rolling_left(v):
     out = panel.over_chunks(dense(v), R, "pos", lambda w: [
-        panel.rolling(w, "y", 24, how, "left").alias(f"{how}_24") for how in ("mean", "min", "max")], back=24)
+        panel.rolling(w, "y", 24, how, "left").alias(f"{how}_24") for how in ("mean", "min", "max")], back=24, dense=True)
     return rounded(rounded(out.select("region_id", "ts", "mean_24", "min_24", "max_24"), 6, "mean_24"), 4, "min_24", "max_24")
 
 
@@ -81,7 +81,7 @@ from fx_hourly_dense window w as (partition by region_id order by ts)""")
 def seasonal_naive(v):
     hs = (1, 24, 36)
     out = panel.over_chunks(dense(v), R, "pos", lambda w: [
-        F.lag("y", panel.seasonal_shift(h)).over(w).alias(f"h{h}") for h in hs], back=24)
+        F.lag("y", panel.seasonal_shift(h)).over(w).alias(f"h{h}") for h in hs], back=24, dense=True)
     return rounded(out.select("region_id", "ts", *[f"h{h}" for h in hs]), 4)
 
 
@@ -128,20 +128,23 @@ def standardize(v):
     return rounded(fitted.transform(x).select("region_id", "ts", z[0].alias("z_y"), z[1].alias("z_lag_1")), 5)
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")  # the series of the wide load view
+
+
 @query("w12_impute_median", """
-with m as (select median(click_load_actual) as a, median(error_load_actual) as b from fx_load_wide where ts < timestamp '2024-01-20')
-select ts, round(coalesce(click_load_actual, a, 0), 4) as click, round(coalesce(error_load_actual, b, 0), 4) as error
+with m as (select """ + ", ".join(f"median({k}_load_actual) as m_{k}" for k in KINDS) + """ from fx_load_wide where ts < timestamp '2024-01-20')
+select ts, """ + ", ".join(f"round(coalesce({k}_load_actual, m_{k}, 0), 4) as {k}" for k in KINDS) + """
 from fx_load_wide, m""")
 def impute(v):
-    w = v.load_wide.select("ts", F.col("click_load_actual").alias("click"), F.col("error_load_actual").alias("error"))
-    return rounded(impute_median(w, w.filter("ts < timestamp_ntz'2024-01-20'"), ["click", "error"]), 4)
+    w = v.load_wide.select("ts", *[F.col(f"{k}_load_actual").alias(k) for k in KINDS])
+    return rounded(impute_median(w, w.filter("ts < timestamp_ntz'2024-01-20'"), list(KINDS)), 4)
 
 
 @query("w13_difference", """
 select region_id, ts, round(y - lag(y, 1) over w, 4) as diff_1, round(y - lag(y, 24) over w, 4) as diff_24
 from fx_hourly_dense window w as (partition by region_id order by ts)""")
 def difference(v):
-    return rounded(panel.difference(dense(v), R, "pos", "y", [1, 24]).select("region_id", "ts", "diff_1", "diff_24"), 4)
+    return rounded(panel.difference(dense(v), R, "pos", "y", [1, 24], dense=True).select("region_id", "ts", "diff_1", "diff_24"), 4)
 
 
 @query("w14_rank_desc", "select site, round(volume, 2) as volume, rank() over (order by volume desc) as rank from fx_sites")
@@ -153,7 +156,7 @@ def rank_desc(v):
 select o_orderkey, rank() over (partition by o_orderstatus order by o_totalprice desc) as rank from orders""")
 def rank_orders(v):
     o = v.t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return with_rank(o, ["o_orderstatus"], "o_totalprice").select("o_orderkey", "rank")
+    return with_rank(o, ["o_orderstatus"], "o_totalprice", stored=True).select("o_orderkey", "rank")
 
 
 @query("w15_row_index", "select region_id, ts, row_number() over (partition by region_id order by ts) - 1 as idx from fx_hourly")
@@ -181,19 +184,19 @@ acf as (select c.region_id, c.lag::int as lag, n, c / c0 as acf from c join z us
 
 @query("w18_acf", f"with {_ACF} select region_id, lag, n, round(acf, 6) as acf from acf")
 def acf(v):
-    return rounded(panel.autocorrelation(dense(v), R, "pos", "y", 24), 6)
+    return rounded(panel.autocorrelation(dense(v), R, "pos", "y", 24, dense=True), 6)
 
 
 @query("w18_pacf")
 def pacf(v):
-    return rounded(panel.partial_autocorrelation(panel.autocorrelation(dense(v), R, "pos", "y", 24), R), 6)
+    return rounded(panel.partial_autocorrelation(panel.autocorrelation(dense(v), R, "pos", "y", 24, dense=True), R), 6)
 
 
 @query("w19_ljung_box", f"""
 with {_ACF} select region_id, max(lag) as m, max(n) as n, round(max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)), 4) as q_stat
 from acf group by 1""")
 def ljung_box(v):
-    return rounded(panel.ljung_box(panel.autocorrelation(dense(v), R, "pos", "y", 24), R), 4)
+    return rounded(panel.ljung_box(panel.autocorrelation(dense(v), R, "pos", "y", 24, dense=True), R), 4)
 
 
 @query("w20_feature_matrix", """

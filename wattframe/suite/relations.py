@@ -302,12 +302,16 @@ def weekday_profile(v):
     return rounded(v.market.groupBy("zone", F.weekday("d").alias("dow")).agg((F.avg("payment") + 1e-9).alias("mean_payment")), 6)
 
 
+# the zones of the market view are the names of the region table
+ZONES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
 @query("a9_month_zone_pivot", """
-select cast(make_date(yr, mo, 1) as timestamp) as month_ts, round(sum(total) filter (zone = 'ASIA'), 2) as "ASIA",
-  round(sum(total) filter (zone = 'EUROPE'), 2) as "EUROPE" from fx_monthly_zone group by 1""")
+select cast(make_date(yr, mo, 1) as timestamp) as month_ts, """ + ", ".join(
+    f"round(sum(total) filter (zone = '{z}'), 2) as \"{z}\"" for z in ZONES) + """ from fx_monthly_zone group by 1""")
 def month_zone_pivot(v):
     m = v.monthly_zone.withColumn("month_ts", calendar.month_start("yr", "mo"))
-    return rounded(m.groupBy("month_ts").pivot("zone", ["ASIA", "EUROPE"]).agg(F.sum("total")), 2)
+    return rounded(m.groupBy("month_ts").pivot("zone", list(ZONES)).agg(F.sum("total")), 2)
 
 
 @query("a10_daily_mean", """
@@ -356,7 +360,7 @@ def abs_residual_quantile(v):
 select l_returnflag, count(*) as n, quantile_cont(l_extendedprice, 0.05) as q05, median(l_extendedprice) as q50,
   quantile_cont(l_extendedprice, 0.95) as q95 from lineitem group by 1""")
 def price_quantiles(v):
-    return quantiles(v.t("lineitem"), ["l_returnflag"], "l_extendedprice", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    return quantiles(v.t("lineitem"), ["l_returnflag"], "l_extendedprice", {"q05": 0.05, "q50": 0.5, "q95": 0.95}, stored=True)
 
 
 @query("a16_distribution_by_unit", """

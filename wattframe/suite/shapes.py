@@ -8,9 +8,9 @@ from wattframe.suite.registry import query, rounded
 
 @query("r1_melt", """
 select ts, split_part(name, '_', 1) as region_id, round(v, 4) as load_mw from (
-  unpivot fx_load_wide on click_load_actual, view_load_actual, error_load_actual into name name value v) u""")
+  unpivot fx_load_wide on click_load_actual, error_load_actual, purchase_load_actual, signup_load_actual, view_load_actual into name name value v) u""")
 def melt(v):
-    cols = ["click_load_actual", "view_load_actual", "error_load_actual"]
+    cols = [c for c in v.load_wide.columns if c != "ts"]
     long = reshape.melt(v.load_wide, ["ts"], cols, "name", "load_mw").filter(F.col("load_mw").isNotNull())
     return rounded(long.select("ts", F.split_part("name", F.lit("_"), F.lit(1)).alias("region_id"), "load_mw"), 4)
 
@@ -28,11 +28,11 @@ def pivot(v):
 @query("r2_pivot_two_levels", """
 select line_item, """ + ", ".join(
     f"round(sum(case when yr = {y} and section = '{s}' then value end), 2) as \"{y}__{s}\""
-    for y in (1993, 1997) for s in ("F", "O")) + """
+    for y in range(1992, 1999) for s in ("F", "O")) + """
 from fx_balance_long where unit = 'TJ' group by 1""")
 def pivot_two_levels(v):
     tj = v.balance_long.filter("unit = 'TJ'")
-    names = [f"{y}__{s}" for y in (1993, 1997) for s in ("F", "O")]
+    names = [f"{y}__{s}" for y in range(1992, 1999) for s in ("F", "O")]
     return rounded(reshape.pivot(tj, ["line_item"], ["yr", "section"], F.sum("value"), names), 2)
 
 
@@ -108,6 +108,6 @@ select region_id, ts, round(y, 4) as y, array_to_string(list_transform(w, lambda
   from fx_hourly_dense) a where len(w) = 24""")
 def sequence_windows(v):
     p = panel.with_hour_position(v.dense, "ts")
-    w = panel.sequence_windows(p, ["region_id"], "pos", "y", 24)
+    w = panel.sequence_windows(p, ["region_id"], "pos", "y", 24, dense=True)
     text = F.array_join(F.transform("window", lambda x: F.format_string("%.3f", F.round(x, 3))), " ")
     return rounded(w.select("region_id", "ts", "y", text.alias("seq")), 4)

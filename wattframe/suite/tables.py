@@ -120,8 +120,16 @@ def build_manifest(v):
     return io.build_manifest({"load": (v.hourly, "region_id", "ts"), "orders": (v.t("orders"), "o_orderstatus", "o_orderdate")})
 
 
-# The columns of the profiled standard tables.
+# The columns of the standard tables, with the names of their types in a profile.
 PROFILED = {
+    "region": ["r_regionkey", "r_name"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "embeddings": ["vec_id", "embedding", "label"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
@@ -132,11 +140,18 @@ PROFILED = {
 }
 
 
+# a column's type from any of its values, by the names that Spark gives types
+TYPE_NAME = """(select case any_value(typeof({c})) when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'FLOAT[]' then 'array<float>'
+  when 'TIMESTAMP WITH TIME ZONE' then 'timestamp' when 'TIMESTAMP' then '{stamp}' else lower(any_value(typeof({c}))) end)""".replace("{stamp}", "timestamp_ntz")
+
+
 @query("s13_catalog_profile", " union all ".join(
-    f"select '{t}' as tbl, '{c}' as column_name, count(*) as n_rows, {len(cols)} as n_columns, "
-    f"count(*) - count({c}) as n_null from {t}" for t, cols in PROFILED.items() for c in cols))
+    f"select '{t}' as tbl, '{c}' as column_name, {TYPE_NAME.format(c=c)} as column_type, count(*) as n_rows, {len(cols)} as n_columns, "
+    f"count(*) - count({c}) as n_null from {t}" for t, cols in PROFILED.items() for c in cols)
+    + " union all select 'all tables', null, null, " + " + ".join(f"(select count(*) from {t})" for t in PROFILED)
+    + f", {sum(map(len, PROFILED.values()))}, " + " + ".join(f"(select count(*) - count({c}) from {t})" for t, cols in PROFILED.items() for c in cols))
 def catalog_profile(v):
-    return io.catalog_profile({t: v.t(t) for t in PROFILED}).drop("column_type")
+    return io.catalog_profile({t: v.t(t) for t in PROFILED}, total="all tables")
 
 
 @query("s14_preview", "select event_id, ts, value from events order by event_id limit 10")

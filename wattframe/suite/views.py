@@ -13,12 +13,12 @@ from pyspark.sql.window import Window as W
 from wattframe.operators import panel
 from wattframe.session import cut_lineage
 
-# Fixed values of the site list used by the resource queries: label, latitude, longitude, resource.
+# Places spread over the grid of the weather view, for the resource queries: label, latitude, longitude, resource.
 LOCATIONS = [
-    ("a", 51.1, 71.4, "wind"),
-    ("b", 43.3, 70.4, "solar"),
-    ("c", 43.6, 51.1, "wind"),
-    ("d", 43.2, 76.9, "solar"),
+    ("north", 50.2, 60.7, "wind"),
+    ("east", 46.4, 75.1, "solar"),
+    ("west", 42.8, 51.6, "wind"),
+    ("south", 40.9, 66.3, "solar"),
 ]
 
 
@@ -211,7 +211,7 @@ class Views:
             return [F.lag("y", 1).over(w).alias("p1"), F.lag("y", 24).over(w).alias("p24"),
                     F.avg("y").over(w.rowsBetween(-24, -1)).alias("p_mean")]
 
-        w = panel.over_chunks(panel.with_hour_position(self.dense, "ts"), ["region_id"], "pos", lagged, back=24)
+        w = panel.over_chunks(panel.with_hour_position(self.dense, "ts"), ["region_id"], "pos", lagged, back=24, dense=True)
         models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("y_pred"))
                            for m, c in (("persistence", "p1"), ("seasonal", "p24"), ("mean24", "p_mean"))])
         return (w.filter(F.col("p24").isNotNull())
@@ -256,8 +256,8 @@ VIEW_SQL: dict[str, str] = {
     "fx_grid": """select distinct (40.0 + s_suppkey % 12)::double as lat, (50.0 + s_suppkey % 27)::double as lon
         from supplier""",
     "fx_locations": """select label, lat::double as lat, lon::double as lon, resource from (values
-        ('a', 51.1, 71.4, 'wind'), ('b', 43.3, 70.4, 'solar'), ('c', 43.6, 51.1, 'wind'),
-        ('d', 43.2, 76.9, 'solar')) t(label, lat, lon, resource)""",
+        ('north', 50.2, 60.7, 'wind'), ('east', 46.4, 75.1, 'solar'), ('west', 42.8, 51.6, 'wind'),
+        ('south', 40.9, 66.3, 'solar')) t(label, lat, lon, resource)""",
     "fx_sites": """select n_name as site, count(distinct c_custkey) as demand, avg(c_acctbal) as credit,
         sum(o_totalprice) as volume, min(o_totalprice) as cost, n_regionkey as region
         from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey
