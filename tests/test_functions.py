@@ -43,6 +43,7 @@ def test_encoding_repair(spark):
 
 def test_names_are_safe_and_distinct():
     assert clean.safe_names(["A b", "a-b", "A_B", "?"]) == ["a_b", "a_b_1", "a_b_2", "col"]
+    assert clean.safe_names(["a", "a", "a_1", "a_1", "a"]) == ["a", "a_2", "a_1", "a_1_1", "a_3"]
 
 
 def test_number_rules(spark):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,28 +83,67 @@ def zero_shot(source: DataFrame, test: DataFrame, features: Sequence[str], targe
 def lag_gbt(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: int, horizon: int, model: str = "lag_gbt", **params) -> DataFrame:
     """Trees on p lags, pooled over the series; each forecast step feeds the next.
 
-    The recursion carries one row per series. Its plan grows with the horizon, so it is cut every eight steps.
+    The recursion carries one row per series: the fitted trees are read once, and all steps of many series run in one pass.
     """
     names = [f"lag_{i}" for i in range(1, p + 1)]
     lagged = over_chunks(train, keys, pos, lambda w: [F.lag(y, i).over(w).alias(n) for i, n in enumerate(names, 1)], back=p)
-    fitted = fit_gbt(lagged, names, y, **params).stages[-1]
+    trees = _tree_arrays(fit_gbt(lagged.na.drop(subset=names), names, y, **params).stages[-1])
     end = train.groupBy(*keys).agg((F.max(pos) + 1).alias("cutoff"))
     tail = on_keys(train, end, keys) if keys else train.withColumn("cutoff", end.scalar())
     state = (tail.filter(F.col(pos) >= F.col("cutoff") - p).groupBy(*keys, "cutoff")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(y).alias("y"))), asc=False),
                               lambda r: r["y"]).alias("_lags"))
-             .filter(F.size("_lags") == p).withColumn("_out", F.lit([]).cast("array<double>")))
-    for i in range(horizon):
-        nxt = fitted.transform(state.withColumn("_x", array_to_vector("_lags")))
-        state = nxt.select(*keys, "cutoff", F.slice(F.concat(F.array("y_pred"), "_lags"), 1, p).alias("_lags"),
-                           F.concat("_out", F.array("y_pred")).alias("_out"))
-        if i % 8 == 7 and i + 1 < horizon:
-            state = cut_lineage(state)
-    return (state.select(*keys, "cutoff", F.posexplode("_out").alias("_i", "y_pred"))
+             .filter(F.size("_lags") == p))
+
+    @F.pandas_udf("array<double>")
+    def ahead(lags: pd.Series) -> pd.Series:
+        x = np.array(lags.tolist(), float).reshape(-1, p)
+        out = np.empty((len(x), horizon))
+        for i in range(horizon):
+            out[:, i] = _tree_sums(trees, x)
+            x = np.concatenate([out[:, i:i + 1], x[:, :-1]], axis=1)
+        return pd.Series(list(out))
+
+    return (state.select(*keys, "cutoff", F.posexplode(ahead("_lags")).alias("_i", "y_pred"))
             .select(*keys, F.lit(0).alias("fold"), "cutoff", (F.col("_i") + 1).alias("step"),
                     (F.col("cutoff") + F.col("_i")).cast("bigint").alias("idx"), F.lit(model).alias("model"), "y_pred"))
 
 
+def _tree_arrays(model) -> list[tuple]:
+    """(weight, feature, threshold, left, right, value) arrays of each tree of a fitted ensemble; a leaf has feature -1."""
+    out = []
+    for weight, tree in zip(model.treeWeights, model.trees, strict=True):
+        rows = []
+
+        def add(node, rows=rows) -> int:
+            at = len(rows)
+            rows.append([-1, 0.0, 0, 0, node.prediction()])
+            if node.subtreeDepth() > 0:
+                split = node.split()
+                rows[at][:2] = [split.featureIndex(), split.threshold()]
+                rows[at][2] = add(node.leftChild())
+                rows[at][3] = add(node.rightChild())
+            return at
+
+        add(tree._call_java("rootNode"))
+        feature, threshold, left, right, value = (np.array(c) for c in zip(*rows, strict=True))
+        out.append((weight, feature.astype(int), threshold.astype(float), left.astype(int), right.astype(int), value.astype(float)))
+    return out
+
+
+def _tree_sums(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    """The ensemble's predictions for the rows of ``x``."""
+    total = np.zeros(len(x))
+    rows = np.arange(len(x))
+    for weight, feature, threshold, left, right, value in trees:
+        at = np.zeros(len(x), int)
+        while (inner := feature[at] >= 0).any():
+            go_left = x[rows, np.maximum(feature[at], 0)] <= threshold[at]
+            at = np.where(inner, np.where(go_left, left[at], right[at]), at)
+        total += weight * value[at]
+    return total
+
+
 def rolling_origin(panel: DataFrame, folds: DataFrame, keys: Sequence[str], k: int, row: str, features: Sequence[str], target: str,
                    by: Sequence[str] = (), **params) -> DataFrame:
     """Refit per fold 1 to ``k`` (train before, test inside) and score each; ``folds`` holds each series' (fold, test_from, test_to)."""

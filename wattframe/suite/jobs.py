@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wattframe.operators import quality
+from wattframe.operators import metrics, quality
 from wattframe.plans import balance, demand, market, site
 from wattframe.sources.tables import build_manifest
 from wattframe.suite import checks, decompositions as deco, resources as res
@@ -235,7 +235,18 @@ def walk_forward_tests(v):
 
 @query("p10_daily_cf_compare")
 def daily_cf_compare(v):
-    return rounded(demand.daily_cf_compare(v.daily, "d", "cf", 14, **SMALL)["metrics"], 6)
+    return rounded(demand.daily_cf_compare(v.daily, "d", "cf", 364, **SMALL)["metrics"], 6)
+
+
+@query("p10_daily_cf_naive", """
+with s as (select d, cf, row_number() over (order by d) - 1 as idx, count(*) over () as n from fx_daily),
+b as (select arg_max(cf, idx) as persistence, avg(cf) as mean from s where idx < n - 364),
+t as (unpivot (select cf, persistence, mean from s, b where idx >= n - 364) on persistence, mean into name model value y_pred)
+select model, count(*) as n, round(avg(abs(cf - y_pred)), 6) as mae, round(sqrt(avg((cf - y_pred) ** 2)), 6) as rmse from t group by 1""")
+def daily_cf_naive(v):
+    """The closed-form rows of the daily comparison, whose other models SQL can't express."""
+    m = demand.daily_cf_compare(v.daily, "d", "cf", 364, **SMALL)["predictions"].filter("model in ('persistence', 'mean')")
+    return rounded(m.groupBy("model").agg(F.count("*").alias("n"), metrics.mae("y_true", "y_pred").alias("mae"), metrics.rmse("y_true", "y_pred").alias("rmse")), 6)
 
 
 # --- weather, sites, dashboards, verification ---------------------------------------------------------------
