@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wattframe.joins import on_keys
 from wattframe.operators.panel import with_running_sums
 from wattframe.operators.quantiles import with_rank
 
@@ -90,6 +91,9 @@ def sup_f(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, value:
                     F.col("_b.mean_before").alias("mean_before"), F.col("_b.mean_after").alias("mean_after")))
 
 
+MOST_PERIODS = 5_000
+
+
 def _best_partition(y: np.ndarray, m: int, trim: int) -> list[int]:
     """Sizes of the first segments of the least-squares partition into m + 1 segments, by dynamic programming."""
     n = len(y)
@@ -123,9 +127,13 @@ def multi_break(df: DataFrame, keys: Sequence[str], period: str, value: str, bre
     """Best partition of each series into ``breaks`` + 1 mean segments.
 
     Rows are first summed to one per (series, period), so a group holds one row per calendar period however many
-    rows the table has.
+    rows the table has. The search is quadratic in periods and needs them together, so a series with more than
+    MOST_PERIODS of them is refused with an error: coarsen the period.
     """
     per = df.groupBy(*keys, period).agg(F.sum(value).cast("double").alias("_y"))
+    sizes = per.groupBy(*keys).agg(F.count("*").alias("_n"))
+    told = F.concat(F.lit(f"multi_break takes {MOST_PERIODS} periods a series at most, found "), F.col("_n").cast("string"))
+    per = on_keys(per, sizes, keys).filter(F.when(F.col("_n") <= MOST_PERIODS, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).drop("_n")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(period)

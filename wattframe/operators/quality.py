@@ -55,6 +55,19 @@ def acceptance(df: DataFrame, value: Column, expected: float, item: str, tol: fl
     return got.select(*_verdict_row("acceptance", F.lit(item), bad, F.round("v", 2)))
 
 
+def fact_parity_check(parity: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One verdict row per compared fact: a difference fails, a fact that only one side has warns."""
+    status = F.col("status")
+    severity = F.when(status == "match", "pass").when(status == "differs", "fail").otherwise("warn")
+    return parity.select(F.lit("fact_parity").alias("check_name"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("item"),
+                         severity.alias("severity"), status.alias("detail"))
+
+
+def audit_check(audit: DataFrame, keys: Sequence[str], confirmed: str) -> DataFrame:
+    """One verdict row per audited fact: what no source confirms within the tolerance warns."""
+    return audit.select(*_verdict_row("audit", F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), ~F.col(confirmed), F.col(confirmed), "warn"))
+
+
 def metric_realism(metrics: DataFrame, tests: DataFrame) -> DataFrame:
     """0 < sMAPE < 200 and MASE > 0 for every model; comparison rows not all degenerate (0, 1)."""
     smape, mase = F.col("smape_pct"), F.col("mase")

@@ -61,10 +61,16 @@ def dashboard_queries(long: DataFrame, market: DataFrame, prod_cons: DataFrame,
 
 def verify_all(tables: Mapping[str, DataFrame], floors: Mapping[str, int], parity: DataFrame, parity_on: Sequence[str],
                null_columns: Mapping[str, Sequence[str]], complete: tuple[DataFrame, Sequence[str], str],
-               acceptance: Sequence[DataFrame] = ()) -> dict[str, DataFrame]:
-    """All verification checks and their verdict."""
+               acceptance: Sequence[DataFrame] = (), facts: tuple[DataFrame, Sequence[str]] | None = None,
+               audit: tuple[DataFrame, Sequence[str], str] | None = None, realism: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All verification checks and their verdict.
+
+    ``facts``: compared facts and their keys; ``audit``: audited facts, keys and the flag; ``realism``: metrics and comparison tests.
+    """
     parts = [quality.row_floors(tables, floors), quality.parity_check(parity, parity_on),
              *[quality.null_check(tables[t], cols) for t, cols in null_columns.items()],
-             quality.completeness_check(*complete), *acceptance]
+             quality.completeness_check(*complete), *acceptance,
+             *([quality.fact_parity_check(*facts)] if facts else []), *([quality.audit_check(*audit)] if audit else []),
+             *([quality.metric_realism(*realism)] if realism else [])]
     checks = quality.all_of(parts)
     return {"checks": checks, "verdict": quality.verdict(checks)}

@@ -45,7 +45,8 @@ def scan_folder(spark: SparkSession, folder: str, pattern: str = "*", fmt: str =
 
 
 def file_attributes(name: Column, months: Mapping = clean.MONTH_WORDS, zones: Mapping = clean.ZONE_WORDS) -> list[Column]:
-    """Year, month and zone read from a file name."""
+    """Year, month and zone read from a file name, whose encoding is repaired first."""
+    name = clean.repair_encoding(name)
     year = F.regexp_extract(name, r"(20\d\d)", 1)
     return [year.try_cast("int").alias("year"), clean.match_keyword(name, months).alias("month"),
             clean.match_keyword(name, zones).alias("zone")]

@@ -43,23 +43,37 @@ def slice_parity(v):
     return rounded(parity_frames(v), 2)
 
 
-@query("q3_fact_parity", """
+FACT_PARITY_SQL = """
 with a as (select yr, metric, value_bkwh as v from fx_facts), b as (select yr, metric, round(value_bkwh, 1) as v from fx_facts where yr > 1995)
 select coalesce(a.yr, b.yr)::int as yr, coalesce(a.metric, b.metric) as metric, round(a.v, 4) as value_a, round(b.v, 4) as value_b,
   case when b.yr is null then 'only_a' when a.yr is null then 'only_b' when abs(a.v - b.v) <= 0.02 then 'match' else 'differs' end as status
-from a full join b on a.yr = b.yr and a.metric = b.metric""")
+from a full join b on a.yr = b.yr and a.metric = b.metric"""
+
+
+@query("q3_fact_parity", FACT_PARITY_SQL)
 def fact_parity(v):
-    f = v.facts.select("yr", "metric", F.col("value_bkwh").alias("v"))
-    return rounded(rel.parity(f, f.filter("yr > 1995").withColumn("v", F.round("v", 1)), ["yr", "metric"], "v", 0.02), 4)
+    return rounded(compared_facts(v), 4)
 
 
-@query("q4_tolerance_audit", """
+AUDIT_SQL = """
 with a as (select yr, metric, value_bkwh as v from fx_facts), b as (select distinct yr, value_bkwh + (yr % 3) * 0.4 as v from fx_facts where metric = 'F')
-select yr::int as yr, metric, round(v, 4) as v, exists (select 1 from b where b.yr = a.yr and abs(a.v - b.v) <= 0.5) as confirmed from a""")
+select yr::int as yr, metric, round(v, 4) as v, exists (select 1 from b where b.yr = a.yr and abs(a.v - b.v) <= 0.5) as confirmed from a"""
+
+
+@query("q4_tolerance_audit", AUDIT_SQL)
 def tolerance_audit(v):
+    return rounded(audited_facts(v), 4)
+
+
+def compared_facts(v):
+    f = v.facts.select("yr", "metric", F.col("value_bkwh").alias("v"))
+    return rel.parity(f, f.filter("yr > 1995").withColumn("v", F.round("v", 1)), ["yr", "metric"], "v", 0.02)
+
+
+def audited_facts(v):
     a = v.facts.select("yr", "metric", F.col("value_bkwh").alias("v"))
     b = a.filter("metric = 'F'").withColumn("v", F.col("v") + (F.col("yr") % 3) * 0.4)
-    return rounded(rel.tolerance_flag(a, b, ["yr"], "v", 0.5, "confirmed"), 4)
+    return rel.tolerance_flag(a, b, ["yr"], "v", 0.5, "confirmed")
 
 
 @query("q5_acceptance_kpi", """
@@ -80,11 +94,14 @@ def realism_inputs(v):
     return m, tests
 
 
-@query("q6_metric_realism", """
+REALISM_SQL = """
 with s as (select region_id, model, 100 * avg(case when abs(y_true) + abs(y_pred) > 0 then 2 * abs(y_true - y_pred) / (abs(y_true) + abs(y_pred)) end) as smape
   from fx_preds where ts >= timestamp '2024-01-22' group by 1, 2), b as (select count(*) filter (smape <= 0 or smape >= 200) as n from s)
 select 'realism' as check_name, 'smape' as item, case when n > 0 then 'fail' else 'pass' end as severity, cast(n as varchar) as detail from b
-union all select 'realism', 'mase', 'pass', '0' union all select 'realism', 'comparison', 'pass', '0'""")
+union all select 'realism', 'mase', 'pass', '0' union all select 'realism', 'comparison', 'pass', '0'"""
+
+
+@query("q6_metric_realism", REALISM_SQL)
 def metric_realism(v):
     return quality.metric_realism(*realism_inputs(v))
 

@@ -277,14 +277,17 @@ def _verified(v):
     accept = quality.acceptance(v.balance_long.filter("unit = 'TJ' and yr = 1998"), F.sum("value"), 3_132_269.0, "total")
     return site.verify_all(
         {"fx_balance_long": v.balance_long, "fx_facts": v.facts, "fx_hourly": v.hourly, "load": v.load_wide}, checks.FLOORS,
-        checks.parity_frames(v), ["zone", "d"], {"load": ["click_load_actual", "ts"]}, (v.hourly, R, "ts"), [accept])
+        checks.parity_frames(v), ["zone", "d"], {"load": ["click_load_actual", "ts"]}, (v.hourly, R, "ts"), [accept],
+        (checks.compared_facts(v), ["yr", "metric"]), (checks.audited_facts(v), ["yr", "metric"], "confirmed"), checks.realism_inputs(v))
 
 
 @query("p12_verification", f"""
 with {checks._PARITY_SQL}, par as (select case when s.n is not distinct from t.n and abs(coalesce(s.p, 0) - coalesce(t.p, 0)) < 1 then 'pass' else 'fail' end as severity
   from s full join t on s.zone = t.zone and s.d = t.d),
 {checks.CHECKS_SQL}, total as (select severity from every union all select severity from par union all select 'fail' union all
-  select case when count(*) > count(ts) then 'fail' else 'pass' end from fx_load_wide)
+  select case when count(*) > count(ts) then 'fail' else 'pass' end from fx_load_wide union all
+  select case status when 'match' then 'pass' when 'differs' then 'fail' else 'warn' end from ({checks.FACT_PARITY_SQL}) fp union all
+  select case when confirmed then 'pass' else 'warn' end from ({checks.AUDIT_SQL}) au union all select severity from ({checks.REALISM_SQL}) re)
 select case when count(*) filter (severity = 'fail') > 0 then 'FAIL' else 'PASS' end as status, count(*) filter (severity = 'fail') as n_fail,
   count(*) filter (severity = 'warn') as n_warn, count(*) filter (severity = 'pass') as n_pass from total""")
 def verification(v):
