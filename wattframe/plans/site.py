@@ -48,7 +48,12 @@ def dashboard_queries(long: DataFrame, market: DataFrame, prod_cons: DataFrame,
     mix = rel.with_share(one.filter(F.col("yr") == year).groupBy("fuel_group").agg(F.sum("value").alias("v")).filter("v > 0"), "v")
     err = F.abs(F.col("y_true") - F.col("y_pred"))
     recent = rel.latest_slice(prod_cons, "yr")
+    latest = by_year.agg(F.max("yr").alias("yr"), F.max_by("v", "yr").alias("v"), F.avg("v").alias("mean"))
+    monthly = market.groupBy("zone", F.date_format("d", "yyyy-MM").alias("mo")).agg(F.sum("payment").alias("v"))
     return splits.union_all(
+        _series("overview", "kpi latest total", latest, F.col("yr"), F.col("v")),
+        _series("overview", "kpi mean total", latest, F.lit("all years"), F.col("mean")),
+        _series("market", "month by zone", monthly, F.concat_ws("/", "mo", "zone"), F.col("v")),
         _series("overview", "total by year", by_year, F.col("yr"), F.col("v")),
         _series("overview", "fuel mix pct", mix, F.col("fuel_group"), F.col("share_pct")),
         _series("demand", "hour profile", market.groupBy("zone", "hr").agg(F.avg("payment").alias("v")), F.concat_ws("/", "zone", F.col("hr").cast("string")), F.col("v")),

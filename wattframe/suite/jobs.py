@@ -298,6 +298,9 @@ def verification(v):
 with one as (select * from fx_balance_long where unit = 'TJ' and line_item = 'N' and fuel_group <> 'PROMO'),
 mix as (select fuel_group, sum(value) as v from one where yr = 1998 group by 1)
 select 'overview' as page, 'total by year' as series, cast(yr as varchar) as item, round(sum(value), 2) as value from one group by 3
+union all select 'overview', 'kpi latest total', cast(max(yr) as varchar), round(arg_max(v, yr), 2) from (select yr, sum(value) as v from one group by 1) y
+union all select 'overview', 'kpi mean total', 'all years', round(avg(v), 2) from (select yr, sum(value) as v from one group by 1) y
+union all select 'market', 'month by zone', strftime(d, '%Y-%m') || '/' || zone, round(sum(payment), 2) from fx_market group by 3
 union all select 'overview', 'fuel mix pct', fuel_group, round(100 * v / sum(v) over (), 6) from mix
 union all select 'demand', 'hour profile', concat_ws('/', zone, hr), round(avg(payment), 6) from fx_market group by 3
 union all select 'demand', 'weekday profile', concat_ws('/', zone, isodow(d) - 1), round(avg(payment), 6) from fx_market group by 3
@@ -306,7 +309,7 @@ union all select 'generation', 'latest production', cast(yr as varchar), round(p
 union all select 'forecast', 'mae', model, round(avg(abs(y_true - y_pred)), 6) from fx_preds group by 3""")
 def dashboards(v):
     d = site.dashboard_queries(v.balance_long, v.market, v.prod_cons, v.preds, "TJ", "N", "PROMO", 1998)
-    money = F.col("series").isin("total by year", "balance", "latest production")
+    money = F.col("series").isin("total by year", "balance", "latest production", "kpi latest total", "kpi mean total", "month by zone")
     return d.withColumn("value", F.when(money, F.round("value", 2)).otherwise(F.round("value", 6)))
 
 
