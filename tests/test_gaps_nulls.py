@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from wattframe.joins import on_keys
 from wattframe.operators import learners, panel, quantiles, splits
+from wattframe.plans import demand
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,12 @@ def test_trees_read_out_of_a_model_predict_the_same_and_no_row_is_lost(spark):
     assert len(got) == 300 and got.columns.tolist() == ["id", "a", "b", "y", "y_pred"] and got.b.isna().sum() == 34
     full = got.dropna()
     assert np.abs(learners._tree_sums(learners._tree_arrays(model.stages[-1]), full[["a", "b"]].to_numpy()) - full.y_pred).max() < 1e-12
+
+
+def test_models_of_a_study_are_scored_on_the_same_rows(spark):
+    hours = spark.range(700).selectExpr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, cast(id as int)) as ts", "id")
+    load = hours.selectExpr("explode(array('x', 'z')) as k", "ts", "10 + sin(id / 24 * 6.283) + (id * 7919 % 13) / 10 as y").filter("not (k = 'z' and hour(ts) = 5)")
+    for job in (demand.train_and_evaluate, demand.mirror_test):
+        got = demand.over_horizons(job, (1, 24), load, ["k"], "ts", "y", F.col("k") == "x", maxDepth=2, maxIter=2)["metrics"].collect()
+        assert len(got) == 8 and {r.horizon for r in got} == {1, 24}
+        assert all(len({r.n for r in got if r.horizon == h}) == 1 for h in (1, 24))

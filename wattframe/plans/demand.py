@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +102,12 @@ def mirror_test(load: DataFrame, keys: Sequence[str], ts: str, value: str, targe
                      per_region=True, tail="t")
 
 
+def over_horizons(job: Callable[..., dict[str, DataFrame]], horizons: Sequence[int], *args, **params) -> dict[str, DataFrame]:
+    """``train_and_evaluate`` or ``mirror_test`` at several horizons, each with features and models of its own; scores and tests in one table."""
+    found = [job(*args, horizon=h, **params) for h in horizons]
+    return {name: splits.union_all(*[r[name] for r in found]) for name in ("metrics", "comparison")}
+
+
 def walk_forward_compare(series: DataFrame, keys: Sequence[str], order: str, bucket: Column, value: str, horizon: int, season: int,
                          base: str = "persistence", holt: bool = True, save_to: str | None = None) -> dict[str, DataFrame]:
     """Expanding-window comparison of the closed-form models, with scores and tests against the base model.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import clean
+from wattframe.joins import on_keys
 from wattframe.operators import panel, quality, relational as rel, splits
 from wattframe.sources.tables import file_attributes
 
@@ -18,7 +19,8 @@ def build_market_hourly(raw: DataFrame, directions: Mapping[str, str], money: Se
     """Raw file rows (file_name, date_txt, hour_txt, direction, money texts) to hourly rows and monthly totals."""
     # names are read once per file, not once per row
     files = raw.select("file_name").distinct().select("file_name", *file_attributes(F.col("file_name")))
-    d = clean.vote_date_format(raw, "date_txt", list(formats), ["file_name"], "date").join(files, "file_name")
+    d = clean.vote_date_format(raw, "date_txt", list(formats), ["file_name"], "date")
+    d = on_keys(d, files, ["file_name"])
     hourly = d.select(
         "date", clean.parse_hour("hour_txt").alias("hour"),
         clean.map_alias(F.lower(F.trim("direction")), directions, F.col("direction")).alias("direction"),
