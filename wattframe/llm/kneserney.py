@@ -79,11 +79,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 codes = grams(data, offsets)
                 some[codes] = True
                 own = codes[np.repeat(trusted[first:last], np.diff(offsets))]
-                value, n = np.unique(own, return_counts=True) if len(own) < 100_000 else (None, None)
-                if value is None:
-                    seen += np.bincount(own, minlength=len(seen)).astype(np.int32)
-                else:
-                    seen[value] += n.astype(np.int32)
+                value, n = np.unique(own, return_counts=True)
+                seen[value] += n.astype(np.int32)
                 size += len(data)
                 if size > 16 * SLICE:
                     yield flush()

@@ -27,7 +27,7 @@ SAMPLE = 10_000
 PENALTY, SMOOTHING, FAR = 6.0, 0.1, -60.0
 #: a language is a candidate for a script that holds at least this share of its words
 SCRIPT_SHARE = 0.002
-SLICE = 8 << 20
+SLICE = 4 << 20
 # scripts by the first byte of a word in UTF-8: ranges of code points that share it
 _SCRIPT_RANGES = [(0x00, 0x7F, 0), (0xC3, 0xC9, 0), (0xCA, 0xCD, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD6, 4), (0xD7, 0xD7, 5), (0xD8, 0xDB, 6),
                   (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11)]

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+HASH_BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -80,7 +81,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
+        size = max(n + 1, HASH_BLOCK + 1)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -89,11 +90,20 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from prefix sums of a polynomial (no loop over spans)."""
-    up, down = _power_table(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span's bytes, from prefix sums of a polynomial. Spans are in order and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):  # blocks of bytes, so that the sums stay small
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + HASH_BLOCK, side="right")))
+        own = data[base:int(ends[hi - 1])]
+        up, down = _power_table(len(own))
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[:len(own)], out=sums[1:])
+        a, b = starts[lo:hi] - base, ends[lo:hi] - base
+        out[lo:hi] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+        lo = hi
+    return mix(out)
 
 
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

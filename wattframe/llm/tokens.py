@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from wattframe.llm.text import ragged_index, segment_sums, span_hashes, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-SLICE = 4 << 20
+SLICE = 3 << 20
 # first bytes of characters that are no white space: visible ASCII, and all that white space beyond ASCII doesn't start with (C2, E1, E2, E3 do)
 _SOLID = np.array([33 <= b < 127 or b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3) for b in range(256)])
 _CONTINUED = np.array([0x80 <= b < 0xC0 for b in range(256)])
@@ -66,7 +66,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, signs: bool = True) -> tu
 class Encoder:
     """Ids of many texts at once; distinct units are kept for the life of the process, at most ``keep`` of them."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
