@@ -91,14 +91,20 @@ def replace_slice(df: DataFrame, path: str, by: Sequence[str]) -> None:
      .partitionBy(*by).parquet(path))
 
 
-def build_metadata(df: DataFrame, lists: Mapping[str, str], built_at: bool = True) -> DataFrame:
-    """Key/value rows: number of rows and the distinct values of some columns."""
-    one = df.agg(F.count("*").cast("string").alias("n_rows"),
-                 *[F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",").alias(k)
-                   for k, c in lists.items()])
+def build_metadata(df: DataFrame, lists: Mapping[str, str], built_at: bool = True, most: int = 10_000) -> DataFrame:
+    """Key/value rows: number of rows and the distinct values of some columns.
+
+    A list is one text, so a column with more than ``most`` values is refused with an error, before more of them are gathered.
+    """
+    text = F.array_join(F.transform(F.array_sort("_v"), lambda x: x.cast("string")), ",")
+    out = df.agg(F.count("*").cast("string").alias("value")).select(F.lit("n_rows").alias("key"), "value")
+    for key, c in lists.items():
+        few = df.select(F.col(c).alias("_c")).distinct().limit(most + 1).agg(F.collect_set("_c").alias("_v"))
+        told = F.raise_error(F.lit(f"column {c} has more than {most} values"))
+        out = out.unionByName(few.select(F.lit(key).alias("key"), F.when(F.size("_v") <= most, text).otherwise(told.cast("string")).alias("value")))
     if built_at:
-        one = one.withColumn("built_at", F.current_timestamp().cast("string"))
-    return one.unpivot([], one.columns, "key", "value")
+        out = out.unionByName(df.sparkSession.range(1).select(F.lit("built_at").alias("key"), F.current_timestamp().cast("string").alias("value")))
+    return out
 
 
 def build_manifest(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
