@@ -25,7 +25,7 @@ from wattframe.llm.text import text_slices
 from wattframe.session import cut_lineage
 
 ORDER, BITS = 4, 6
-SLICE = 4 << 20
+SLICE = 3 << 20
 SHARDS, CHUNK_BYTES = 8, 64 << 20
 #: a threshold is the quantile of held-out trusted rows times the margin, and wider for short texts: times exp(SPREAD / sqrt(symbols))
 QUANTILE, MARGIN, SPREAD = 0.98, 1.5, 3.0
