@@ -193,10 +193,12 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     found = cut_lineage(exact_dedup(docs))
     fates = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     # only what goes, and the rare rows that repeat both doc_id and text, need a word with the texts
-    fates = fates.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("__d"), F.col("text_sha256").alias("__s"), F.col("kept").alias("__k"))
+    fates = cut_lineage(fates.where("n > 1 OR NOT kept").select(F.col("doc_id").alias("__d"), F.col("text_sha256").alias("__s"), F.col("kept").alias("__k")))
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256)
     rows = docs.withColumn("__sha", sha)
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__sha") == F.col("__s"))
     single = rows.join(fates, same, "left_anti")
+    if fates.where("__k").isEmpty():  # no repeated rows, so the texts needn't be dealt for them
+        return single.select(*docs.columns)
     repeated = rows.join(fates.where("__k"), same, "left_semi").dropDuplicates(["doc_id", "__sha"])
     return single.union(repeated).select(*docs.columns)
