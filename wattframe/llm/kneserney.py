@@ -1,17 +1,15 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model reads text as symbols of a 64-letter alphabet (letters, digits as one, frequent signs, classes of the bytes of other
-scripts), so an n-gram of four is a number below 2**24. One pass counts n-grams in trusted rows and notes which n-grams occur at
-all; continuation counts, contexts and back-off weights are aggregates of those counts, and each order's probabilities are a join of
-its n-grams with its counts, its contexts and the order below.
+Words are runs of letters and digits, and every other sign that isn't blank; nothing is folded: a word stands as 64 bits of its bytes.
+Each text ends in a mark of its own. One pass counts n-grams of three words in trusted rows and notes which n-grams occur at all;
+continuation counts, contexts and back-off weights are aggregates of those counts, and each order's probabilities are a join of its
+n-grams with its contexts and the order below. All tables grow with the text; none is gathered or sent to all.
 
-Documents meet the probabilities by a sharded join: a task turns its texts into blocks of (row, n-gram, count) for each shard of
-the n-grams, a shard's blocks meet that shard's probabilities in chunks of bounded size, and the sums are added by row.
+Documents meet the probabilities by a join on the n-gram, and the sums are added by row.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.langid import held_out
-from wattframe.llm.text import text_slices
+from wattframe.llm.text import PUNCTUATION, WHITESPACE, span_hashes, text_slices, word_spans
 from wattframe.session import cut_lineage
 
-ORDER, BITS = 4, 6
-SLICE = 3 << 20
-SHARDS, CHUNK_BYTES = 8, 64 << 20
-#: a threshold is the quantile of held-out trusted rows times the margin, and wider for short texts: times exp(SPREAD / sqrt(symbols))
+WORDS = ["w1", "w2", "w3"]
+START, END = 1, 2
+#: texts are read in chunks of so many bytes, or of one longer text
+CHUNK_BYTES = 3 << 20
+#: a threshold is the quantile of held-out trusted rows times the margin, and wider for short texts: times exp(SPREAD / sqrt(words))
 QUANTILE, MARGIN, SPREAD = 0.98, 1.5, 3.0
 #: up to so many trusted rows their ids are broadcast, beyond they are joined by a shuffle
 BROADCAST_IDS = 1_000_000
+
+#: the packed form of small alphabets, ORDER symbols of BITS in a number: the arithmetic is held against its definition in it
+ORDER, BITS = 4, 6
 _SIGNS = " abcdefghijklmnopqrstuvwxyz0.,;:!?'\"-()|#$%&*=/<>@_+"
 
 
@@ -59,164 +61,156 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """gram, n for every n-gram of ``docs`` (text, trusted): n is how often it occurs in trusted rows, 0 if only in others."""
+def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, words): the row of each n-gram and its three words. A row has one n-gram for each word and one for its end; an empty row none."""
+    begins, ends, _ = word_spans(data, offsets, PUNCTUATION)
+    signs = np.flatnonzero(PUNCTUATION[data] & ~WHITESPACE[data])
+    starts, ends = np.sort(np.concatenate([begins, signs])), np.sort(np.concatenate([ends, signs + 1]))
+    own = np.searchsorted(offsets, starts, side="right") - 1
+    full = np.flatnonzero(np.diff(offsets))
+    words = np.concatenate([span_hashes(data, starts, ends).view(np.int64), np.full(len(full), END, np.int64)])
+    row = np.concatenate([own, full])
+    order = np.argsort(row, kind="stable")
+    row, words = row[order], words[order]
+    out = np.full((len(row), len(WORDS)), START, np.int64)
+    out[:, -1] = words
+    for j in range(1, len(WORDS)):
+        same = np.flatnonzero(row[j:] == row[:-j])
+        out[same + j, -1 - j] = words[same]
+    return row, out
+
+
+def gram_hash(words: np.ndarray) -> np.ndarray:
+    """xxhash64 of the columns, as Spark has it."""
+    p1, p2, p3, p4, p5 = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    seed = np.full(len(words), 42, np.uint64)
+    for column in words.T:
+        h = seed + p5 + np.uint64(8) ^ turn(column.astype(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        seed = h ^ h >> np.uint64(32)
+    return seed.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << (BITS * ORDER), np.int32)
-        some = np.zeros(1 << (BITS * ORDER), bool)
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            found = np.flatnonzero(some)
-            batch = pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found].astype(np.int64))], names=["gram", "n"])
-            seen[found], some[found] = 0, False
-            return batch
+def count_grams(docs: DataFrame) -> DataFrame:
+    """w1, w2, w3, n for every n-gram of ``docs`` (text, trusted): n is how often it occurs in trusted rows, 0 if only in others."""
+
+    limit = CHUNK_BYTES
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trusted = np.array(batch.column(1).to_pylist(), bool)
-            for first, last, data, offsets in text_slices(batch.column(0), SLICE):
-                codes = grams(data, offsets)
-                some[codes] = True
-                own = codes[np.repeat(trusted[first:last], np.diff(offsets))]
-                value, n = np.unique(own, return_counts=True)
-                seen[value] += n.astype(np.int32)
-                size += len(data)
-                if size > 16 * SLICE:
-                    yield flush()
-                    size = 0
-        yield flush()
+            for first, last, data, offsets in text_slices(batch.column(0), limit):
+                row, words = word_grams(data, offsets)
+                _, at, which = np.unique(gram_hash(words), return_index=True, return_inverse=True)
+                n = np.bincount(which, trusted[first:last][row], minlength=len(at)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in words[at].T), pa.array(n)], names=[*WORDS, "n"])
 
-    return docs.select("text", "trusted").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "trusted").mapInArrow(run, "w1 long, w2 long, w3 long, n long").groupBy(*WORDS).agg(F.sum("n").alias("n"))
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """gram, logp for every n-gram of ``counts`` (gram, n), seen in trusted text or not. No trusted text leaves all symbols alike."""
-    seen = {ORDER: counts.where("n > 0")}
-    wanted = {ORDER: counts.select("gram")}
-    for order in range(ORDER - 1, 0, -1):
-        shorter = (F.col("gram") % (1 << (BITS * order))).alias("gram")
-        # how many different symbols stand before it: the continuation count
-        seen[order] = seen[order + 1].groupBy(shorter).agg(F.count(F.lit(1)).alias("n"))
-        wanted[order] = wanted[order + 1].select(shorter).distinct()
+def _interpolated(counts: DataFrame, words: list[str], uniform: float | None) -> DataFrame:
+    """The columns ``words`` and p for every n-gram of ``counts`` (words, n).
+
+    ``uniform`` is the probability below the order of one; if None, the words of trusted text and one that stands for all others share it.
+    """
+    level = {len(words): counts}
+    for order in range(len(words) - 1, 0, -1):
+        # how many different words stand before it in trusted text: the continuation count, 0 if it isn't seen
+        level[order] = cut_lineage(level[order + 1].groupBy(*words[-order:]).agg(F.count_if(F.col("n") > 0).alias("n")))
     lower = None
-    for order in range(1, ORDER + 1):
-        t = seen[order].agg(*[F.count_if(F.col("n") == k).alias(f"t{k}") for k in (1, 2, 3, 4)]).first()  # four numbers
+    for order in range(1, len(words) + 1):
+        rows, keys = level[order], words[-order:]
+        seen = rows.where("n > 0")
+        t = seen.agg(*[F.count_if(F.col("n") == k).alias(f"t{k}") for k in (1, 2, 3, 4)], F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).first()  # six numbers
         base = t.t1 / (t.t1 + 2 * t.t2) if t.t1 else 0.5
         discount = [min(k, max(0.05, k - (k + 1) * base * t[f"t{k + 1}"] / t[f"t{k}"])) if t[f"t{k}"] else 0.5 for k in (1, 2, 3)]
         cut = F.when(F.col("n") == 1, discount[0]).when(F.col("n") == 2, discount[1]).otherwise(discount[2])
-        context = F.shiftright("gram", BITS).alias("context")
-        contexts = seen[order].groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
-        rows = wanted[order].select("gram", context).join(seen[order], "gram", "left").join(contexts, "context", "left")
-        if lower is None:
-            rows = rows.withColumn("below", F.lit(1.0 / (1 << BITS)))
+        if order == 1:
+            freed = discount[0] * t.t1 + discount[1] * t.t2 + discount[2] * (t.kinds - t.t1 - t.t2)
+            rows = rows.select("*", F.lit(t.total).cast("double").alias("total"), F.lit(freed).alias("freed"), F.lit(uniform or 1.0 / (t.kinds + 1)).alias("below"))
         else:
-            suffix = F.col("gram") % (1 << (BITS * (order - 1)))
-            rows = rows.withColumn("suffix", suffix).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+            # saved, so that the join below deals both sides anew and can split a frequent context
+            contexts = cut_lineage(seen.groupBy(*keys[:-1]).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed")))
+            rows = rows.join(contexts, keys[:-1], "left").join(lower.withColumnRenamed("p", "below"), keys[1:])
         own = F.coalesce(F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total"), F.lit(0.0))
-        lower = rows.select("gram", (own + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * F.col("below")).alias("p"))
-    return lower.select("gram", F.log("p").alias("logp"))
+        lower = rows.select(*keys, (own + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * F.col("below")).alias("p"))
+        if order < len(words):
+            lower = cut_lineage(lower)
+    return lower
+
 
+def probabilities(counts: DataFrame) -> DataFrame:
+    """gram, logp for every packed n-gram of ``counts`` (gram, n), seen in trusted text or not. No trusted text leaves all symbols alike."""
+    names = [f"s{k}" for k in range(ORDER)]
+    split = [F.shiftright("gram", BITS * (ORDER - 1 - k)).bitwiseAND((1 << BITS) - 1).alias(c) for k, c in enumerate(names)]
+    found = _interpolated(counts.select(*split, "n"), names, 1.0 / (1 << BITS))
+    packed = sum(F.shiftleft(c, BITS * (ORDER - 1 - k)) for k, c in enumerate(names))
+    return found.select(packed.alias("gram"), F.log("p").alias("logp"))
 
-def _blocks(docs: DataFrame, chunks: int) -> DataFrame:
-    """shard, chunk, pack: n-grams and (row, n-gram, count) of a slice's texts, for each shard; the first shard's also holds the rows' columns."""
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """row, gram, n for each n-gram of each text, and for each text a row with n = 0 that holds its columns, symbols and words."""
+    names = ["row", "gram", "n", "doc_id", "lang", "trusted", "symbols", "words"]
+    limit = CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        rank = np.zeros(1 << (BITS * ORDER), np.int32)
-        number = 0
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column(0), SLICE):
-                codes = grams(data, offsets)
-                some = np.zeros(len(rank), bool)
-                some[codes] = True
-                found = np.flatnonzero(some)
-                rank[found] = np.arange(len(found))
-                row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                pair, count = np.unique(row * len(found) + rank[codes], return_counts=True) if len(found) else (np.zeros(0, np.int64),) * 2
-                row, gram = np.divmod(pair, max(1, len(found)))
-                shard_of = found * 2654435761 % 4294967296 * SHARDS >> 32
-                packs = []
-                for shard in range(SHARDS):
-                    mine = np.flatnonzero(shard_of == shard)
-                    rank[found[mine]] = np.arange(len(mine))
-                    part = shard_of[gram] == shard
-                    r, g, c = row[part], rank[found[gram[part]]], count[part]
-                    step = np.diff(g, prepend=0).astype(np.int32)  # falls where a new row begins
-                    head = np.array([number, len(offsets) - 1, len(mine), len(r)], np.int64)
-                    packs.append(zlib.compress(b"".join([head.tobytes(), found[mine].astype(np.int32).tobytes(), np.diff(r, prepend=0).astype(np.int32).tobytes(),
-                                                         step.tobytes(), c.astype(np.int32).tobytes()]), 1))
-                chunk = (task * 7919 + (number >> 10)) % chunks
-                bare = [None] * (SHARDS - 1)
-                held = [pa.array([c.slice(first, last - first).to_pylist(), *bare], pa.list_(c.type)) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([chunk] * SHARDS, pa.int32()), pa.array([task] * SHARDS, pa.int64()),
-                                                  pa.array(packs, pa.binary()), *held], names=["shard", "chunk", "task", "pack", "doc_id", "lang", "trusted"])
-                number += len(offsets) - 1
+            for first, last, data, offsets in text_slices(batch.column(0), limit):
+                own, words = word_grams(data, offsets)
+                gram = gram_hash(words)
+                order = np.lexsort((gram, own))
+                row, gram = own[order], gram[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                at = np.flatnonzero(new)
+                n = np.diff(at, append=len(row))
+                here = np.arange(number, number + last - first)
+                held = [batch.column(k).slice(first, last - first) for k in (1, 2, 3)]
+                # the key of a text's own row is spread by its number; it counts nothing, so it doesn't matter what it meets
+                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(gram_hash(here[:, None])), pa.array(np.zeros(len(here), np.int64)), *held, pa.array(np.diff(offsets)),
+                                                  pa.array(np.bincount(own, minlength=len(here)))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(here[row[at]]), pa.array(gram[at]), pa.array(n), *(pa.nulls(len(at), c.type) for c in held),
+                                                  *[pa.nulls(len(at), pa.int64())] * 2], names=names)
+                number += last - first
 
     rows = docs.select("text", F.col("doc_id").cast("long"), F.col("lang").cast("string"), "trusted")
-    return rows.mapInArrow(run, "shard int, chunk int, task long, pack binary, doc_id array<long>, lang array<string>, trusted array<boolean>")
-
+    return rows.mapInArrow(run, "row long, gram long, n long, doc_id long, lang string, trusted boolean, symbols long, words long")
 
-_SUMS = pa.schema([("row", pa.int64()), ("logp", pa.float64()), ("symbols", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_())])
 
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """row, doc_id, lang, trusted, symbols, words, perplexity of every row of ``docs`` (doc_id, text, lang).
 
-def _sums(blocks: pa.Table, model: pa.Table) -> pa.Table:
-    gram, logp = model["gram"].to_numpy(), model["logp"].to_numpy()
-    order = np.argsort(gram)
-    gram, logp = gram[order], logp[order]
-    out = [_SUMS.empty_table()]
-    for block in blocks.to_pylist():
-        raw = zlib.decompress(block["pack"])
-        number, rows, grams_, pairs = np.frombuffer(raw, np.int64, 4).tolist()
-        rest = np.frombuffer(raw, np.int32, offset=32)
-        found, row = rest[:grams_], np.cumsum(rest[grams_:grams_ + pairs])
-        pick, count = np.cumsum(rest[grams_ + pairs:grams_ + 2 * pairs]), rest[grams_ + 2 * pairs:]
-        own = logp[np.searchsorted(gram, found)] if pairs else np.zeros(0)
-        columns = [block[c] or [None] * rows for c in ("doc_id", "lang", "trusted")]
-        out.append(pa.Table.from_arrays([pa.array((block["task"] << 33) + number + np.arange(rows)), pa.array(np.bincount(row, own[pick] * count, minlength=rows)),
-                                         pa.array(np.bincount(row, count, minlength=rows).astype(np.int64)),
-                                         *(pa.array(c, t) for c, t in zip(columns, _SUMS.types[3:], strict=True))], schema=_SUMS))
-    return pa.concat_tables(out)
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame, total_bytes: int | None = None) -> DataFrame:
-    """row, doc_id, lang, trusted, symbols, perplexity of every row of ``docs`` (doc_id, text, lang).
-
-    ``trusted`` holds the doc_id of trusted rows; those that aren't held out train the model. A null or empty text has no symbols and a
-    null perplexity.
+    ``trusted`` holds the doc_id of trusted rows; those that aren't held out train the model. symbols are the bytes of a text, words its words
+    and its end; the perplexity is by word. A null or empty text has none and a null perplexity.
     """
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", "lang", "text").join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     learn = marked.withColumn("trusted", F.col("trusted") & ~held_out(F.col("doc_id")))
-    counts = cut_lineage(count_grams(learn))  # 2**24 rows at most
-    model = probabilities(counts)
-    size = total_bytes or docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = -(-size // CHUNK_BYTES) or 1
-    shard = F.shiftright((F.col("gram") * 2654435761 % 4294967296) * SHARDS, 32).cast("int")
-    dealt = cut_lineage(model).select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "gram", "logp")
-
-    def join(blocks: pa.Table, probs: pa.Table) -> pa.Table:
-        return _sums(blocks, probs)
-
-    parts = _blocks(marked, chunks).groupBy("shard", "chunk").cogroup(dealt.groupBy("shard", "chunk")).applyInArrow(
-        join, "row long, logp double, symbols long, doc_id long, lang string, trusted boolean")
-    sums = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang", "trusted")], F.sum("logp").alias("logp"), F.sum("symbols").alias("symbols"))
-    return sums.select("row", "doc_id", "lang", "trusted", "symbols", F.exp(-F.col("logp") / F.nullif(F.col("symbols"), F.lit(0))).alias("perplexity"))
+    counts = cut_lineage(count_grams(learn))
+    model = cut_lineage(_interpolated(counts, WORDS, None).select(F.xxhash64(*WORDS).alias("gram"), F.log("p").alias("logp")))
+    met = _occurrences(marked).join(model, "gram", "left")
+    about = [F.max(c).alias(c) for c in ("doc_id", "lang", "trusted", "symbols", "words")]
+    sums = met.groupBy("row").agg(*about, F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("logp"))).alias("logp"))
+    return sums.select("row", "doc_id", "lang", "trusted", "symbols", "words", F.exp(-F.col("logp") / F.nullif(F.col("words"), F.lit(0))).alias("perplexity"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, symbols, perplexity, threshold, kept of every row of ``docs`` (doc_id, text, lang).
 
     A language's threshold is ``margin`` times the ``quantile`` of perplexity of its held-out trusted rows, or of all languages' where it
-    has none, and wider the fewer symbols a text has; without any trusted row all texts are kept. A row is kept up to its threshold. Null and empty texts have no
+    has none, and wider the fewer words a text has; without any trusted row all texts are kept. A row is kept up to its threshold. Null and empty texts have no
     perplexity and aren't kept. A null lang is a language of its own; repeated rows get equal results.
     """
     found = cut_lineage(perplexities(docs, trusted))
     sure = found.where(F.col("trusted") & held_out(F.col("doc_id")) & F.col("perplexity").isNotNull())
     cuts = sure.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("own")).withColumnRenamed("lang", "_l")
     everywhere = sure.agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("p")).first().p  # one number
-    cut = F.coalesce("own", F.lit(everywhere), F.lit(float("inf"))) * F.exp(SPREAD / F.sqrt(F.greatest("symbols", F.lit(1))))
+    cut = F.coalesce("own", F.lit(everywhere), F.lit(float("inf"))) * F.exp(SPREAD / F.sqrt(F.greatest("words", F.lit(1))))
     rows = found.join(cuts, F.col("lang").eqNullSafe(F.col("_l")), "left").withColumn("threshold", cut)
     return rows.select("doc_id", "lang", "symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
