@@ -15,9 +15,9 @@ from wattframe.session import checkpoint_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter go."""
-    named = langid.label(docs, langid.learn(docs), prefix="__")
-    return named.where(F.col("__lang_pred") != "und").select(*docs.columns)
+    """Documents with a letter, whether or not a language could be learned; null texts and those without any letter go."""
+    named = langid.label(docs, langid.learn(docs), letters=True, prefix="__")
+    return named.where(F.col("__has_letter")).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,12 @@ def test_pipeline_equals_a_plain_version(spark):
     assert max(Counter((p.doc_id, p.start, p.length) for p in pieces).values()) <= 3
 
 
+def test_language_stage_keeps_texts_where_no_language_is_known(spark):
+    rows = [(1, "some words here"), (2, "日本語"), (3, "12 34 !!"), (4, None), (5, ""), (6, "— …"), (7, "1 é")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF_DIR).collect()) == [1, 2, 7]
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_awkward_and_empty_tables(spark, awkward, nothing, name, stage):
     docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", "score", "bucket", "copies")

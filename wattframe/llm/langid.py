@@ -104,8 +104,8 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE, penalty: float = PENALTY) ->
 
 def word_scores(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words x languages; each distinct word is scored once. Languages that don't use the word's script are far below."""
-    if not len(starts):
-        return np.zeros((0, len(model.languages)), np.float32)
+    if not len(starts) or not model.languages:
+        return np.zeros((len(starts), len(model.languages)), np.float32)
     _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     a, b = starts[first], ends[first]
     grams, upto = _trigrams(data, a, b)
@@ -163,17 +163,18 @@ def best_path(scores: np.ndarray, splits: np.ndarray, penalty: float) -> np.ndar
     return path
 
 
-def label(docs: DataFrame, model: Model, *, text: str = "text", spans: bool = False, prefix: str = "") -> DataFrame:
-    """Adds lang_pred and score to ``docs``, and with ``spans`` lang_spans: array of (start, end, lang) in bytes of the UTF-8 text.
+def label(docs: DataFrame, model: Model, *, text: str = "text", spans: bool = False, letters: bool = False, prefix: str = "") -> DataFrame:
+    """Adds lang_pred and score to ``docs``, with ``spans`` lang_spans: array of (start, end, lang) in bytes of the UTF-8 text, and with
+    ``letters`` has_letter, which doesn't depend on the model.
 
     lang_pred is the language of most bytes; score is its share of the bytes of all words. A text that is null or has no letter
     gets ``und`` and 0, as does every text where nothing was learned; ties go to the first language in order. ``prefix``
     goes before the results' names; columns of ``docs`` that bear such a name are replaced.
     """
-    made = tuple(prefix + c for c in ("lang_pred", "score", *(["lang_spans"] if spans else [])))
+    made = tuple(prefix + c for c in ("lang_pred", "score", *(["lang_spans"] if spans else []), *(["has_letter"] if letters else [])))
     kept = docs.drop(*made)
     at = kept.columns.index(text)
-    kinds = {"lang_pred": "string", "score": "double", "lang_spans": "array<struct<start:long,end:long,lang:string>>"}
+    kinds = {"lang_pred": "string", "score": "double", "lang_spans": "array<struct<start:long,end:long,lang:string>>", "has_letter": "boolean"}
     shape = kept.selectExpr("*", *[f"CAST(NULL AS {kinds[m[len(prefix):]]}) AS {m}" for m in made]).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes for each bucket and language
 
@@ -189,12 +190,12 @@ def label(docs: DataFrame, model: Model, *, text: str = "text", spans: bool = Fa
                 doc = np.repeat(np.arange(rows), np.diff(splits))
                 size = np.bincount(doc * k + path, ends - starts, minlength=rows * k).reshape(rows, k) if k else np.zeros((rows, 1))
                 total = size.sum(1)
-                best = np.where(total > 0, size.argmax(1), k)
                 # words of bytes beyond ASCII need not hold a letter
-                letters = np.concatenate([[0], np.cumsum((raw >= 65) & ~PUNCTUATION[raw] & (raw < 128))])[offsets]
-                for j in np.flatnonzero((letters[1:] == letters[:-1]) & (total > 0)).tolist():
-                    if not _LETTER.search(raw[offsets[j]:offsets[j + 1]].tobytes().decode("utf-8")):
-                        best[j] = k
+                lettered = np.diff(splits) > 0
+                plain = np.concatenate([[0], np.cumsum((raw >= 65) & ~PUNCTUATION[raw] & (raw < 128))])[offsets]
+                for j in np.flatnonzero((plain[1:] == plain[:-1]) & lettered).tolist():
+                    lettered[j] = bool(_LETTER.search(raw[offsets[j]:offsets[j + 1]].tobytes().decode("utf-8")))
+                best = np.where(lettered & (k > 0), size.argmax(1), k)
                 share = np.where(best < k, size.max(1) / np.maximum(total, 1), 0.0)
                 out = [pa.array(names[best], pa.string()), pa.array(share)]
                 if spans:
@@ -207,6 +208,8 @@ def label(docs: DataFrame, model: Model, *, text: str = "text", spans: bool = Fa
                         if best[d] < k:
                             rows_of[d].append({"start": a - int(offsets[d]), "end": b - int(offsets[d]), "lang": m.languages[lang]})
                     out.append(pa.array(rows_of, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+                if letters:
+                    out.append(pa.array(lettered))
                 part = batch.slice(first, rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *made])
 
