@@ -83,6 +83,14 @@ def test_block_links_span_the_right_components():
     assert len(links) == len(texts) - len(set(roots)) and all(roots[a] == roots[b] for a, b in links)
 
 
+def test_band_links_of_a_hot_key_take_no_window(spark):
+    rows = [(k, [7, 100 + k // 2]) for k in range(3, 60)]
+    got = minmax.band_links(spark.createDataFrame(rows, "node long, bands array<long>"))
+    assert "Window" not in got._jdf.queryExecution().toString()
+    firsts = {key: min(k for k, keys in rows if key in keys) for _, keys in rows for key in keys}
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((firsts[key], k) for k, keys in rows for key in keys if firsts[key] != k)
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     got = minmax.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.components import components
@@ -184,6 +184,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, shape)
 
 
+def band_links(nodes: DataFrame) -> DataFrame:
+    """a, b: each set of ``nodes`` (node, bands) with the first set of each of its band keys, but for that set itself.
+
+    The first sets are an aggregate and are saved, so the join deals both sides anew and can split a frequent key.
+    """
+    met = nodes.select("node", F.explode("bands").alias("key"))
+    shared = met.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    return met.join(cut_lineage(shared), "key").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -197,9 +207,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> Da
     full = rows.where("n_shingles > 0")
     sets = full.groupBy("set_a", "set_b").agg(F.min("row").alias("node"))
     nodes = full.join(sets.select(F.col("node").alias("row")), "row")
-    met = nodes.select(F.col("row").alias("node"), F.explode("bands").alias("key"))
-    met = met.withColumn("first", F.min("node").over(Window.partitionBy("key"))).where("first <> node")
-    groups = components(met.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    groups = components(band_links(nodes.select(F.col("row").alias("node"), "bands")))
 
     member = groups.join(full.select(F.col("row").alias("node"), "doc_id", "text_hash", "n_shingles"), "node")
     sizes = member.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words"))
