@@ -91,6 +91,15 @@ def test_band_links_of_a_hot_key_take_no_window(spark):
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((firsts[key], k) for k, keys in rows for key in keys if firsts[key] != k)
 
 
+def test_one_row_of_each_component_stays_for_repeated_and_null_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words, f"x{k}"]) for k in range(4)]
+    far = [" ".join(f"{c}{k}" for k in range(30)) for c in "pq"]
+    rows = [(1, near[0]), (1, near[1]), (None, near[2]), (None, far[0]), (None, far[0] + " more"), (5, far[1]), (5, far[1]), (None, None), (None, None)]
+    stay = minmax.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), (r.text or "-")[0]) for r in stay) == [("1", "w"), ("5", "q"), ("None", "-"), ("None", "-"), ("None", "p")]
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     got = minmax.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()

@@ -194,14 +194,8 @@ def band_links(nodes: DataFrame) -> DataFrame:
     return met.join(cut_lineage(shared), "key").where("a <> node").select("a", F.col("node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
-
-    Rows are linked when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the smallest doc_id that
-    links lead to, kept says that the row bears it. A row without words (null or empty text) is linked with nothing. Repeated
-    rows have equal sets and share a component. A null doc_id stays null, never gives its component the name and isn't kept.
-    An empty table gives no rows; other columns are left out.
-    """
+def _labeled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of signatures() with a row id, and row, doc_id, text_hash, n_shingles, label of those with words: one label a component."""
     rows = signatures(docs, width)
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))  # row ids must not change when a task runs again
     full = rows.where("n_shingles > 0")
@@ -235,18 +229,39 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> Da
 
     named = sets.join(merged, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("label"))
     labeled = full.join(named, ["set_a", "set_b"]).select("row", "doc_id", "text_hash", "n_shingles", "label")
+    return rows, labeled
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
+
+    Rows are linked when 100 * intersection >= ``percent`` * union of their shingle sets; component_id is the smallest doc_id that
+    links lead to, kept says that the row bears it. A row without words (null or empty text) is linked with nothing. Repeated
+    rows have equal sets and share a component. A null doc_id stays null, never gives its component the name and isn't kept.
+    An empty table gives no rows; other columns are left out.
+    """
+    rows, labeled = _labeled(docs, width, percent)
     least = labeled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = labeled.join(least, "label").select("doc_id", "text_hash", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and more) that stay: of each component those with its component_id.
+def one_of_each(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and more) that stay: one of each component, and all rows without words.
 
-    Rows without words stay, and so do components of rows without a doc_id, which can't be told apart.
+    It is the row with the smallest doc_id, null last, and of those the one with the smallest hash of its text; of rows that agree in
+    both, which have equal texts, any one.
     """
-    found = near_duplicates(docs, **options)
-    gone = found.where(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__t")), "left_anti").select(*docs.columns)
+    _, labeled = _labeled(docs, width, percent)
+    labeled = cut_lineage(labeled.select("label", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash").alias("name")))
+    least = labeled.groupBy("label").agg(F.min("name").alias("least"))
+    gone = labeled.join(least, "label").where(F.col("name") != F.col("least")).select("name").distinct()
+    again = labeled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    stay = docs.withColumn("__name", name).join(gone.withColumnRenamed("name", "__gone"), F.col("__name") == F.col("__gone"), "left_anti")
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    again = cut_lineage(again.withColumnRenamed("name", "__again"))
+    twice = stay.join(again, F.col("__name") == F.col("__again"), "left_semi").dropDuplicates(["__name"])
+    return stay.join(again, F.col("__name") == F.col("__again"), "left_anti").union(twice).select(*docs.columns)
