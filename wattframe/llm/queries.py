@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.llm import mixing
 from wattframe.llm.cuckoo import exact_dedup
+from wattframe.llm.filteraudit import filter_audit
 from wattframe.llm.kdshards import kd_shards
 from wattframe.llm.kneserney import quality
 from wattframe.llm.langid import identify
+from wattframe.llm.merkle import manifest
 from wattframe.llm.minmax import near_duplicates
 from wattframe.llm.packing import pack
 from wattframe.llm.tokens import token_counts
@@ -108,5 +110,86 @@ def op10_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op4_segment_topk, op5_threshold_mixing, op6_kneser_ney_quality, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages):
+def op11_posting_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op11_posting_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, BOOL_OR(quality = 1) AS good, BOOL_OR(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, COALESCE(good, FALSE) AS good, COALESCE(toxic, FALSE) AS toxic,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * COALESCE(words.doc_id > MIN(words.doc_id) OVER (PARTITION BY text), FALSE)::INT AS mask
+  FROM words LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    COALESCE(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0)::INT AS before
+  FROM orders, range(1, 6) AS r(step)),
+audit AS (
+  SELECT part, filter_order, step, own, COALESCE(SUM(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+    COALESCE(SUM(n) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+    COALESCE(SUM(n) FILTER (mask & before > 0 AND mask & own > 0), 0)::BIGINT AS redundant, COALESCE(SUM(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    COALESCE(SUM(good) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS good_lost,
+    COALESCE(SUM(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (SUM(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM audit
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(documents(spark, sf_dir))
+
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, [doc_id::VARCHAR, source, lang] AS before, text, doc_id::VARCHAR AS id FROM documents),
+coded AS (
+  SELECT doc_id, lang, list_reduce(list_prepend('', list_transform(before, lambda v: COALESCE(strlen(v) || ':' || v, '-'))), lambda a, b: a || b) AS head,
+    n_chars, COALESCE(strlen(text) || ':' || text, '-') AS tail,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(id) + 1), lambda i: ascii(id[i])::BIGINT)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda r, k: xor(r >> 1, 3988292384 * (r & 1))))) AS crc
+  FROM fields),
+leaves AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, COUNT(*) OVER (PARTITION BY lang) AS n, ROW_NUMBER() OVER () AS row
+  FROM (SELECT doc_id, lang, sha256(head || COALESCE(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS h,
+    sha256(head || COALESCE(strlen((n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR) || ':' || (n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS t
+    FROM coded)),
+inner_nodes AS (
+  SELECT lang, 0 AS lvl, pos, h, n FROM leaves
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM inner_nodes WHERE n > 1 GROUP BY lang, lvl, n, pos // 2),
+tops AS (SELECT lang, h, ROW_NUMBER() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, COUNT(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+outer_nodes AS (
+  SELECT 0 AS lvl, pos, h, n FROM tops
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM outer_nodes WHERE n > 1 GROUP BY lvl, n, pos // 2),
+steps AS (
+  SELECT row, x.lvl, (l.pos >> x.lvl) & 1 AS side, s.h AS sibling
+  FROM leaves l JOIN inner_nodes x ON l.lang IS NOT DISTINCT FROM x.lang AND x.pos = l.pos >> x.lvl AND x.n > 1
+    LEFT JOIN inner_nodes s ON s.lang IS NOT DISTINCT FROM x.lang AND s.lvl = x.lvl AND s.pos = xor(x.pos, 1)
+  UNION ALL
+  SELECT row, 1000 + x.lvl, (o.pos >> x.lvl) & 1, s.h
+  FROM leaves l JOIN tops o ON l.lang IS NOT DISTINCT FROM o.lang JOIN outer_nodes x ON x.pos = o.pos >> x.lvl AND x.n > 1
+    LEFT JOIN outer_nodes s ON s.lvl = x.lvl AND s.pos = xor(x.pos, 1)),
+paths AS (
+  SELECT row, list(CASE WHEN sibling IS NULL THEN '-' WHEN side = 1 THEN 'R' || sibling ELSE 'L' || sibling END ORDER BY lvl) AS path,
+    string_agg(sibling, '' ORDER BY lvl) AS siblings FROM steps GROUP BY row),
+folded AS (
+  SELECT doc_id, l.h AS leaf, o.h AS subroot, (SELECT h FROM outer_nodes WHERE n = 1) AS root, sha256(COALESCE(siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend(t, COALESCE(path, [])),
+      lambda acc, s: CASE WHEN s = '-' THEN sha256(acc) WHEN s[1] = 'R' THEN sha256(s[2:] || acc) ELSE sha256(acc || s[2:]) END) AS folded_root
+  FROM leaves l JOIN tops o ON l.lang IS NOT DISTINCT FROM o.lang LEFT JOIN paths USING (row))
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
+for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op4_segment_topk, op5_threshold_mixing, op6_kneser_ney_quality, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages,
+               op11_posting_audit, op13_merkle_manifest):
     QUERIES[_query.__name__] = _query
