@@ -15,6 +15,7 @@ from wattframe.llm.langid import identify
 from wattframe.llm.merkle import manifest
 from wattframe.llm.minmax import near_duplicates
 from wattframe.llm.packing import pack
+from wattframe.llm.pitmanyor import scores
 from wattframe.llm.tokens import token_counts
 from wattframe.llm.topk import top_products
 from wattframe.llm.toxicity import toxicity
@@ -145,6 +146,10 @@ FROM audit
 """
 
 
+def op12_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(documents(spark, sf_dir))
 
@@ -191,5 +196,5 @@ SELECT *, folded_root = root AS verified FROM folded
 
 
 for _query in (op1_square_sum_packing, op2_cuckoo_dedup, op3_minmax_components, op4_segment_topk, op5_threshold_mixing, op6_kneser_ney_quality, op7_token_counts, op8_convolution_toxicity, op9_kd_shards, op10_viterbi_languages,
-               op11_posting_audit, op13_merkle_manifest):
+               op11_posting_audit, op12_pitman_yor_scores, op13_merkle_manifest):
     QUERIES[_query.__name__] = _query
