@@ -19,16 +19,16 @@ from wattframe.joins import on_keys
 from wattframe.functions import calendar
 from wattframe.operators.panel import CHUNK, over_chunks
 from wattframe.operators.quantiles import order_statistics, quantiles
+from wattframe.session import cut_lineage
 
 GRID = tuple(i / 10 for i in range(1, 10))  # smoothing parameters searched
 
 
 def _with_segment(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    """Segment number = how many cut-offs lie at or before the row; rows after the last cut-off are not needed."""
+    """Segment number = how many cut-offs lie at or before the row; the rows after the last cut-off are a segment that no fold reads."""
     cuts = cutoffs.groupBy(*keys).agg(F.array_sort(F.collect_set("cutoff")).alias("_cuts"))
-    seg = F.size(F.filter("_cuts", lambda c: c <= F.col(pos)))
-    return (on_keys(series, cuts, keys).withColumn("_seg", seg)
-            .filter(F.col("_seg") < F.size("_cuts")).drop("_cuts"))
+    # not filtered: a condition on both sides would move into the join, where its lambda finds no columns
+    return on_keys(series, cuts, keys).withColumn("_seg", F.size(F.filter("_cuts", lambda c: c <= F.col(pos)))).drop("_cuts")
 
 
 def training_summaries(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], pos: str, y: str) -> DataFrame:
@@ -55,7 +55,7 @@ def naive_forecasts(series: DataFrame, cutoffs: DataFrame, targets: DataFrame, k
     t = on_keys(targets, s.drop("cutoff"), [*keys, "fold"])
     back = F.col("idx") - season * F.ceil(F.col("step") / season)
     past = series.select(*keys, F.col(pos).alias("_back"), F.col(y).alias("_seasonal"))
-    t = t.withColumn("_back", back.cast("bigint")).join(past, [*keys, "_back"], "left")
+    t = on_keys(t.withColumn("_back", back.cast("bigint")), past, [*keys, "_back"], "left")
     value = {"persistence": F.col("last"), "mean": F.col("mean"), "trend": F.col("intercept") + F.col("slope") * F.col("idx"),
              "seasonal": F.col("_seasonal")}
     rows = F.array(*[F.struct(F.lit(m).alias("model"), value[m].alias("y_pred")) for m in models])
@@ -69,64 +69,119 @@ def with_actuals(preds: DataFrame, series: DataFrame, keys: Sequence[str], pos:
 
 # --- Holt smoothing as a scan over chunks ------------------------------------------------------------------
 
+# A stretch of rows turns a start state (l, b) into (l1 l + l2 b + lq, b1 l + b2 b + bq), and adds to the squared error
+# rr - 2 (r1 l + r2 b) + v11 l^2 + 2 v12 l b + v22 b^2. Two stretches in a row are one of the same form.
 PARTS = ("l1", "l2", "lq", "b1", "b2", "bq", "rr", "r1", "r2", "v11", "v12", "v22")
 
 
-def _chunk_summaries(alphas: Sequence[float], betas: Sequence[float]):
-    """Fold a chunk with an unknown start state (l0, b0), for all parameter pairs at once.
+def _fold_chunks(chunks: list[np.ndarray], marks: list[np.ndarray], alpha: np.ndarray, beta: np.ndarray) -> list[list[list[float]]]:
+    """For each chunk rows [mark, alpha, beta, *PARTS] of its first ``mark`` values, for all of its marks and parameter pairs.
 
-    The state is linear in the start, l = l1 l0 + l2 b0 + lq and b = b1 l0 + b2 b0 + bq, and so is each one-step
-    error; the squared errors are then a quadratic form in (l0, b0). Chunks can thus be folded in parallel.
+    All chunks take a value at once, the longest first, so the loop is as long as the longest chunk.
     """
+    order = sorted(range(len(chunks)), key=lambda c: -len(chunks[c]))
+    sizes = np.array([len(chunks[c]) for c in order])
+    values = np.zeros((max(sizes, default=0), len(order)))
+    at: dict[int, list[int]] = {}
+    for place, c in enumerate(order):
+        values[:len(chunks[c]), place] = chunks[c]
+        for mark in marks[c]:
+            at.setdefault(int(mark), []).append(place)
+    level = np.zeros((3, len(order), len(alpha)))  # coefficients of l, b and 1
+    trend = np.zeros_like(level)
+    level[0], trend[1] = 1.0, 1.0
+    square = np.zeros((6, len(order), len(alpha)))  # of 1*1, 1*l, 1*b, l*l, l*b, b*b
+    out: list[list] = [[] for _ in chunks]
+    for t in range(len(values) + 1):
+        for place in at.get(t, ()):
+            own = [np.full(len(alpha), float(t)), alpha, beta, *level[:, place], *trend[:, place], *square[:, place]]
+            out[order[place]] += np.stack(own, axis=1).tolist()
+        if t == len(values):
+            return out
+        n = int(np.searchsorted(-sizes, -t, side="left"))  # chunks that go on
+        ahead = level[:, :n] + trend[:, :n]
+        err = -ahead
+        err[2] += values[t, :n, None]
+        square[:, :n] += np.stack([err[2] * err[2], -err[2] * err[0], -err[2] * err[1], err[0] * err[0], err[0] * err[1], err[1] * err[1]])
+        level[:, :n] = ahead + alpha * err
+        trend[:, :n] += alpha * beta * err
+
+
+def _chunk_maps(alphas: Sequence[float], betas: Sequence[float]):
     a, bt = (g.ravel() for g in np.meshgrid(np.asarray(alphas, float), np.asarray(betas, float), indexing="ij"))
 
     @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-    def fold(chunks: pd.Series) -> pd.Series:
-        return pd.Series([_fold_chunk(np.asarray(ys, float), a, bt) for ys in chunks])
+    def fold(chunks: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series(_fold_chunks([np.asarray(ys, float) for ys in chunks], [np.asarray(m, int) for m in marks], a, bt))
 
     return fold
 
 
-def _fold_chunk(ys: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> list[list[float]]:
-    level = np.zeros((3, len(alpha)))  # coefficients of l0, b0 and 1
-    trend = np.zeros_like(level)
-    level[0], trend[1] = 1.0, 1.0
-    square = np.zeros((3, 3, len(alpha)))
-    for y in ys:
-        ahead = level + trend
-        err = -ahead
-        err[2] += y
-        square += err[:, None, :] * err[None, :, :]
-        level = ahead + alpha * err
-        trend = trend + alpha * beta * err
-    rows = [alpha, beta, *level, *trend, square[2, 2], -square[2, 0], -square[2, 1], square[0, 0], square[0, 1], square[1, 1]]
-    return np.stack(rows, axis=1).tolist()
+def _followed(first: Column, then: Column) -> Column:
+    """The map of two stretches in a row."""
+    a, b = (lambda n: first[n]), (lambda n: then[n])
+    out = {f"{k}{i}": b(f"{k}1") * a(f"l{i}") + b(f"{k}2") * a(f"b{i}") for k in "lb" for i in "12"}
+    out |= {f"{k}q": b(f"{k}1") * a("lq") + b(f"{k}2") * a("bq") + b(f"{k}q") for k in "lb"}
+
+    def product(i: str, j: str) -> Column:
+        return b("v11") * a(f"l{i}") * a(f"l{j}") + b("v12") * (a(f"l{i}") * a(f"b{j}") + a(f"l{j}") * a(f"b{i}")) + b("v22") * a(f"b{i}") * a(f"b{j}")
+
+    out["rr"] = a("rr") + b("rr") - 2 * (b("r1") * a("lq") + b("r2") * a("bq")) + product("q", "q")
+    out |= {f"r{i}": a(f"r{i}") + b("r1") * a(f"l{i}") + b("r2") * a(f"b{i}") - product("q", i) for i in "12"}
+    out |= {f"v{i}{j}": a(f"v{i}{j}") + product(i, j) for i, j in ("11", "12", "22")}
+    return F.struct(*[out[n].alias(n) for n in PARTS])
 
 
 def holt_states(series: DataFrame, cutoffs: DataFrame, keys: Sequence[str], pos: str, y: str,
                 alphas: Sequence[float] = GRID, betas: Sequence[float] = GRID, chunk: int = CHUNK) -> DataFrame:
-    """Level, trend and squared error per (series, fold, alpha, beta) after the rows before the cut-off."""
-    p, v = F.col(pos), F.col(y)
-    segs = _with_segment(series, cutoffs, keys, pos)
-    head = segs.filter(p <= 1).groupBy(*keys).agg(F.max(F.when(p == 0, v)).alias("_y0"), F.max(F.when(p == 1, v)).alias("_y1"))
-    blocks = (segs.filter(p >= 1).groupBy(*keys, "_seg", F.floor(p / chunk).alias("_k"))
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct(p.alias("p"), v.alias("y")))), lambda r: r["y"]).alias("_ys")))
-    rows = blocks.select(*keys, "_seg", "_k", F.explode(_chunk_summaries(alphas, betas)("_ys")).alias("_r"))
-    grid = rows.select(*keys, F.col("_r")[0].alias("alpha"), F.col("_r")[1].alias("beta"), F.struct(
-        "_seg", "_k", F.struct(*[F.col("_r")[i + 2].alias(n) for i, n in enumerate(PARTS)]).alias("s")).alias("_c"))
-    per = grid.groupBy(*keys, "alpha", "beta").agg(F.array_sort(F.collect_list("_c")).alias("_cs")).join(head, list(keys))
-    per = per.join(cutoffs.select(*keys, "fold", "cutoff"), list(keys))
+    """Level, trend and squared error per (series, fold, alpha, beta) after the rows before the cut-off; ``pos`` numbers rows from 0.
+
+    A segmented scan: each chunk of rows is one map of the start state, maps of neighbouring chunks are combined pair by pair in logarithmic rounds
+    (each saved), and a fold reads off the few maps whose stretches make up its prefix, and the map of the started chunk.
+    No series or fold is ever one list of chunks.
+    """
+    p, pair = F.col(pos), ["alpha", "beta"]
+    ends = cutoffs.groupBy(*keys).agg(F.max("cutoff").alias("_end"))
+    rows = on_keys(series.select(*keys, p.alias("_p"), F.col(y).alias("_y")), ends, keys).filter(F.col("_p") < F.col("_end"))
+    head = rows.filter("_p <= 1").groupBy(*keys).agg(F.max(F.when(F.col("_p") == 0, F.col("_y"))).alias("_y0"), F.max(F.when(F.col("_p") == 1, F.col("_y"))).alias("_y1"))
+    # the first row is in the start state, so the first chunk's values begin at position 1
+    started = F.greatest(F.col("cutoff") % chunk - F.when(F.col("cutoff") < chunk, 1).otherwise(0), F.lit(0)).cast("int")
+    folds = cutoffs.select(*keys, "fold", "cutoff", F.floor(F.col("cutoff") / chunk).alias("_k"), started.alias("_mark"))
+    marks = folds.groupBy(*keys, "_k").agg(F.collect_set("_mark").alias("_marks"))
+    blocks = (rows.filter("_p >= 1").groupBy(*keys, F.floor(F.col("_p") / chunk).alias("_k"))
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_y"))), lambda r: r["_y"]).alias("_ys")))
+    # a chunk's whole map is the one after all of its values
+    wanted = F.array_distinct(F.concat(F.coalesce("_marks", F.array().cast("array<int>")), F.array(F.size("_ys"))))
+    found = on_keys(blocks, marks, [*keys, "_k"], "left").select(*keys, "_k", F.size("_ys").alias("_n"), F.explode(_chunk_maps(alphas, betas)("_ys", wanted)).alias("_r"))
+    maps = cut_lineage(found.select(*keys, "_k", "_n", F.col("_r")[0].cast("int").alias("_mark"), F.col("_r")[1].alias("alpha"), F.col("_r")[2].alias("beta"),
+                                    F.struct(*[F.col("_r")[i + 3].alias(n) for i, n in enumerate(PARTS)]).alias("_s")))
+    level = maps.filter("_mark = _n").select(*keys, "_k", *pair, "_s")
+    nodes, rounds = [], (cutoffs.agg(F.max("cutoff")).first()[0] or 0) // chunk  # one number
+    for r in range(int(rounds).bit_length()):
+        nodes.append(level.withColumn("_level", F.lit(r)))
+        side = [F.max(F.when(F.col("_k") % 2 == odd, F.col("_s"))) for odd in (0, 1)]
+        both = level.groupBy(*keys, F.shiftright("_k", 1).alias("_k"), *pair).agg(side[0].alias("_a"), side[1].alias("_b"))
+        level = cut_lineage(both.select(*keys, "_k", *pair, F.coalesce(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), _followed(F.col("_a"), F.col("_b"))), "_a", "_b").alias("_s")))
+    parts = on_keys(folds, maps.drop("_n"), [*keys, "_k", "_mark"]).select(*keys, "fold", "cutoff", *pair, F.lit(1).alias("_o"), "_s")
+    if nodes:
+        # the prefix of k chunks is one node for each bit of k, the highest first
+        steps = folds.select(*keys, "fold", "cutoff", "_k", F.explode(F.lit(list(range(len(nodes))))).alias("_level"))
+        steps = steps.filter(F.expr("shiftright(_k, _level) & 1 = 1")).withColumn("_k", F.expr("shiftleft(shiftright(_k, _level + 1), 1)"))
+        tree = nodes[0]
+        for n in nodes[1:]:
+            tree = tree.unionByName(n)
+        parts = parts.unionByName(on_keys(steps, tree, [*keys, "_level", "_k"]).select(*keys, "fold", "cutoff", *pair, (-F.col("_level")).alias("_o"), "_s"))
+    per = on_keys(parts.groupBy(*keys, "fold", "cutoff", *pair).agg(F.array_sort(F.collect_list(F.struct("_o", "_s"))).alias("_m")), head, keys)
     start = F.struct(F.col("_y0").alias("l"), (F.col("_y1") - F.col("_y0")).alias("b"), F.lit(0.0).alias("sse"))
 
-    def combine(st, c):
-        l, b, s = st["l"], st["b"], c["s"]
+    def apply(st, m):
+        l, b, s = st["l"], st["b"], m["_s"]
         err = (s["rr"] - 2 * (s["r1"] * l + s["r2"] * b) + s["v11"] * l * l + 2 * s["v12"] * l * b + s["v22"] * b * b)
         return F.struct((s["l1"] * l + s["l2"] * b + s["lq"]).alias("l"), (s["b1"] * l + s["b2"] * b + s["bq"]).alias("b"),
                         (st["sse"] + err).alias("sse"))
 
-    done = F.aggregate(F.filter("_cs", lambda c: c["_seg"] <= F.col("fold")), start, combine)
-    return (per.withColumn("_d", done)
-            .select(*keys, "fold", "cutoff", "alpha", "beta", F.col("_d.l").alias("level"), F.col("_d.b").alias("trend"), F.col("_d.sse").alias("sse")))
+    return (per.withColumn("_d", F.aggregate("_m", start, apply))
+            .select(*keys, "fold", "cutoff", *pair, F.col("_d.l").alias("level"), F.col("_d.b").alias("trend"), F.col("_d.sse").alias("sse")))
 
 
 def holt_search(states: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -189,10 +244,10 @@ def fit_ar_fourier(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: i
         F.array(*[F.sum(x * F.col(y)) for x in xs]).alias("_xty"))
     coef = sums.select(*keys, _solve_normal("_xtx", "_xty").alias("coef"))
     n = train.groupBy(*keys).agg((F.max(pos) + 1).alias("cutoff"))
-    tail = (train.join(n, list(keys)).filter(F.col(pos) >= F.col("cutoff") - max(p, 1)).groupBy(*keys, "cutoff")
+    tail = (on_keys(train, n, keys).filter(F.col(pos) >= F.col("cutoff") - max(p, 1)).groupBy(*keys, "cutoff")
             .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(y).alias("y"))), asc=False),
                              lambda r: r["y"]).alias("tail")))
-    return coef.join(tail, list(keys)) if keys else coef.withColumn("_t", tail.select(F.struct("cutoff", "tail")).scalar()).select("coef", "_t.*")
+    return on_keys(coef, tail, keys)
 
 
 def _harmonics(coef: Column, idx: Column, p: int, k: int, period: float) -> Column:
@@ -219,8 +274,7 @@ def ar_fourier_forecast(fit: DataFrame, keys: Sequence[str], horizon: int, p: in
 
 def harmonic_fitted(df: DataFrame, fit: DataFrame, keys: Sequence[str], pos: str, k: int, period: float, name: str) -> DataFrame:
     """In-sample value of a fit without lags."""
-    j = df.join(fit.select(*keys, "coef"), list(keys)) if keys else df.withColumn("coef", fit.select("coef").scalar())
-    return j.withColumn(name, _harmonics(F.col("coef"), F.col(pos).cast("double"), 0, k, period)).drop("coef")
+    return on_keys(df, fit.select(*keys, "coef"), keys).withColumn(name, _harmonics(F.col("coef"), F.col(pos).cast("double"), 0, k, period)).drop("coef")
 
 
 # --- bands -------------------------------------------------------------------------------------------------

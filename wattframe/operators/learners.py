@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from wattframe.operators import metrics
 from wattframe.operators.panel import over_chunks, with_row_index
 from wattframe.session import checkpoint_folder, cut_lineage
 
+T = TypeVar("T")
 DEFAULTS = {"maxDepth": 4, "maxIter": 20, "stepSize": 0.1, "seed": 42}
 
 
@@ -83,7 +88,8 @@ def zero_shot(source: DataFrame, test: DataFrame, features: Sequence[str], targe
 def lag_gbt(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: int, horizon: int, model: str = "lag_gbt", **params) -> DataFrame:
     """Trees on p lags, pooled over the series; each forecast step feeds the next.
 
-    The recursion carries one row per series: the fitted trees are read once, and all steps of many series run in one pass.
+    The recursion carries one row per series: the fitted trees are read once, and all steps of many series run in one pass. A series with fewer
+    than p rows has its forecast rows too, with a NULL y_pred.
     """
     names = [f"lag_{i}" for i in range(1, p + 1)]
     lagged = over_chunks(train, keys, pos, lambda w: [F.lag(y, i).over(w).alias(n) for i, n in enumerate(names, 1)], back=p)
@@ -93,18 +99,20 @@ def lag_gbt(train: DataFrame, keys: Sequence[str], pos: str, y: str, p: int, hor
     state = (tail.filter(F.col(pos) >= F.col("cutoff") - p).groupBy(*keys, "cutoff")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(y).alias("y"))), asc=False),
                               lambda r: r["y"]).alias("_lags"))
-             .filter(F.size("_lags") == p))
+             .withColumn("_lags", F.concat("_lags", F.array_repeat(F.lit(None).cast("double"), p - F.size("_lags")))))
 
     @F.pandas_udf("array<double>")
     def ahead(lags: pd.Series) -> pd.Series:
-        x = np.array(lags.tolist(), float).reshape(-1, p)
+        x = np.array(lags.tolist(), float).reshape(-1, p)  # NULL becomes NaN
+        short = np.isnan(x).any(axis=1)
         out = np.empty((len(x), horizon))
         for i in range(horizon):
             out[:, i] = _tree_sums(trees, x)
             x = np.concatenate([out[:, i:i + 1], x[:, :-1]], axis=1)
-        return pd.Series(list(out))
+        return pd.Series([None if none else row for row, none in zip(out, short, strict=True)])
 
-    return (state.select(*keys, "cutoff", F.posexplode(ahead("_lags")).alias("_i", "y_pred"))
+    found = F.coalesce(ahead("_lags"), F.array_repeat(F.lit(None).cast("double"), horizon))
+    return (state.select(*keys, "cutoff", F.posexplode(found).alias("_i", "y_pred"))
             .select(*keys, F.lit(0).alias("fold"), "cutoff", (F.col("_i") + 1).alias("step"),
                     (F.col("cutoff") + F.col("_i")).cast("bigint").alias("idx"), F.lit(model).alias("model"), "y_pred"))
 
@@ -144,39 +152,108 @@ def _tree_sums(trees: list[tuple], x: np.ndarray) -> np.ndarray:
     return total
 
 
+def bin_features(rows: DataFrame, features: Sequence[str], learn: Column | None = None, bins: int = 32) -> DataFrame:
+    """``rows`` with ``_x``, the features as one vector of bin numbers, saved: made once for all fits on any part of the rows.
+
+    Bins are cut at quantiles of the rows where ``learn`` holds; a missing feature takes the bin of their median, and bin 0 where they have none.
+    One aggregate finds all cuts; the driver gets ``bins`` numbers a feature.
+    """
+    known = rows if learn is None else rows.filter(learn)
+    steps = [k / bins for k in range(1, bins)]
+    values = [F.col(f).cast("double") for f in features]
+    found = known.agg(*[F.percentile_approx(F.when(~F.isnan(v), v), [*steps, 0.5]).alias(f"q{i}") for i, v in enumerate(values)]).first()
+    cuts = [sorted(set(q[:-1])) if q else [] for q in found]
+    filled = [F.coalesce(F.when(~F.isnan(v), v), F.lit(q[-1] if q else 0.0)) for v, q in zip(values, found, strict=True)]
+    numbers = [sum((F.when(v > c, 1.0).otherwise(0.0) for c in own), F.lit(0.0)).alias(f"_b{i}") for i, (v, own) in enumerate(zip(filled, cuts, strict=True))]
+    names = [f"_b{i}" for i in range(len(features))]
+    whole = rows.select("*", *numbers)
+    return cut_lineage(VectorAssembler(inputCols=names, outputCol="_x").transform(whole).drop(*names))
+
+
+def fit_binned(train: DataFrame, target: str, weight: str | None = None, **params) -> GBTRegressionModel:
+    """Boosted trees on the rows of ``bin_features`` that have a target (and weight)."""
+    needed = [target, *([weight] if weight else [])]
+    gbt = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="y_pred", **{**DEFAULTS, **params})
+    return (gbt.setWeightCol(weight) if weight else gbt).fit(train.select("_x", *needed).na.drop(subset=needed))
+
+
+def predict_binned(model: GBTRegressionModel, df: DataFrame) -> DataFrame:
+    """All rows of ``df`` with y_pred."""
+    return model.transform(df).select(*df.columns, "y_pred")
+
+
+def residual_binned(base: GBTRegressionModel, train: DataFrame, target: str, **params) -> Callable[[DataFrame], DataFrame]:
+    """``residual_transfer`` on binned rows over a base model that is fitted already: a function that adds y_pred to rows."""
+    left = predict_binned(base, train).withColumn("_res", F.col(target) - F.col("y_pred")).drop("y_pred")
+    second = fit_binned(left, "_res", **params)
+
+    def forecast(rows: DataFrame) -> DataFrame:
+        first = predict_binned(base, rows).withColumnRenamed("y_pred", "_base")
+        return predict_binned(second, first).withColumn("y_pred", F.col("_base") + F.col("y_pred")).drop("_base")
+
+    return forecast
+
+
+def together(jobs: Sequence[Callable[[], T]], at_once: int = 8) -> list[T]:
+    """What each of ``jobs`` returns, in order. They submit their Spark jobs from ``at_once`` threads, so small fits fill a cluster side by side."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def rolling_origin(panel: DataFrame, folds: DataFrame, keys: Sequence[str], k: int, row: str, features: Sequence[str], target: str,
-                   by: Sequence[str] = (), **params) -> DataFrame:
-    """Refit per fold 1 to ``k`` (train before, test inside) and score each; ``folds`` holds each series' (fold, test_from, test_to)."""
+                   by: Sequence[str] = (), at_once: int = 8, **params) -> DataFrame:
+    """Refit per fold 1 to ``k`` (train before, test inside) and score each; ``folds`` holds each series' (fold, test_from, test_to).
+
+    Features are binned and saved once, with a row for each fold that reads it; the folds' fits run side by side. Bins are cut at quantiles of
+    the rows before the first test, so no fold sees ahead.
+    """
     placed = on_keys(panel, folds.filter("fold is not null").select(*keys, "fold", "test_from", "test_to"), keys)
-    placed = cut_lineage(placed.filter(F.col(row) < F.col("test_to")))  # made once for all folds
-    parts = None
-    for fold in range(1, k + 1):
-        own = placed.filter(F.col("fold") == fold)
-        scored = direct(own.filter(F.col(row) < F.col("test_from")), own.filter(F.col(row) >= F.col("test_from")), features, target, **params)
-        one = scored.select(F.lit(fold).alias("fold"), *by, F.col(target).alias("y_true"), "y_pred")
-        parts = one if parts is None else parts.unionByName(one)
-    return metrics.score(parts, ["fold", *by])
-
-
-def tune(train: DataFrame, val: DataFrame, features: Sequence[str], target: str, grid: Sequence[Mapping]) -> tuple[DataFrame, PipelineModel]:
-    """Score every parameter map on the validation rows; refit the best on train and validation together."""
-    train, val = cut_lineage(train), cut_lineage(val)
-    rows = None
-    for i, params in enumerate(grid):
-        scored = direct(train, val, features, target, **params)
-        one = scored.agg(F.lit(i).alias("trial"), F.lit(str(dict(sorted(params.items())))).alias("params"), metrics.rmse(target, "y_pred").alias("rmse"))
-        rows = one if rows is None else rows.unionByName(one)
-    table = cut_lineage(rows)
-    best = table.orderBy("rmse", "trial").first()["trial"]
-    return table, fit_gbt(train.unionByName(val), features, target, **grid[best])
+    placed = placed.filter((F.col(row) < F.col("test_to")) & F.col(target).isNotNull())
+    binned = bin_features(placed, features, (F.col("fold") == 1) & (F.col(row) < F.col("test_from")))
+
+    def fold_scores(fold: int) -> DataFrame:
+        own = binned.filter(F.col("fold") == fold)
+        model = fit_binned(own.filter(F.col(row) < F.col("test_from")), target, **params)
+        return predict_binned(model, own.filter(F.col(row) >= F.col("test_from"))).select("fold", *by, F.col(target).alias("y_true"), "y_pred")
+
+    parts = together([partial(fold_scores, fold) for fold in range(1, k + 1)], at_once)
+    return metrics.score(reduce(DataFrame.unionByName, parts), ["fold", *by])
+
+
+def tune(train: DataFrame, val: DataFrame, features: Sequence[str], target: str, grid: Sequence[Mapping], at_once: int = 8,
+         rungs: int = 1) -> tuple[DataFrame, PipelineModel]:
+    """Scores of the parameter maps on the validation rows, and the best one refitted on train and validation together, for rows that aren't binned.
+
+    Rows are binned and saved once for all trials, by quantiles of the training rows, and the trials of a rung run side by side. With ``rungs`` above 1 the trials are
+    halved: every rung but the last fits with half the rounds of the next, and its better half goes on. A trial's row holds its last rung
+    and the rounds it had there. Ties go to the earlier trial.
+    """
+    rows = bin_features(train.withColumn("_fit", F.lit(True)).unionByName(val.withColumn("_fit", F.lit(False))), features, F.col("_fit"))
+    left, found = list(range(len(grid))), {}
+
+    def trial(number: int, rung: int) -> tuple[float, int]:
+        params = {**DEFAULTS, **grid[number]}
+        params["maxIter"] = max(1, params["maxIter"] >> (rungs - 1 - rung))
+        model = fit_binned(rows.filter("_fit"), target, **params)
+        error = predict_binned(model, rows.filter(~F.col("_fit"))).agg(metrics.rmse(target, "y_pred").alias("rmse")).first().rmse  # one number a trial
+        return error, params["maxIter"]
+
+    for rung in range(rungs):
+        for number, (error, rounds) in zip(left, together([partial(trial, n, rung) for n in left], at_once), strict=True):
+            found[number] = (rung + 1, rounds, error)
+        order = sorted(left, key=lambda n: (math.inf if found[n][2] is None else found[n][2], n))
+        left = sorted(order[:-(-len(order) // 2)]) if rung < rungs - 1 else order
+    table = train.sparkSession.createDataFrame([(n, str(dict(sorted(grid[n].items()))), *found[n]) for n in range(len(grid))],
+                                               "trial int, params string, rung int, rounds int, rmse double")
+    return table, fit_gbt(train.unionByName(val), features, target, **grid[left[0]])
 
 
 def feature_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Impurity importance, and the rise in RMSE when one feature is taken from a seeded random other row.
 
-    The random pairing is a join of two row numberings, by key order and by hash order, made without a global sort.
+    Rows with a missing feature count, as the model fills it; those without a target don't. The random pairing is a join of two row numberings, by key order and by hash order, made without a global sort.
     """
-    d = df.na.drop(subset=[*features, target]).select(*keys, target, F.struct(*features).alias("_own"))
+    d = df.na.drop(subset=[target]).select(*keys, target, F.struct(*features).alias("_own"))
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     mixed = d.withColumn("_h", F.md5(F.concat(text, F.lit(f"|{seed}")))).withColumn("_g", F.md5(text))
     by_key = with_row_index(mixed, [], ["_g"], F.substring("_g", 1, 3), index="_i").drop("_h", "_g")

@@ -62,18 +62,24 @@ def score(df: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred"
 
 
 def mase_scale(train: DataFrame, keys: Sequence[str], pos: str, y: str, season: int) -> DataFrame:
-    """Mean absolute seasonal difference of the training rows; season 1 when a series is not longer than the season."""
+    """keys, mase_scale, mase_season: the mean absolute difference of the training rows to those one season before.
+
+    A series not longer than the season takes differences of 1 row instead; ``mase_season`` says which it took.
+    """
     def build(w):
         return [F.abs(F.col(y) - F.lag(y, s).over(w)).alias(f"_d{s}") for s in {season, 1}]
 
     d = over_chunks(train, keys, pos, build, back=season)
-    scale = F.when(F.count("*") > season, F.avg(f"_d{season}")).otherwise(F.avg("_d1"))
-    return d.groupBy(*keys).agg(scale.alias("_s")).select(*keys, F.when(F.col("_s") > 0, F.col("_s")).alias("mase_scale"))
+    longer = F.count("*") > season
+    scale = F.when(longer, F.avg(f"_d{season}")).otherwise(F.avg("_d1"))
+    used = d.groupBy(*keys).agg(scale.alias("_s"), F.when(longer, season).otherwise(1).alias("mase_season"))
+    return used.select(*keys, F.when(F.col("_s") > 0, F.col("_s")).alias("mase_scale"), "mase_season")
 
 
-def with_mase(scores: DataFrame, scale: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return (on_keys(scores, scale, keys, "left") if keys else scores.withColumn("mase_scale", scale.scalar())
-            ).withColumn("mase", F.col("mae") / F.col("mase_scale")).drop("mase_scale")
+def with_mase(scores: DataFrame, scale: DataFrame, keys: Sequence[str], season: bool = False) -> DataFrame:
+    """``scores`` with mase, and with the season of its scale if asked for."""
+    found = on_keys(scores, scale, keys, "left").withColumn("mase", F.col("mae") / F.col("mase_scale")).drop("mase_scale")
+    return found if season else found.drop("mase_season")
 
 
 # --- comparison of two forecasts --------------------------------------------------------------------------

@@ -152,16 +152,29 @@ def feature_panel(df: DataFrame, keys: Sequence[str], pos: str, value: str, hori
                   lags: Sequence[int] = FEATURE_LAGS, rolls: Sequence[int] = FEATURE_ROLLS,
                   closed: str = "right", season: int = 24, dense: bool = False) -> DataFrame:
     """Lags, rolling means, seasonal naive and the target ``horizon`` rows ahead, in one sort."""
-    shift = seasonal_shift(horizon, season)
+    found = horizon_panel(df, keys, pos, value, [horizon], lags, rolls, closed, season, dense)
+    return found.select(*[c for c in found.columns if c != "ahead"], F.col("ahead")[0]["snaive"].alias("snaive"), F.col("ahead")[0]["target"].alias("target"))
+
+
+def horizon_panel(df: DataFrame, keys: Sequence[str], pos: str, value: str, horizons: Sequence[int],
+                  lags: Sequence[int] = FEATURE_LAGS, rolls: Sequence[int] = FEATURE_ROLLS,
+                  closed: str = "right", season: int = 24, dense: bool = False) -> DataFrame:
+    """Lags and rolling means once for all horizons, in one sort, and ``ahead``: an array of (horizon, snaive, target), one for each of ``horizons``."""
+    shifts = {h: seasonal_shift(h, season) for h in horizons}
 
     def build(w):
-        return [*lag_columns(w, value, lags),
-                *[rolling(w, value, n, closed=closed).alias(f"roll_{n}") for n in rolls],
-                F.lag(value, shift).over(w).alias("snaive"),
-                F.lead(value, horizon).over(w).alias("target")]
+        ahead = [F.struct(F.lit(h).alias("horizon"), F.lag(value, shifts[h]).over(w).alias("snaive"), F.lead(value, h).over(w).alias("target")) for h in horizons]
+        return [*lag_columns(w, value, lags), *[rolling(w, value, n, closed=closed).alias(f"roll_{n}") for n in rolls], F.array(*ahead).alias("ahead")]
+
+    back = max([*lags, *[n + 1 for n in rolls], *shifts.values()])
+    return over_chunks(df, keys, pos, build, back=back, ahead=max(horizons), dense=dense)
+
 
-    back = max([*lags, *[n + 1 for n in rolls], shift])
-    return over_chunks(df, keys, pos, build, back=back, ahead=horizon, dense=dense)
+def at_horizon(df: DataFrame, horizons: Sequence[int], horizon: int) -> DataFrame:
+    """The rows of a ``horizon_panel`` that have a target ``horizon`` rows ahead, with snaive and target of their own instead of the array."""
+    own = F.col("ahead")[list(horizons).index(horizon)]
+    rows = df.withColumns({"snaive": own["snaive"], "target": own["target"]})
+    return rows.filter(F.col("target").isNotNull()).drop("ahead")
 
 
 def clock_lag(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: int, name: str) -> DataFrame:

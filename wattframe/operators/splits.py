@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.joins import on_keys
 from wattframe.operators.panel import with_row_index
 
 
@@ -51,6 +52,16 @@ def chronological_split(df: DataFrame, keys: Sequence[str], order: str, bucket:
     return d.withColumn("split", F.when(F.col("idx") < a, "train").when(F.col("idx") < b, "val").otherwise("test"))
 
 
+def positional_split(df: DataFrame, keys: Sequence[str], pos: str, train: float = 0.6, val: float = 0.2) -> DataFrame:
+    """``chronological_split`` of series whose ``pos`` counts rows without gaps: the place of a row follows from the ends of its series, so no
+    rows are numbered. Adds idx, n_rows and split."""
+    ends = df.groupBy(*keys).agg(F.min(pos).alias("_first"), (F.max(pos) - F.min(pos) + 1).alias("n_rows"))
+    d = on_keys(df, ends, keys).withColumn("idx", F.col(pos) - F.col("_first")).drop("_first")
+    a = F.floor(F.col("n_rows") * F.lit(float(train)))
+    b = F.floor(F.col("n_rows") * F.lit(float(train + val)))
+    return d.withColumn("split", F.when(F.col("idx") < a, "train").when(F.col("idx") < b, "val").otherwise("test"))
+
+
 def date_split(df: DataFrame, date: str, cut: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col(date) < F.lit(cut).cast("date"), "train").otherwise("test"))
 

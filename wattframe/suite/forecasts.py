@@ -9,7 +9,6 @@ from wattframe.suite.panels import R, dense
 from wattframe.suite.registry import query, rounded
 
 H = 24
-SMALL = {"maxDepth": 3, "maxIter": 8}  # fixed values: tree size of the registered queries
 FEATURES = ["lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "lag_24", "lag_48", "lag_168", "roll_24", "roll_168", "hour", "dow"]
 _TRAIN = "tr as (select cut.region_id, (cutoff - s)::int as fold, cutoff, ser.idx, y from cut join ser on cut.region_id = ser.region_id and ser.idx < cutoff)"
 
@@ -95,7 +94,7 @@ def ar_fourier(v):
 @query("m7_lag_gbt")
 def lag_gbt(v):
     _, train = train_rows(v)
-    return rounded(learners.lag_gbt(train, R, "idx", "y", 2, 12, **SMALL).select("region_id", "step", "idx", "y_pred"), 6)
+    return rounded(learners.lag_gbt(train, R, "idx", "y", 2, H).select("region_id", "step", "idx", "y_pred"), 6)
 
 
 def feature_rows(v, horizon=H):
@@ -121,31 +120,31 @@ def _scores(preds, name):
 @query("m8_direct_gbt")
 def direct_gbt(v):
     _, train, _, test = transfer_frames(v)
-    return _scores(learners.direct(train, test, FEATURES, "target", **SMALL), "direct")
+    return _scores(learners.direct(train, test, FEATURES, "target"), "direct")
 
 
 @query("m9_pooled_transfer")
 def pooled_transfer(v):
     source, train, _, test = transfer_frames(v)
-    return _scores(learners.pooled_transfer(source, train, test, FEATURES, "target", **SMALL), "pooled")
+    return _scores(learners.pooled_transfer(source, train, test, FEATURES, "target"), "pooled")
 
 
 @query("m10_residual_transfer")
 def residual_transfer(v):
     source, train, _, test = transfer_frames(v)
-    return _scores(learners.residual_transfer(source, train, test, FEATURES, "target", **SMALL), "residual")
+    return _scores(learners.residual_transfer(source, train, test, FEATURES, "target"), "residual")
 
 
 @query("m11_zero_shot")
 def zero_shot(v):
     source, _, _, test = transfer_frames(v)
-    return _scores(learners.zero_shot(source, test, FEATURES, "target", **SMALL), "zero_shot")
+    return _scores(learners.zero_shot(source, test, FEATURES, "target"), "zero_shot")
 
 
 @query("m12_residual_hybrid")
 def residual_hybrid(v):
     _, train = train_rows(v)
-    return rounded(learners.residual_hybrid(train, R, "idx", "y", 2, 24.0, 2, 12, **SMALL).select("region_id", "step", "idx", "y_pred"), 6)
+    return rounded(learners.residual_hybrid(train, R, "idx", "y", 2, 24.0, 2, H).select("region_id", "step", "idx", "y_pred"), 6)
 
 
 @query("m13_rolling_origin_backtest")
@@ -154,19 +153,32 @@ def rolling_origin_backtest(v):
     sizes = f.groupBy("region_id").agg(F.count("*").alias("n"))
     folds = splits.rolling_origin_folds(sizes, R, "n", 3)
     numbered = panel.with_row_index(f, R, ["ts"], F.col("ts").cast("date"), index="row_no")
-    return rounded(learners.rolling_origin(numbered, folds, R, 3, "row_no", FEATURES, "target", **SMALL), 4)
+    return rounded(learners.rolling_origin(numbered, folds, R, 3, "row_no", FEATURES, "target"), 4)
+
+
+# every state of the smoothing for all parameter pairs; a cut-off reads the one before it and takes the pair with the least squared error
+_HOLT_ALL = """g as (select a / 10.0::double as alpha, b / 10.0::double as beta from (select unnest(range(1, 10)) as a) x cross join (select unnest(range(1, 10)) as b) y),
+h as (select s0.{k}, alpha, beta, 0::bigint as i, s0.y as l, s1.y - s0.y as b, 0.0::double as sse
+    from ser s0 join ser s1 on s0.{k} = s1.{k} and s0.idx = 0 and s1.idx = 1 cross join g
+  union all select h.{k}, alpha, beta, h.i + 1, alpha * s.y + (1 - alpha) * (h.l + h.b),
+    beta * (alpha * s.y + (1 - alpha) * (h.l + h.b) - h.l) + (1 - beta) * h.b, h.sse + (s.y - h.l - h.b) ** 2
+  from h join ser s on s.{k} = h.{k} and s.idx = h.i + 1),
+hb as (select c.{k}, c.cutoff, l, b, row_number() over (partition by c.{k}, c.cutoff order by round(sse, 6), alpha, beta) as k
+  from cut c join h on h.{k} = c.{k} and h.i + 1 = c.cutoff)"""
 
 
 @query("m14_walk_forward", f"""
-with {FOLDS_SQL}, {_TRAIN}, p as (select region_id, fold, arg_max(y, idx) as last, avg(y) as mean, regr_slope(y, idx) as b, regr_intercept(y, idx) as a from tr group by 1, 2),
-j as (select t.region_id, t.fold, t.step, c.y as y_true, last, mean, a + b * t.idx as trend, s.y as seasonal from tgt t join p using (region_id, fold)
-  join ser c on c.region_id = t.region_id and c.idx = t.idx left join ser s on s.region_id = t.region_id and s.idx = t.idx - 24 * ceil(t.step / 24.0)),
-l as (unpivot j on last, mean, trend, seasonal into name m value y_pred)
+with recursive {FOLDS_SQL}, {_TRAIN}, {_HOLT_ALL.format(k="region_id")},
+p as (select region_id, fold, arg_max(y, idx) as last, avg(y) as mean, regr_slope(y, idx) as b, regr_intercept(y, idx) as a from tr group by 1, 2),
+j as (select t.region_id, t.fold, t.step, c.y as y_true, last, mean, a + p.b * t.idx as trend, s.y as seasonal, hb.l + t.step * hb.b as holt from tgt t join p using (region_id, fold)
+  join ser c on c.region_id = t.region_id and c.idx = t.idx join hb on hb.region_id = t.region_id and hb.cutoff = t.idx - t.step + 1 and hb.k = 1
+  left join ser s on s.region_id = t.region_id and s.idx = t.idx - 24 * ceil(t.step / 24.0)),
+l as (unpivot j on last, mean, trend, seasonal, holt into name m value y_pred)
 select case m when 'last' then 'persistence' else m end as model, region_id, count(*) as n, count(distinct fold) as n_folds,
   round(avg(abs(y_true - y_pred)), 5) as mae, round(sqrt(avg((y_true - y_pred) ** 2)), 5) as rmse from l group by 1, 2""")
 def walk_forward(v):
     s, cut, tgt = fold_frame(v)
-    p = fc.walk_forward(s, cut, tgt, R, "idx", "y", H)
+    p = fc.walk_forward(s, cut, tgt, R, "idx", "y", H, holt=True)
     return rounded(p.groupBy("model", "region_id").agg(
         F.count("*").alias("n"), F.count_distinct("fold").alias("n_folds"), metrics.mae("y_true", "y_pred").alias("mae"),
         metrics.rmse("y_true", "y_pred").alias("rmse")), 5)
@@ -175,15 +187,15 @@ def walk_forward(v):
 @query("m15_tune")
 def tune(v):
     _, train, val, _ = transfer_frames(v)
-    grid = [{"maxDepth": d, "maxIter": 5, "stepSize": s} for d in (2, 3) for s in (0.1, 0.3)]
-    table, _ = learners.tune(train, val, FEATURES, "target", grid)
+    grid = [{"maxDepth": d, "stepSize": s} for d in (2, 3, 4) for s in (0.1, 0.3)]
+    table, _ = learners.tune(train, val, FEATURES, "target", grid, rungs=2)
     return rounded(table, 4)
 
 
 @query("m16_feature_importance")
 def feature_importance(v):
     _, train, _, test = transfer_frames(v)
-    model = learners.fit_gbt(train, FEATURES, "target", **SMALL)
+    model = learners.fit_gbt(train, FEATURES, "target")
     return rounded(learners.feature_importance(model, test, FEATURES, "target", ["region_id", "ts"]), 6)
 
 

@@ -1,12 +1,16 @@
 """Queries of the composed jobs."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from wattframe.operators import metrics, quality
+from wattframe.functions import calendar
+from wattframe.operators import metrics, quality, splits
 from wattframe.plans import balance, demand, market, site
+from wattframe.session import checkpoint_folder
 from wattframe.sources.tables import build_manifest
 from wattframe.suite import checks, decompositions as deco, resources as res
-from wattframe.suite.forecasts import SMALL
+from wattframe.suite.forecasts import _HOLT_ALL
 from wattframe.suite.panels import R
 from wattframe.suite.registry import query, rounded
 from wattframe.suite.shapes import GRID_SQL
@@ -195,12 +199,59 @@ def forecast_manifest(v):
     return build_manifest({"calendar": (t["calendar"], "is_holiday", "ts"), "weather": (t["weather"], "region_id", "ts"), "macro": (macro, "region_id", "ts")})
 
 
-HORIZONS = (1, 24)
+TRANSFER_HORIZONS, MIRROR_HORIZONS = (1, 6, 24, 168), (1, 24, 168)
+
+
+def _exogenous_load(v):
+    """The dense panel with holidays by time, weather by time and region, and an index by year and region."""
+    load = v.dense.drop("is_filled")
+    e = v.t("events")
+    days = v.literal([("2024-01-01",), ("2024-01-02",), ("2024-01-07",)], "d string")
+    holidays = calendar.calendar_table(load, "ts", days.select(F.col("d").cast("date").alias("d"))).select("ts", "is_holiday")
+    where = [F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("region_id")]
+    weather = e.groupBy(*where).agg(F.avg((F.col("user_id") % 15) - 7.0).alias("u100"), F.avg((F.col("user_id") % 11) - 5.0).alias("v100"))
+    macro = e.groupBy(F.year("ts").alias("year"), F.col("event_type").alias("region_id")).agg(F.count_distinct("user_id").alias("industry_index"))
+    return demand.with_exogenous(load, R, "ts", holidays, weather, macro)
+
+
+def _transfer_study(v, **options):
+    return demand.train_and_evaluate(_exogenous_load(v), R, "ts", "y", _target(), TRANSFER_HORIZONS, exogenous=("is_holiday", "u100", "v100", "industry_index"), dense=True, **options)
+
+
+def _mirror_study(v, **options):
+    return demand.mirror_test(v.dense.drop("is_filled"), R, "ts", "y", _target(), MIRROR_HORIZONS, dense=True, **options)
+
+
+_SCORED = ("horizon", "region_id", "model", "n", "mae", "rmse", "smape_pct", "picp_pct", "mase", "mase_season")
+
+
+def _naive_sql(horizons, train, val):
+    """Scores of the seasonal naive rows of a study at all horizons."""
+    shift = {h: 24 * -(-h // 24) - h for h in horizons}
+    ahead = " union all ".join(f"select region_id, i, cnt, y, {h} as horizon, s{h} as snaive, t{h} as target from f" for h in horizons)
+    return f"""
+with f as (select region_id, y, row_number() over w - 1 as i, count(*) over (partition by region_id) as cnt,
+    {", ".join(f"lag(y, {k}) over w as s{h}, lead(y, {h}) over w as t{h}" for h, k in shift.items())}
+  from fx_hourly_dense where region_id = 'view' window w as (partition by region_id order by ts)),
+e as (select *, case when i - 168 < floor((cnt - 168 - horizon) * {train}::double) then 'train' when i - 168 < floor((cnt - 168 - horizon) * ({train}::double + {val}::double)) then 'val' else 'test' end as split
+  from ({ahead}) a where i >= 168 and target is not null),
+q as (select horizon, quantile_cont(abs(target - snaive), 0.9) as q from e where split = 'val' group by 1),
+s as (select horizon, avg(abs(d)) as scale from (select horizon, y - lag(y, 24) over (partition by horizon order by i) as d from e where split = 'train') z group by 1)
+select horizon, region_id, 'seasonal_naive' as model, count(*) as n, round(avg(abs(target - snaive)), 4) as mae, round(sqrt(avg((target - snaive) ** 2)), 4) as rmse,
+  round(100 * avg(case when abs(target) + abs(snaive) > 0 then 2 * abs(target - snaive) / (abs(target) + abs(snaive)) end), 4) as smape_pct,
+  round(100 * avg(case when abs(target - snaive) <= q then 1.0::double else 0 end), 4) as picp_pct, round(avg(abs(target - snaive)) / max(scale), 4) as mase, 24 as mase_season
+from e join q using (horizon) join s using (horizon) where split = 'test' group by 1, 2"""
 
 
 @query("p7_train_and_evaluate")
 def train_and_evaluate(v):
-    return rounded(demand.over_horizons(demand.train_and_evaluate, HORIZONS, v.dense.drop("is_filled"), R, "ts", "y", _target(), **SMALL)["metrics"], 4)
+    return rounded(_transfer_study(v)["metrics"], 4)
+
+
+@query("p7_naive_rows", _naive_sql(TRANSFER_HORIZONS, 0.6, 0.2))
+def transfer_naive_rows(v):
+    """The rows that every model of the study is scored on, with the seasonal naive forecast."""
+    return rounded(_transfer_study(v, learned=False)["metrics"].select(*_SCORED), 4)
 
 
 @query("p7_seasonal_rows", """
@@ -209,37 +260,80 @@ with f as (select region_id, y, lag(y, 168) over w as back, lead(y, 24) over w a
 select region_id, count(*) as n, round(avg(abs(target - y)), 6) as mae, round(sqrt(avg((target - y) ** 2)), 6) as rmse from f
 where i >= floor(cnt * 0.8::double) and target is not null and back is not null group by 1""")
 def seasonal_rows(v):
-    """The rows that every model of the study is scored on, with the seasonal naive forecast."""
-    f = demand.feature_table(v.dense.drop("is_filled"), R, "ts", "y", 24).filter("split = 'test'")
+    """The test rows of all regions at one horizon, with the seasonal naive forecast."""
+    f = demand.feature_table(v.dense.drop("is_filled"), R, "ts", "y", 24, dense=True).filter("split = 'test'")
     return rounded(f.groupBy(*R).agg(F.count("*").alias("n"), metrics.mae("target", "snaive").alias("mae"), metrics.rmse("target", "snaive").alias("rmse")), 6)
 
 
+@query("p7_exogenous_rows", """
+with w as (select date_trunc('hour', ts) as ts, event_type as region_id, avg((user_id % 15) - 7.0::double) as u100, avg((user_id % 11) - 5.0::double) as v100 from events group by 1, 2),
+m as (select year(ts) as year, event_type as region_id, count(distinct user_id) as industry_index from events group by 1, 2)
+select d.region_id, d.ts, round(y, 2) as y, case when cast(d.ts as date) in (date '2024-01-01', date '2024-01-02', date '2024-01-07') then 1 else 0 end as is_holiday,
+  round(u100, 6) as u100, round(v100, 6) as v100, industry_index
+from fx_hourly_dense d left join w on w.ts = d.ts and w.region_id = d.region_id left join m on m.year = year(d.ts) and m.region_id = d.region_id""")
+def exogenous_rows(v):
+    """The study's input: load with calendar, weather and macro columns."""
+    return rounded(rounded(_exogenous_load(v), 2, "y"), 6, "u100", "v100")
+
+
 @query("p8_mirror_test")
 def mirror_test(v):
-    return rounded(demand.over_horizons(demand.mirror_test, HORIZONS, v.dense.drop("is_filled"), R, "ts", "y", _target(), **SMALL)["metrics"], 4)
+    return rounded(_mirror_study(v)["metrics"], 4)
+
+
+@query("p8_naive_rows", _naive_sql(MIRROR_HORIZONS, 0.7, 0.15))
+def mirror_naive_rows(v):
+    return rounded(_mirror_study(v, learned=False)["metrics"].select(*_SCORED), 4)
 
 
-def _compare(v, holt):
-    total = v.monthly_zone.withColumn("m", F.make_date("yr", "mo", F.lit(1))).select("zone", "m", "total")
-    return demand.walk_forward_compare(total, ["zone"], "m", F.trunc("m", "year"), "total", 3, 12, holt=holt)
+def _compare(v, holt, more=None, save_to=None):
+    total = v.monthly_zone.select("zone", "yr", "mo", "total")
+    if more is not None:
+        total = total.unionByName(more.select("zone", "yr", "mo", "total"))
+    total = total.withColumn("m", F.make_date("yr", "mo", F.lit(1))).select("zone", "m", "total")
+    return demand.walk_forward_compare(total, ["zone"], "m", F.trunc("m", "year"), "total", 3, 12, holt=holt, save_to=save_to, folds=splits.recent_folds("n"))
 
 
-@query("p9_walk_forward_compare", """
-with ser as (select zone, row_number() over (partition by zone order by yr, mo) - 1 as idx, count(*) over (partition by zone) as n, total as y from fx_monthly_zone),
+_P9_SQL = """with recursive ser as (select zone, row_number() over (partition by zone order by yr, mo) - 1 as idx, count(*) over (partition by zone) as n, total as y from fx_monthly_zone),
 cut as (select zone, n, s, unnest(range(s, n - 3 + 1)) as cutoff from (select zone, n, greatest(3, n - greatest(2, least(floor(n * 0.4::double), 12))::bigint - 3 + 1) as s
-  from (select distinct zone, n from ser) a where n >= 4) b),
+  from (select distinct zone, n from ser) a where n >= 6) b),
+""" + _HOLT_ALL.format(k="zone") + """,
 tgt as (select zone, n, cutoff, step, cutoff + step - 1 as idx from cut cross join (select unnest(range(1, 4)) as step) st),
 p as (select c.zone, c.cutoff, arg_max(y, idx) as last, avg(y) as mean, regr_slope(y, idx) as b, regr_intercept(y, idx) as a from cut c join ser s on s.zone = c.zone and s.idx < c.cutoff group by 1, 2),
-j as (select t.zone, c.y as y_true, last as persistence, mean, a + b * t.idx as trend, s.y as seasonal from tgt t join p using (zone, cutoff)
-  join ser c on c.zone = t.zone and c.idx = t.idx left join ser s on s.zone = t.zone and s.idx = t.idx - 12 * ceil(t.step / 12.0)),
-l as (unpivot j on persistence, mean, trend, seasonal into name model value y_pred),
+j as (select t.zone, t.cutoff, t.step, c.y as y_true, last as persistence, mean, a + p.b * t.idx as trend, s.y as seasonal, hb.l + t.step * hb.b as holt from tgt t join p using (zone, cutoff)
+  join hb on hb.zone = t.zone and hb.cutoff = t.cutoff and hb.k = 1 join ser c on c.zone = t.zone and c.idx = t.idx left join ser s on s.zone = t.zone and s.idx = t.idx - 12 * ceil(t.step / 12.0)),
+l as (unpivot j on persistence, mean, trend, seasonal, holt into name model value y_pred)"""
+
+
+@query("p9_walk_forward_compare", _P9_SQL + """,
 sc as (select zone, avg(abs(d)) as scale from (select s.zone, y - lag(y) over (partition by s.zone order by idx) as d from ser s join (select zone, max(cutoff) as last from cut group by 1) m
   on m.zone = s.zone and s.idx < m.last) z group by 1)
 select zone, model, count(*) as n, round(avg(abs(y_true - y_pred)), 5) as mae, round(sqrt(avg((y_true - y_pred) ** 2)), 3) as rmse,
   round(100 * avg(2 * abs(y_true - y_pred) / (abs(y_true) + abs(y_pred))), 6) as smape_pct, round(avg(abs(y_true - y_pred)) / max(scale), 6) as mase
 from l join sc using (zone) group by 1, 2""")
 def walk_forward_compare(v):
-    return rounded(rounded(_compare(v, False)["metrics"].drop("r2"), 3, "rmse"), 6, "smape_pct", "mase").withColumn("mae", F.round("mae", 5))
+    return rounded(rounded(_compare(v, True)["metrics"].drop("r2"), 3, "rmse"), 6, "smape_pct", "mase").withColumn("mae", F.round("mae", 5))
+
+
+@query("p9_fold_plan", """
+select zone, n as n_rows, greatest(3, n - greatest(2, least(floor(n * 0.4::double), 12))::bigint - 3 + 1) as first_cutoff,
+  greatest(0, n - 3 - greatest(3, n - greatest(2, least(floor(n * 0.4::double), 12))::bigint - 3 + 1) + 1) as n_folds,
+  case when n - 3 - greatest(3, n - greatest(2, least(floor(n * 0.4::double), 12))::bigint - 3 + 1) + 1 <= 0 then 'too short for one fold' end as reason
+from (select zone, count(*) as n from fx_monthly_zone group by 1 union all select 'SHORT', 4) z""")
+def compare_fold_plan(v):
+    """Which series of the comparison have folds; one of four months has none and says so."""
+    short = v.literal([("SHORT", 1997, m, 1, 10.0 + m) for m in range(1, 5)], "zone string, yr int, mo int, n bigint, total double")
+    return _compare(v, True, short)["plan"]
+
+
+@query("p9_saved_predictions", _P9_SQL + """
+select zone, model, count(*) as n, round(sum(y_pred), 2) as total from l group by 1, 2""")
+def saved_predictions(v):
+    """The predictions as the job writes them: saved once, and again in place of those of the same series."""
+    where = f"{checkpoint_folder(v.spark)}/p9-{uuid.uuid4().hex}"
+    for _ in range(2):
+        _compare(v, True, save_to=where)
+    return rounded(v.spark.read.parquet(where).groupBy("zone", "model").agg(F.count("*").alias("n"), F.sum("y_pred").alias("total")), 2)
 
 
 @query("p9_walk_forward_tests")
@@ -249,7 +343,7 @@ def walk_forward_tests(v):
 
 @query("p10_daily_cf_compare")
 def daily_cf_compare(v):
-    return rounded(demand.daily_cf_compare(v.daily, "d", "cf", 364, **SMALL)["metrics"], 6)
+    return rounded(demand.daily_cf_compare(v.daily, "d", "cf", 364)["metrics"], 6)
 
 
 @query("p10_daily_cf_naive", """
@@ -259,7 +353,7 @@ t as (unpivot (select cf, persistence, mean from s, b where idx >= n - 364) on p
 select model, count(*) as n, round(avg(abs(cf - y_pred)), 6) as mae, round(sqrt(avg((cf - y_pred) ** 2)), 6) as rmse from t group by 1""")
 def daily_cf_naive(v):
     """The closed-form rows of the daily comparison, whose other models SQL can't express."""
-    m = demand.daily_cf_compare(v.daily, "d", "cf", 364, **SMALL)["predictions"].filter("model in ('persistence', 'mean')")
+    m = demand.daily_cf_compare(v.daily, "d", "cf", 364)["predictions"].filter("model in ('persistence', 'mean')")
     return rounded(m.groupBy("model").agg(F.count("*").alias("n"), metrics.mae("y_true", "y_pred").alias("mae"), metrics.rmse("y_true", "y_pred").alias("rmse")), 6)
 
 
