@@ -55,13 +55,13 @@ def lmdi_chain(df: DataFrame, part: str, year: str, activity: str, carbon: str)
         F.sum(activity).alias("g1"), F.sum(carbon).alias("c1"))
     before = now.select("part", (F.col("yr") + 1).alias("yr"), F.col("g1").alias("g0"), F.col("c1").alias("c0"))
     ends = now.agg(F.struct(F.min("yr").alias("a"), F.max("yr").alias("z")))
-    j = (now.join(before, ["part", "yr"], "full").withColumn("_e", ends.scalar())
+    j = (on_keys(now, before, ["part", "yr"], "full").withColumn("_e", ends.scalar())
          .filter((F.col("yr") > F.col("_e.a")) & (F.col("yr") <= F.col("_e.z"))).drop("_e")
          .na.fill(0.0, ["g0", "g1", "c0", "c1"]))
     tot = j.groupBy("yr").agg(F.sum("g0").alias("gt0"), F.sum("g1").alias("gt1"),
                               (TINY * F.greatest(F.max("g0"), F.max("g1"))).alias("dg"),
                               (TINY * F.greatest(F.max("c0"), F.max("c1"))).alias("dc"))
-    e = _effects(j.join(tot, "yr").filter("gt0 > 0 and gt1 > 0"), ["yr"])
+    e = _effects(on_keys(j, tot, ["yr"]).filter("gt0 > 0 and gt1 > 0"), ["yr"])
     names = ("activity", "structure", "intensity", "delta")
     per_year = e.groupBy("yr").agg(*[F.sum(n).alias(n) for n in names])
     w = W.orderBy("yr").rowsBetween(W.unboundedPreceding, 0)
@@ -71,8 +71,7 @@ def lmdi_chain(df: DataFrame, part: str, year: str, activity: str, carbon: str)
 def sup_f(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, value: str, trim: int = 2) -> DataFrame:
     """Largest F over single mean breaks: last row of the first regime, F, and both means; ties to the earliest."""
     totals = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
-    d = df.join(totals, list(keys)) if keys else df.withColumn(
-        "_t", totals.select(F.struct("_n", "_m", "_v")).scalar()).select("*", "_t.*").drop("_t")
+    d = on_keys(df, totals, keys)
     # centred values keep the prefix sums of squares exact enough for long series
     d = d.withColumn("_x", F.col(value) - F.col("_m"))
     run = with_running_sums(d, keys, [order], bucket, {"_k": F.lit(1), "_s": F.col("_x"), "_q": F.col("_x") * F.col("_x")})
@@ -91,29 +90,60 @@ def sup_f(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, value:
                     F.col("_b.mean_before").alias("mean_before"), F.col("_b.mean_after").alias("mean_after")))
 
 
-MOST_PERIODS = 5_000
+class _Rivals:
+    """Last breaks that can still win, each with the range of segment means for which its partition is the cheapest.
+
+    A break's cost is a parabola in the mean of its last segment, and all of them grow alike with every new row. So a break that
+    another one beats at a mean is beaten there for ever, and one that is left without a range is dropped: the search stays exact.
+    """
+
+    def __init__(self, lo: float, hi: float):
+        self.lo, self.hi, self.at = np.array([lo]), np.array([hi]), np.array([-1])
+
+    def add(self, at: int, best: np.ndarray, s: np.ndarray, q: np.ndarray) -> None:
+        old = self.at
+        if old[0] < 0:
+            self.at = np.array([at])
+            return
+        # old less new is a parabola that opens upwards: the old break holds out between its roots
+        a, b = (at - old).astype(float), s[at] - s[old]
+        c = q[at] - q[old] + best[old] - best[at]
+        inside = b * b - a * c
+        root = np.sqrt(np.maximum(inside, 0.0))
+        left = np.where(inside >= 0, np.clip((b - root) / a, self.lo, self.hi), self.hi)
+        right = np.where(inside >= 0, np.clip((b + root) / a, left, self.hi), self.hi)
+        lo, hi = np.stack([self.lo, left, right], 1).ravel(), np.stack([left, right, self.hi], 1).ravel()
+        kept = np.stack([np.full(len(old), at), old, np.full(len(old), at)], 1).ravel()
+        wide = hi > lo
+        lo, hi, kept = lo[wide], hi[wide], kept[wide]
+        first = np.concatenate([[True], kept[1:] != kept[:-1]])
+        self.lo, self.at = lo[first], kept[first]
+        self.hi = np.append(self.lo[1:], hi[-1])
 
 
 def _best_partition(y: np.ndarray, m: int, trim: int) -> list[int]:
-    """Sizes of the first segments of the least-squares partition into m + 1 segments, by dynamic programming."""
+    """Sizes of the first segments of the least-squares partition into m + 1 segments of ``trim`` rows or more.
+
+    An exact search over last breaks, of which only those stay that can still win: some dozen at a time, whatever the length.
+    """
     n = len(y)
-    x = y - y.mean()
+    x = y - y.mean() if n else y
     s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-
-    def cost(i, j):  # rows i..j-1, vectorised over i
-        return (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (j - i)
-
-    best = np.full(n + 1, np.inf)
-    for j in range(trim, n + 1):
-        best[j] = cost(np.array([0]), j)[0]
+    size = np.arange(n + 1)
+    best = np.where(size >= max(trim, 1), q - s * s / np.maximum(size, 1), np.inf)
     back = []
     for _ in range(m):
         nxt, arg = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
+        rivals, known = _Rivals(x.min() - 1.0, x.max() + 1.0) if n else None, False
         for j in range(2 * trim, n + 1):
-            i = np.arange(trim, j - trim + 1)
-            c = best[i] + cost(i, j)
-            k = int(np.argmin(c))
-            nxt[j], arg[j] = c[k], i[k]
+            if np.isfinite(best[j - trim]):
+                rivals.add(j - trim, best, s, q)
+                known = True
+            if known:
+                i = rivals.at
+                c = best[i] + (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (j - i)
+                k = int(c.argmin())
+                nxt[j], arg[j] = c[k], i[k]
         best = nxt
         back.append(arg)
     cuts, j = [], n
@@ -126,21 +156,18 @@ def _best_partition(y: np.ndarray, m: int, trim: int) -> list[int]:
 def multi_break(df: DataFrame, keys: Sequence[str], period: str, value: str, breaks: int, trim: int = 2) -> DataFrame:
     """Best partition of each series into ``breaks`` + 1 mean segments.
 
-    Rows are first summed to one per (series, period), so a group holds one row per calendar period however many
-    rows the table has. The search is quadratic in periods and needs them together, so a series with more than
-    MOST_PERIODS of them is refused with an error: coarsen the period.
+    Rows are first summed to one per (series, period), so a group holds one row per calendar period however many rows the table has. The
+    search of a series is one task; its time grows about in proportion to the periods. A NULL key is a series of its own; a series too
+    short for the segments gives no rows.
     """
     per = df.groupBy(*keys, period).agg(F.sum(value).cast("double").alias("_y"))
-    sizes = per.groupBy(*keys).agg(F.count("*").alias("_n"))
-    told = F.concat(F.lit(f"multi_break takes {MOST_PERIODS} periods a series at most, found "), F.col("_n").cast("string"))
-    per = on_keys(per, sizes, keys).filter(F.when(F.col("_n") <= MOST_PERIODS, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))).drop("_n")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(period)
         cuts = _best_partition(pdf["_y"].to_numpy(), breaks, trim)
-        head = {k: [pdf[k].iloc[0]] * len(cuts) for k in keys}
+        head = {k: pdf[k].iloc[:1].repeat(len(cuts)).to_numpy(dtype=object) for k in keys}
         return pd.DataFrame({**head, "break_no": range(1, len(cuts) + 1), "n_before": cuts,
-                             "last_period": [pdf[period].iloc[c - 1] for c in cuts]})
+                             "last_period": pdf[period].iloc[[c - 1 for c in cuts]].to_numpy(dtype=object)})
 
     kinds = dict(per.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "break_no int", "n_before int", f"last_period {kinds[period]}"])

@@ -61,7 +61,7 @@ def score(df: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred"
     return df.groupBy(*by).agg(*aggs)
 
 
-def mase_scale(train: DataFrame, keys: Sequence[str], pos: str, y: str, season: int) -> DataFrame:
+def mase_scale(train: DataFrame, keys: Sequence[str], pos: str, y: str, season: int, dense: bool = False) -> DataFrame:
     """keys, mase_scale, mase_season: the mean absolute difference of the training rows to those one season before.
 
     A series not longer than the season takes differences of 1 row instead; ``mase_season`` says which it took.
@@ -69,7 +69,7 @@ def mase_scale(train: DataFrame, keys: Sequence[str], pos: str, y: str, season:
     def build(w):
         return [F.abs(F.col(y) - F.lag(y, s).over(w)).alias(f"_d{s}") for s in {season, 1}]
 
-    d = over_chunks(train, keys, pos, build, back=season)
+    d = over_chunks(train, keys, pos, build, back=season, dense=dense)
     longer = F.count("*") > season
     scale = F.when(longer, F.avg(f"_d{season}")).otherwise(F.avg("_d1"))
     used = d.groupBy(*keys).agg(scale.alias("_s"), F.when(longer, season).otherwise(1).alias("mase_season"))

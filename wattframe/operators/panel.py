@@ -126,8 +126,45 @@ def dense_panel(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_seri
 
 
 def missing_steps(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
-    """Time steps that should exist and do not."""
-    return on_keys(series_grid(df, keys, ts, unit, per_series), df.select(*keys, ts), [*keys, ts], "left_anti")
+    """Time steps that should exist and do not. ``ts`` holds whole steps."""
+    return expand_gaps(gap_intervals(df, keys, ts, unit, per_series), keys, ts, unit)
+
+
+def step_number(ts: Column | str, unit: str) -> Column:
+    """Whole ``unit`` steps (second, minute, hour, day ..) since 1970-01-01 00:00."""
+    return F.timestamp_diff(unit.upper(), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts) if isinstance(ts, str) else ts)
+
+
+def gap_intervals(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
+    """keys, gap_start, gap_end, n_missing: each run of missing steps as one row, whatever its length.
+
+    A gap lies between a row and the next of its series; unless ``per_series``, also before the first and after the last row up to the ends of the
+    whole table. No grid is made, so it works for minutes over decades. A NULL key is a series of its own; rows without a time don't count.
+    """
+    steps = df.filter(F.col(ts).isNotNull()).select(*keys, step_number(ts, unit).alias("_p")).distinct()
+    after = over_chunks(steps, keys, "_p", lambda w: [F.lead("_p").over(w).alias("_next")], back=0, ahead=1)
+    gaps = after.filter(F.col("_next") > F.col("_p") + 1).select(*keys, (F.col("_p") + 1).alias("_a"), (F.col("_next") - 1).alias("_z"))
+    if not per_series:
+        ends = steps.agg(F.struct(F.min("_p").alias("a"), F.max("_p").alias("z")))
+        own = steps.groupBy(*keys).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).withColumn("_e", ends.scalar())
+        sides = F.array(F.struct(F.col("_e.a").alias("_a"), (F.col("_lo") - 1).alias("_z")), F.struct((F.col("_hi") + 1).alias("_a"), F.col("_e.z").alias("_z")))
+        gaps = gaps.unionByName(own.select(*keys, F.inline(sides)).filter("_a <= _z"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    at = [F.timestamp_add(unit.upper(), F.col(c), epoch).cast("timestamp_ntz").alias(n) for c, n in (("_a", "gap_start"), ("_z", "gap_end"))]
+    return gaps.select(*keys, *at, (F.col("_z") - F.col("_a") + 1).alias("n_missing"))
+
+
+def expand_gaps(gaps: DataFrame, keys: Sequence[str], ts: str, unit: str, chunk: int = CHUNK) -> DataFrame:
+    """The missing steps of ``gap_intervals``, one row each; long gaps are first cut into pieces, so no array has more than ``chunk`` steps."""
+    cut = gaps.select(*keys, "gap_start", "n_missing", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_missing") - 1) / chunk))).alias("_c"))
+    last = F.least(F.col("n_missing"), (F.col("_c") + 1) * chunk) - 1
+    steps = cut.select(*keys, "gap_start", F.explode(F.sequence(F.col("_c") * chunk, last)).alias("_i"))
+    return steps.select(*keys, F.timestamp_add(unit.upper(), F.col("_i"), F.col("gap_start")).cast("timestamp_ntz").alias(ts))
+
+
+def fill_gaps(df: DataFrame, keys: Sequence[str], ts: str, unit: str, per_series: bool = False) -> DataFrame:
+    """``df`` and a row for each missing step, NULL but for key and time: a union, so the rows that are there meet no join."""
+    return df.unionByName(expand_gaps(gap_intervals(df, keys, ts, unit, per_series), keys, ts, unit), allowMissingColumns=True)
 
 
 # --- panel features ---------------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.joins import on_keys
+
 SEVERITY = {"pass": 0, "warn": 1, "fail": 2}
 
 
@@ -36,7 +38,7 @@ def slice_parity(source: DataFrame, target: DataFrame, on: Sequence[str], value:
     def totals(df, side):
         return df.groupBy(*on).agg(F.count("*").alias(f"rows_{side}"), F.coalesce(F.sum(value), F.lit(0.0)).alias(f"sum_{side}"))
 
-    j = totals(source, "source").join(totals(target, "target"), list(on), "full")
+    j = on_keys(totals(source, "source"), totals(target, "target"), on, "full")
     delta = F.abs(F.coalesce("sum_source", F.lit(0.0)) - F.coalesce("sum_target", F.lit(0.0)))
     same = F.col("rows_source").eqNullSafe(F.col("rows_target")) & (delta < tol)
     return j.withColumn("delta", delta).withColumn("ok", same)
@@ -109,7 +111,7 @@ def cleaning_report(df: DataFrame, keys: Sequence[str], raw_time: str, parsed_ti
     per_time = df.filter(good).groupBy(*keys, parsed_time).agg(F.count("*").alias("_c"))
     times = per_time.groupBy(*keys).agg(F.count("*").alias("n_after"), F.min(parsed_time).alias("_a"), F.max(parsed_time).alias("_z"))
     span = F.timestamp_diff("HOUR", F.col("_a"), F.col("_z")) + 1
-    return flags.join(times, list(keys), "left").select(
+    return on_keys(flags, times, keys, "left").select(
         *keys, "n_before", "n_blank", "n_bad_time", (F.col("_good") - F.coalesce("n_after", F.lit(0))).alias("n_duplicates"),
         F.coalesce("n_after", F.lit(0)).alias("n_after"), F.coalesce(span - F.col("n_after"), F.lit(0)).alias("n_missing_hours"))
 

@@ -37,7 +37,7 @@ def drop_blank_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def combine_first(old: DataFrame, fresh: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Left join where fresh values win and old ones fill the gaps."""
     new = fresh.select(*on, *[F.col(c).alias(f"_new_{c}") for c in cols])
-    return (old.join(new, list(on), "left")
+    return (on_keys(old, new, on, "left")
             .select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in old.columns]))
 
 
@@ -49,7 +49,7 @@ def parity(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, tol: float
     status = (F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b")
               .when(F.col("value_a").eqNullSafe(F.col("value_b")) | F.coalesce(near, F.lit(False)), "match")
               .otherwise("differs"))
-    return left.join(right, list(on), "full").select(*on, "value_a", "value_b", status.alias("status"))
+    return on_keys(left, right, on, "full").select(*on, "value_a", "value_b", status.alias("status"))
 
 
 def tolerance_flag(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, tol: float, name: str = "matched") -> DataFrame:
@@ -69,7 +69,7 @@ def tolerance_flag(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, to
     x = F.col(value)
     hits = [F.col("_same"), F.abs(x - F.col("_below")) <= tol, F.abs(x - F.col("_above")) <= tol]
     matched = reduce(or_, [F.coalesce(h, F.lit(False)) for h in hits])
-    return (a.withColumn("_band", F.floor(x / tol)).join(spread, [*on, "_band"], "left")
+    return (on_keys(a.withColumn("_band", F.floor(x / tol)), spread, [*on, "_band"], "left")
             .select(*a.columns, matched.alias(name)))
 
 
@@ -179,43 +179,44 @@ def balance(df: DataFrame, plus: str, minus: str) -> DataFrame:
 
 # --- page tokens ------------------------------------------------------------------------------------------
 
+# fixed values: which numbers are values of the charts, how far an axis row may be from its values, and their columns from each other
+VALUE_RANGE, MILLIONS_RANGE = (50, 200), (50_000, 200_000)
+NEAREST_DY, FARTHEST_DY, FARTHEST_DX = 5.0, 120.0, 60.0
+AXIS_YEARS = (3, 6)
+
+
 def tag_tokens(tokens: DataFrame, text: str = "txt") -> DataFrame:
-    """Class YEAR, NUM (50..200) or NUM_MLN (50,000..200,000) of a page token, with its value."""
-    from wattframe.functions.clean import parse_number_grouped, strip
+    """Class YEAR, NUM or NUM_MLN of a page token, with its value."""
+    from wattframe.functions.clean import strip, token_number
 
     s = strip(text)
-    is_year = s.rlike(r"^20[12][0-9]$")
-    num = F.when(s.rlike(r"^-?\d{1,3}([\s,]\d{3})*([.,]\d+)?$"), parse_number_grouped(s))
-    kind = (F.when(is_year, "YEAR").when(num.between(50, 200), "NUM").when(num.between(50_000, 200_000), "NUM_MLN"))
+    is_year = (F.length(s) == 4) & s.try_cast("int").between(2010, 2029)
+    num = token_number(s)
+    kind = (F.when(is_year, "YEAR").when(num.between(*VALUE_RANGE), "NUM").when(num.between(*MILLIONS_RANGE), "NUM_MLN"))
     return (tokens.withColumn("kind", kind)
             .withColumn("num", F.when(F.col("kind") == "YEAR", s.try_cast("double")).when(F.col("kind").isNotNull(), num)))
 
 
 def align_token_rows(tagged: DataFrame, page: str, y: str, x: str, cluster: str,
-                     near: float = 5.0, far: float = 120.0, max_dx: float = 60.0) -> DataFrame:
+                     near: float = NEAREST_DY, far: float = FARTHEST_DY, max_dx: float = FARTHEST_DX) -> DataFrame:
     """Pair the years of an axis row with the numbers of the nearest value row of the same page.
 
-    Each row keeps its tokens as a list sorted by x; a page holds a handful of rows, so rows meet as page-local
-    arrays and the token lists are paired by rank.
+    Rows meet in bands of y as high as the farthest distance, so an axis row sees three bands whatever a page holds; the nearest row is a
+    ``min_by``. Years and numbers are ranked by x within their rows and joined by rank. A NULL page is a page of its own.
     """
-    rows = tagged.filter(F.col("kind").isNotNull()).groupBy(page, cluster).agg(
-        F.min(F.struct(F.col(y), F.col(x))).alias("_first"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "YEAR", F.struct(F.col(x).alias("x"), F.col("num").alias("v"))))).alias("years"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "NUM", F.struct(F.col(x).alias("x"), F.col("num").alias("v"))))).alias("nums"),
-        F.min(F.when(F.col("kind") == "YEAR", F.struct(F.col(y).alias("y"), F.col(x).alias("x")))).alias("_yr"))
-    pages = rows.groupBy(page).agg(F.collect_list(F.struct(
-        F.col(cluster).alias("c"), F.col(f"_first.{y}").alias("y"), "nums")).alias("_rows"))
-    axis = rows.filter(F.size("years").between(3, 6) & (F.size("nums") == 0))
-    need = F.size("years") - 1
-
-    def usable(r):
-        d = F.abs(r["y"] - F.col("_yr.y"))
-        return (r["c"] != F.col(cluster)) & (F.size(r["nums"]) >= need) & (d > near) & (d < far)
-
-    ranked = F.array_sort(F.transform(F.filter("_rows", usable), lambda r: F.struct(
-        F.abs(r["y"] - F.col("_yr.y")).alias("d"), r["c"].alias("c"), r["nums"].alias("nums"))))
-    best = axis.join(pages, page).withColumn("_best", F.try_element_at(ranked, F.lit(1))).filter("_best is not null")
-    n = F.least(F.size("years"), F.size("_best.nums"))
-    pairs = F.arrays_zip(F.slice("years", 1, n).alias("a"), F.slice(F.col("_best.nums"), 1, n).alias("b"))
-    return (best.select(page, F.inline(pairs)).filter(F.abs(F.col("a.x") - F.col("b.x")) < max_dx)
-            .select(page, F.col("a.v").cast("int").alias("year"), F.col("b.v").alias("value")))
+    used = tagged.filter(F.col("kind").isin("YEAR", "NUM"))
+    year, key = F.col("kind") == "YEAR", [page, cluster]
+    rows = tagged.filter(F.col("kind").isNotNull()).groupBy(*key).agg(
+        F.min(F.struct(F.col(y), F.col(x)))[y].alias("_y"), F.count_if(year).alias("_years"), F.count_if(F.col("kind") == "NUM").alias("_nums"), F.min(F.when(year, F.col(y))).alias("_axis"))
+    axis = rows.filter(F.col("_years").between(*AXIS_YEARS) & (F.col("_nums") == 0)).select(
+        *key, "_axis", "_years", F.explode(F.sequence(F.floor(F.col("_axis") / far) - 1, F.floor(F.col("_axis") / far) + 1)).alias("_band"))
+    values = rows.filter("_nums > 0").select(F.col(page), F.col(cluster).alias("_row"), "_y", "_nums", F.floor(F.col("_y") / far).alias("_band"))
+    away = F.abs(F.col("_y") - F.col("_axis"))
+    met = on_keys(axis, values, [page, "_band"]).filter((F.col("_row") != F.col(cluster)) & (F.col("_nums") >= F.col("_years") - 1) & (away > near) & (away < far))
+    best = met.groupBy(*key).agg(F.min_by("_row", F.struct(away, F.col("_row"))).alias("_row"))
+    rank = F.row_number().over(W.partitionBy(*key, "kind").orderBy(x, "num"))
+    ranked = used.withColumn("_rank", rank).filter(F.col("_rank") <= AXIS_YEARS[1])  # no more are ever paired
+    years = on_keys(best, ranked.filter(year).select(*key, "_rank", F.col(x).alias("_xa"), F.col("num").alias("_year")), key)
+    nums = ranked.filter("kind = 'NUM'").select(page, F.col(cluster).alias("_row"), "_rank", F.col(x).alias("_xb"), F.col("num").alias("value"))
+    pairs = on_keys(years, nums, [page, "_row", "_rank"]).filter(F.abs(F.col("_xa") - F.col("_xb")) < max_dx)
+    return pairs.select(page, F.col("_year").cast("int").alias("year"), "value")

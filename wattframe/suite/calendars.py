@@ -71,6 +71,37 @@ def gap_detection(v):
     return panel.missing_steps(v.hourly, R, "ts", "hour")
 
 
+def gappy(v):
+    """Hours of the table without those whose day and hour add up to a multiple of five, or that one region has none of at night."""
+    return v.hourly.filter("(day(ts) + hour(ts)) % 5 > 1 and not (region_id = 'click' and hour(ts) < 6)").select("region_id", "ts", "y")
+
+
+_GAPPY = """g as (select region_id, ts, y from fx_hourly where (day(ts) + hour(ts)) % 5 > 1 and not (region_id = 'click' and hour(ts) < 6)),
+e as (select min(ts) as a, max(ts) as z from g), want as (select region_id, unnest(generate_series(a, z, interval 1 hour)) as ts from (select distinct region_id from g) r cross join e),
+missing as (select region_id, ts from want anti join g using (region_id, ts))"""
+
+
+@query("c8_gap_rows", f"with {_GAPPY} select region_id, ts from missing")
+def gap_rows(v):
+    return panel.missing_steps(gappy(v), R, "ts", "hour")
+
+
+@query("c8_gap_intervals", f"""
+with {_GAPPY}, n as (select *, ts - to_hours(row_number() over (partition by region_id order by ts)) as run from missing)
+select region_id, min(ts) as gap_start, max(ts) as gap_end, count(*) as n_missing from n group by region_id, run""")
+def gap_intervals(v):
+    return panel.gap_intervals(gappy(v), R, "ts", "hour")
+
+
+@query("c10_gaps_filled", f"""
+with {_GAPPY}, al as (select region_id, ts, y from g union all select region_id, ts, null from missing)
+select region_id, ts, round(last_value(y ignore nulls) over (partition by region_id order by ts rows between unbounded preceding and current row), 4) as y, y is null as filled from al""")
+def gaps_filled(v):
+    d = panel.fill_gaps(gappy(v), R, "ts", "hour")
+    filled = panel.with_fill_forward(d, R, "ts", day(), "y", "_f")
+    return rounded(filled.select("region_id", "ts", F.col("_f").alias("y"), F.col("y").isNull().alias("filled")), 4)
+
+
 @query("c9_completeness", """
 select region_id, cast(ts as date) as d, count(*) as n from fx_hourly group by 1, 2 having count(*) <> 24""")
 def completeness(v):

@@ -122,6 +122,22 @@ def dedupe_names(v):
     return clean.numbered_duplicates(base, "base", "id", "name").select("id", "name")
 
 
+@query("n11_numbered_names", """
+with b as (select p_partkey as id, concat(split_part(lower(p_type), ' ', 1), case when p_partkey % 3 = 0 then concat('_', p_size % 7) when p_partkey % 11 = 0 then '_2' else '' end) as base from part),
+r as (select id, base, row_number() over (partition by base order by id) - 1 as k from b),
+t as (select regexp_extract(base, '^(.*)_([1-9][0-9]*)$', 1) as stem, regexp_extract(base, '^(.*)_([1-9][0-9]*)$', 2)::int as number
+  from (select distinct base from b where regexp_matches(base, '_[1-9][0-9]*$')) d),
+v as (select stem, number - row_number() over (partition by stem order by number) + 1 as free from t)
+select id, case when k = 0 then base else concat(base, '_', k + (select count(*) from v where stem = base and free <= k)) end as name from r""")
+def numbered_names(v):
+    """Names of which some look like numbered ones already."""
+    k = F.col("p_partkey")
+    first = F.split_part(F.lower("p_type"), F.lit(" "), F.lit(1))
+    tail = F.when(k % 3 == 0, F.concat(F.lit("_"), (F.col("p_size") % 7).cast("string"))).when(k % 11 == 0, "_2").otherwise("")
+    base = v.t("part").select(k.alias("id"), F.concat(first, tail).alias("base"))
+    return clean.numbered_duplicates(base, "base", "id", "name").select("id", "name")
+
+
 @query("n12_parse_hour", """
 select id, cast(case when h between 0 and 23 then h end as int) as hour from (
   select id, coalesce(try_cast(nullif(regexp_extract(t, '^\\s*([0-9]{1,2})\\s*-\\s*[0-9]{1,2}', 1), '') as int),
@@ -168,6 +184,21 @@ def repair_encoding(v):
                                  F.count_if(marked & (fixed == F.col("text"))).alias("n_restored"))
 
 
+@query("n15_repaired_charsets", f"""
+select lang, count(*) filter (regexp_matches(text, '{LETTERS}')) as n_marked, count(*) filter (regexp_matches(text, '{LETTERS}')) as n_cp866,
+  count(*) filter (regexp_matches(text, '{LETTERS}') and not regexp_matches(hex(encode(text)), '^(..)*(81|8D|8F|90|9D)')) as n_cp1252,
+  count(*) filter (regexp_matches(text, '{LETTERS}')) as n_composed from documents group by 1""")
+def repaired_charsets(v):
+    """Texts that went through the wrong charset or lie in decomposed letters, and come back whole; cp1252 lacks five bytes."""
+    d = v.t("documents").withColumn("marked", F.coalesce(F.col("text").rlike(LETTERS), F.lit(False)))
+    back = {c: clean.repair_encoding(clean.mangled("text", c), LETTERS, (c,)) == F.col("text") for c in ("cp866", "cp1252")}
+    pairs = {letter: pair for pair, letter in clean.composition_pairs().items() if ord(letter) < 0x180}
+    letters = F.transform(F.split("text", ""), lambda x: F.coalesce(F.try_element_at(clean.literal_map(pairs), x), x))
+    composed = clean.normal_form(F.array_join(letters, "")) == F.col("text")
+    return d.groupBy("lang").agg(F.count_if("marked").alias("n_marked"), F.count_if(F.col("marked") & back["cp866"]).alias("n_cp866"),
+                                 F.count_if(F.col("marked") & back["cp1252"]).alias("n_cp1252"), F.count_if(F.col("marked") & composed).alias("n_composed"))
+
+
 @query("n16_to_numeric_coerce", "select id, try_cast(num_txt as double) as num from fx_dirty")
 def to_numeric(v):
     return v.dirty.select("id", clean.to_double("num_txt").alias("num"))

@@ -199,6 +199,13 @@ def feature_importance(v):
     return rounded(learners.feature_importance(model, test, FEATURES, "target", ["region_id", "ts"]), 6)
 
 
+@query("m16_row_contributions")
+def row_contributions(v):
+    """What each feature adds to the forecast of each test row."""
+    _, train, _, test = transfer_frames(v)
+    return rounded(learners.contributions(learners.fit_gbt(train, FEATURES, "target"), test, FEATURES, ["region_id", "ts"]), 8)
+
+
 def _halves(v):
     cut = F.expr("timestamp_ntz'2024-01-20 00:00:00'")
     p = v.preds
