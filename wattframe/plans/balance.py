@@ -19,10 +19,10 @@ GROUP_LINES = ("Primary energy production", "Imports", "Exports", "Total primary
 
 
 def build_balance(cells: DataFrame, year: str, unit: str, group_lines: Sequence[str] = GROUP_LINES,
-                  key: Sequence[str] = BALANCE_KEY) -> Mapping[str, DataFrame]:
+                  key: Sequence[str] = BALANCE_KEY, wide_units: Sequence[str] = ("TJ",)) -> Mapping[str, DataFrame]:
     """Cell tables (year, unit, row_idx, col_idx, cell) to the long balance and the tables derived from it.
 
-    ``key`` decides which rows are copies of each other; the first in sheet order stays.
+    ``key`` decides which rows are copies of each other; the first in sheet order stays. Each of ``wide_units`` has a table ``wide_<unit>``.
     """
     grid = cells.withColumnsRenamed({year: "year", unit: "unit"})
     raw = reshape.grid_to_long(grid, ["year", "unit"])
@@ -32,6 +32,7 @@ def build_balance(cells: DataFrame, year: str, unit: str, group_lines: Sequence[
     electric = long.filter(F.col("fuel_group").rlike("(?i)electricity") | F.contains(F.lower("fuel"), F.lit("electric")))
     lines = F.col("line_item").isin(*group_lines)
     return LazyTables({
+        **{f"wide_{u}": lambda u=u: balance_wide(long, u) for u in wide_units},
         "balance_long": lambda: long,
         "electricity": lambda: electric.groupBy("year", "unit", "line_item").agg(F.sum("value").alias("value")),
         "by_fuel_group": lambda: long.filter(lines).groupBy("year", "unit", "fuel_group", "line_item").agg(F.sum("value").alias("value")),
@@ -56,11 +57,21 @@ def build_verified_balance(facts: DataFrame, extracted: DataFrame, year: str, me
 
 
 def extract_country(table: DataFrame, country: str, since: int, wanted: Sequence[str], flags: Sequence[str], peers: Sequence[str],
-                    peer_year: int, per_capita: tuple[str, str], names: Mapping[str, str] | None = None) -> Mapping[str, DataFrame]:
-    """One country's modern rows with missing-value flags, and the peer comparison of one year."""
+                    peer_year: int, per_capita: tuple[str, str], names: Mapping[str, str] | None = None, recent: int | None = None,
+                    searched: tuple[DataFrame, str] | None = None) -> Mapping[str, DataFrame]:
+    """One country's modern rows with missing-value flags, and the peer comparison of one year.
+
+    ``recent``: the rows since that year with what the country's table has of ``flags``, as ``recent``. ``searched``: a second table and a text; its rows
+    that hold the text in any column come as ``mentions``.
+    """
     t = table.withColumnsRenamed(dict(names)) if names else table
     one = io.available_columns(t.filter((F.col("country") == country) & (F.col("year") >= since)), wanted)
     num, den = per_capita
     p = (t.filter(F.col("country").isin(*peers) & (F.col("year") == peer_year))
          .select("country", (F.col(num) / F.when(F.col(den) != 0, F.col(den))).alias("per_capita")))
-    return LazyTables({"country": lambda: clean.missing_flags(one, flags), "peers": lambda: with_rank(p, [], "per_capita")})
+    found = {"country": lambda: clean.missing_flags(one, flags), "peers": lambda: with_rank(p, [], "per_capita")}
+    if recent is not None:
+        found["recent"] = lambda: one.filter(F.col("year") >= recent)
+    if searched:
+        found["mentions"] = lambda: clean.any_column_contains(*searched)
+    return LazyTables(found)

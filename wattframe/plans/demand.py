@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from wattframe.joins import on_keys
 from wattframe.functions import calendar, clean
 from wattframe.operators import disagg, forecast as fc, learners, metrics, panel, reshape, splits
+from wattframe.operators.relational import combine_first
 from wattframe.session import cut_lineage
 from wattframe.sources.tables import replace_slice
 
 
 def build_forecast_tables(load_wide: DataFrame, ts: str, monthly: DataFrame, sources: tuple[str, str], region: str,
-                          capacity: DataFrame, macro: Sequence[DataFrame], year: str = "yr", month: str = "mo") -> dict[str, DataFrame]:
+                          capacity: DataFrame, macro: Sequence[DataFrame], year: str = "yr", month: str = "mo", fresh_weather: DataFrame | None = None,
+                          holidays: DataFrame | None = None) -> dict[str, DataFrame]:
     """Load, weather, calendar and macro tables from a wide load file, two monthly demand sources and capacity factors.
 
-    ``capacity`` holds ts, region_id, wind_cf, solar_cf; of the ``macro`` tables (year, region_id, ..) the later ones win.
+    ``capacity`` holds ts, region_id, wind_cf, solar_cf; of the ``macro`` tables (year, region_id, ..) the later ones win. Measured values of ``fresh_weather``
+    (ts and any of the weather columns, one row a time) win over the proxies. ``holidays`` has a date column d.
     """
     cols = [c for c in load_wide.columns if c != ts]
     measured = (reshape.melt(load_wide, [ts], cols, "series", "load_mw").filter(F.col("load_mw").isNotNull())
@@ -32,8 +35,10 @@ def build_forecast_tables(load_wide: DataFrame, ts: str, monthly: DataFrame, sou
                               F.concat(F.lit("monthly_disaggregated_"), "source").alias("source"), F.lit(1).alias("is_synthetic"))
     load = splits.union_all(measured, synthetic)
     ranked = splits.union_all(*[m.withColumn("_rank", F.lit(i)) for i, m in enumerate(macro)])
-    return {"load": load, "weather": disagg.proxy_variables(capacity, "wind_cf", "solar_cf"),
-            "calendar": calendar.calendar_table(load, "ts"),
+    weather = disagg.proxy_variables(capacity, "wind_cf", "solar_cf")
+    if fresh_weather is not None:
+        weather = combine_first(weather, fresh_weather, ["ts"], [c for c in fresh_weather.columns if c != "ts"])
+    return {"load": load, "weather": weather, "calendar": calendar.calendar_table(load, "ts", holidays),
             "macro": splits.keep_last(ranked, ["year", "region_id"], ["_rank"]).drop("_rank")}
 
 

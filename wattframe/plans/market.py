@@ -38,3 +38,27 @@ def clean_series(raw: DataFrame, keys: Sequence[str], time_txt: str, values: Seq
     rows = splits.keep_first(kept, [*keys, "ts"], [order]).drop(order)
     return {"rows": rows, "missing": panel.missing_steps(rows, keys, "ts", unit, per_series=True),
             "report": quality.cleaning_report(d, keys, time_txt, "ts", values)}
+
+
+def refresh_by_year(table: DataFrame, newer: DataFrame, year: str, flags: Sequence[str], last: int, since: int, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """A yearly table with the rows of a newer source in place of its own, missing-value flags, and a report.
+
+    Only columns that ``table`` knows come from ``newer``, from ``since`` on; of two rows of a year (and ``keys``) the newer source's stays.
+    Rows up to ``last`` are kept; those without a year go. ``report`` has a row for each flag: how many years lack the value.
+    """
+    at = F.col(year).try_cast("int")
+    shared = [c for c in table.columns if c in newer.columns]
+    parts = splits.union_all(table.withColumn("_rank", F.lit(0)), newer.filter(at >= since).select(*shared).withColumn("_rank", F.lit(1)))
+    dated = parts.withColumn(year, at).filter(F.col(year) <= last)
+    rows = clean.missing_flags(splits.keep_last(dated, [*keys, year], ["_rank"]).drop("_rank"), flags)
+    counts = F.array(*[F.struct(F.lit(c).alias("column"), F.sum(f"{c}_missing_flag").alias("n_missing")) for c in flags])
+    return {"rows": rows, "report": rows.agg(counts.alias("_c")).select(F.inline("_c"))}
+
+
+def clean_generation(df: DataFrame, value: str, category: str, allowed: Sequence[str] = ("net imports",)) -> dict[str, DataFrame]:
+    """A generation table whose values are numbers, with negative ones nulled outside ``allowed``, and the counts of both kinds."""
+    numbers = df.withColumn(value, clean.to_double(F.col(value).cast("string")))
+    rows = clean.sign_rule(numbers, value, category, allowed)
+    negative = numbers.select((F.col(value) < 0).alias("_n"), F.lower(F.trim(category)).isin(*allowed).alias("_a"))
+    return {"rows": rows, "report": negative.agg(F.count_if("_n").alias("n_negative"), F.count_if(F.col("_n") & F.col("_a")).alias("n_allowed"),
+                                                 F.count_if(F.col("_n") & ~F.coalesce("_a", F.lit(False))).alias("n_nulled"))}

@@ -21,18 +21,28 @@ def weather_to_cf(wind: DataFrame, sun: DataFrame, places: Sequence[tuple]) -> D
 
 
 def site_study(candidates: DataFrame, site: str, weights: Mapping[str, float], benefit: Mapping[str, bool], temperatures: DataFrame,
-               temp_keys: Sequence[str], ts: str, temp_c: str, cost: DataFrame, rate: float = 0.08, years: int = 10) -> Mapping[str, DataFrame]:
-    """Ranking, efficiency, cooling hours, sensitivity and cost tables of the candidate sites."""
+               temp_keys: Sequence[str], ts: str, temp_c: str, cost: DataFrame, rate: float = 0.08, years: int = 10, tariffs: Sequence[float] = tuple(sites.linspace(0.02, 0.20, 50)),
+               other: float = 60.0) -> Mapping[str, DataFrame]:
+    """Ranking, efficiency, cooling hours, sensitivity and cost tables of the candidate sites.
+
+    ``cost`` holds the site, mw, tariff, capex (millions) and, for ``emissions``, intensity (t per MWh).
+    """
     matrix = decompose.to_matrix(candidates, site, list(weights))
     opex = resource.annual_opex("mw", "tariff") / 1e6
+    kwh = resource.annual_energy_kwh("mw")
+    dearest = cost.agg(F.max(opex))
     return LazyTables({
+        "opex": lambda: cost.select(site, kwh.alias("kwh"), opex.alias("opex"), (100 * (1 - opex / dearest.scalar())).alias("savings_pct")),
+        "sweep": lambda: sites.tariff_sweep(cost.drop("tariff"), tariffs, {"tco": resource.tco_undiscounted(F.col("capex"), opex, F.lit(other), years)}).select(site, "tariff", "tco"),
+        "emissions": lambda: cost.select(site, resource.scope2_emissions("intensity", kwh / 1000).alias("tonnes")),
+        "water": lambda: sites.water_by_technology(cost.select(site, kwh.alias("kwh")), "kwh").select(site, "technology", "water_l"),
         "ranking": lambda: decompose.topsis(matrix, site, weights, benefit),
         "scores": lambda: decompose.weighted_score(matrix, site, weights),
         "pue": lambda: sites.pue_by_month(temperatures, temp_keys, ts, temp_c),
         "cooling": lambda: sites.cooling_hours(temperatures, temp_keys, temp_c),
         "sensitivity": lambda: sites.threshold_sensitivity(temperatures, temp_keys, temp_c, [5, 8, 10, 12, 15, 18, 21, 27]),
         "tco": lambda: cost.select(site, resource.npv_cost(F.col("capex"), opex, rate, years).alias("npv"),
-                                   resource.tco_undiscounted(F.col("capex"), opex, F.lit(60.0), years).alias("stacked")),
+                                   resource.tco_undiscounted(F.col("capex"), opex, F.lit(other), years).alias("stacked")),
     })
 
 

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wattframe.functions import calendar
-from wattframe.operators import metrics, quality, splits
+from wattframe.operators import metrics, quality, reshape, splits
 from wattframe.plans import balance, demand, market, site
 from wattframe.session import checkpoint_folder
 from wattframe.sources.tables import build_manifest
@@ -63,9 +63,19 @@ def balance_wide(v):
     return rounded(balance.balance_wide(long, "TJ"), 2)
 
 
+@query("p1_wide_of_cells", f"""
+with {_LONG}, w as (select line_item, year, fuel, sum(value) as value from long where unit = 'TJ' group by 1, 2, 3)
+select line_item, trim(regexp_replace(lower(concat(year, '__', fuel)), '[^0-9a-z_]+', '_', 'g'), '_') as col, round(value, 2) as value from w where value is not null""")
+def wide_of_cells(v):
+    """The wide table that the balance job makes of its cells, read back as rows."""
+    wide = _balance(v)["wide_TJ"]
+    return rounded(reshape.melt(wide, ["line_item"], [c for c in wide.columns if c != "line_item"], "col", "value").filter("value is not null"), 2)
+
+
 # --- market and series ------------------------------------------------------------------------------------
 
-def _raw_market(v):
+def _market_rows(v, money):
+    """Market files as text rows; an amount that is NULL is written as a word."""
     k, day = F.col("event_id"), F.col("ts").cast("date")
     north = F.col("event_type").isin("view", "click")
     name = F.concat(F.lit("Январь 2024 "), F.when(north, "Север-Юг").otherwise("Запад"), F.lit(" "), F.col("event_type"), F.lit(".xlsx"))
@@ -74,7 +84,11 @@ def _raw_market(v):
         name.alias("file_name"), F.when(north, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yyyy")).alias("date_txt"),
         F.concat_ws("-", hour.cast("string"), ((hour + 1) % 24).cast("string")).alias("hour_txt"),
         F.when(k % 2 == 0, " Up").otherwise("down ").alias("direction"),
-        F.when(k % 25 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("payment"))
+        *[F.coalesce(c.cast("string"), F.lit("n/a")).alias(name) for name, c in money.items()])
+
+
+def _raw_market(v):
+    return _market_rows(v, {"payment": F.when(F.col("event_id") % 25 != 0, F.col("value"))})
 
 
 @query("p2_market_monthly", """
@@ -94,6 +108,22 @@ def market_hourly(v):
     return m["hourly"].groupBy("date", "hour", "direction", "zone").agg(F.count("*").alias("n"), F.count("payment").alias("n_paid"))
 
 
+MONEY = ("earnings_up", "earnings_down", "payment_to_supplier", "payment_to_system_op")
+
+
+@query("p2_market_money", """
+with m as (select case when event_type in ('view', 'click') then 'North-South' else 'West' end as zone, case when event_id % 25 <> 0 then value end as a,
+  case when event_id % 2 = 0 then value * 2 end as b, case when event_id % 3 = 0 then -value end as c, value / 4 as d from events)
+select 2024::int as year, 1::int as month, zone, count(*) as rows, round(coalesce(sum(a), 0), 2) as total_earnings_up, round(coalesce(sum(b), 0), 2) as total_earnings_down,
+  round(coalesce(sum(c), 0), 2) as total_payment_to_supplier, round(coalesce(sum(d), 0), 2) as total_payment_to_system_op from m group by 3""")
+def market_money(v):
+    """Monthly totals of all four money columns, each with texts that are no numbers."""
+    k, x = F.col("event_id"), F.col("value")
+    raw = _market_rows(v, {
+        "earnings_up": F.when(k % 25 != 0, x), "earnings_down": F.when(k % 2 == 0, x * 2), "payment_to_supplier": F.when(k % 3 == 0, -x), "payment_to_system_op": x / 4})
+    return rounded(market.build_market_hourly(raw, {"up": "up", "down": "down"}, MONEY)["monthly"], 2)
+
+
 def _facts(v):
     f = v.facts.select("yr", "metric", "value_bkwh", "source_year_report")
     found = f.select("yr", (F.col("value_bkwh") + (F.col("yr") % 3) * 0.4).alias("value_bkwh"))
@@ -136,6 +166,71 @@ def peer_comparison(v):
     return rounded(_countries(v)["peers"], 4)
 
 
+def _more_countries(v):
+    """The extract with its recent years, and a search over all columns of the nations."""
+    m = v.monthly_zone.groupBy("yr", "zone").agg(F.sum("total").alias("gdp"), F.sum("n").alias("population"))
+    n = v.t("nation").join(v.t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return balance.extract_country(m, "ASIA", 1995, ["year", "country", "gdp", "population"], ["gdp"], ["ASIA"], 1999, ("gdp", "population"), {"yr": "year", "zone": "country"},
+                                   recent=1996, searched=(n, "AsIa"))
+
+
+@query("p4_recent_years", "select yr::int as year, zone as country, round(sum(total), 2) as gdp, sum(n)::bigint as population from fx_monthly_zone where zone = 'ASIA' and yr >= 1996 group by 1, 2")
+def recent_years(v):
+    return rounded(_more_countries(v)["recent"], 2)
+
+
+@query("p4_mentions", """
+select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey where contains(lower(concat_ws(' ', n_nationkey, n_name, r_name)), 'asia')""")
+def mentions(v):
+    return _more_countries(v)["mentions"]
+
+
+def _macro_refreshed(v):
+    old = v.monthly_zone.groupBy(F.col("yr").cast("string").alias("year"), F.col("zone").alias("country")).agg(F.sum("total").alias("gdp"), F.sum("n").alias("jobs"))
+    old = old.withColumn("gdp", F.when(F.col("year") != "1996", F.col("gdp"))).unionByName(v.literal([("n/a", "ASIA", 1.0, 1)], "year string, country string, gdp double, jobs bigint"))
+    new = old.filter("year > '1994' and country <> 'AFRICA'").select("year", "country", (F.col("gdp") * 3).alias("gdp"), F.lit("x").alias("unknown"))
+    return market.refresh_by_year(old, new, "year", ["gdp", "jobs", "co2"], 1997, 1995, ["country"])
+
+
+_MACRO = """o as (select yr as year, zone as country, case when yr <> 1996 then sum(total) end as gdp, sum(n)::bigint as jobs from fx_monthly_zone group by 1, 2),
+r as (select year, country, case when year >= 1995 and country <> 'AFRICA' then gdp * 3 else gdp end as gdp, case when year >= 1995 and country <> 'AFRICA' then null else jobs end as jobs
+  from o where year <= 1997)"""
+
+
+@query("p5_macro_refreshed", f"""
+with {_MACRO} select year::int as year, country, round(gdp, 2) as gdp, jobs, (gdp is null)::int as gdp_missing_flag, (jobs is null)::int as jobs_missing_flag, 1::int as co2_missing_flag from r""")
+def macro_refreshed(v):
+    """Yearly rows where a newer source wins, as whole rows."""
+    return rounded(_macro_refreshed(v)["rows"], 2)
+
+
+@query("p5_macro_report", f"""
+with {_MACRO} select 'gdp' as "column", count(*) filter (gdp is null) as n_missing from r union all select 'jobs', count(*) filter (jobs is null) from r union all select 'co2', count(*) from r""")
+def macro_report(v):
+    return _macro_refreshed(v)["report"]
+
+
+def _generation(v):
+    e = v.t("events").select("event_id", F.when(F.col("user_id") % 4 == 0, " Net Imports").otherwise(F.col("event_type")).alias("variable"),
+                             F.when(F.col("event_id") % 7 == 0, -F.col("value")).otherwise(F.col("value")).cast("string").alias("value"))
+    return market.clean_generation(e, "value", "variable")
+
+
+@query("p5_generation_signs", """
+select user_id % 4 = 0 as imports, count(*) as n, count(*) filter (event_id % 7 <> 0 or value <= 0 or user_id % 4 = 0) as n_ok,
+  round(coalesce(sum(case when event_id % 7 = 0 then case when user_id % 4 = 0 or value <= 0 then -value end else value end), 0), 2) as total from events group by 1""")
+def generation_signs(v):
+    rows = _generation(v)["rows"]
+    return rounded(rows.groupBy((F.col("variable") == " Net Imports").alias("imports")).agg(F.count("*").alias("n"), F.count_if("sign_ok").alias("n_ok"), F.sum("value").alias("total")), 2)
+
+
+@query("p5_generation_report", """
+select count(*) filter (event_id % 7 = 0 and value > 0) as n_negative, count(*) filter (event_id % 7 = 0 and value > 0 and user_id % 4 = 0) as n_allowed,
+  count(*) filter (event_id % 7 = 0 and value > 0 and user_id % 4 <> 0) as n_nulled from events""")
+def generation_report(v):
+    return _generation(v)["report"]
+
+
 def _cleaned(v):
     raw = checks.raw_series(v).drop("ts")
     return market.clean_series(raw, ["series"], "txt", ["v"], "event_id")
@@ -199,6 +294,42 @@ def forecast_manifest(v):
     return build_manifest({"calendar": (t["calendar"], "is_holiday", "ts"), "weather": (t["weather"], "region_id", "ts"), "macro": (macro, "region_id", "ts")})
 
 
+def _full_tables(v):
+    """The forecast tables with measured weather for a part of the days, and holidays."""
+    cap = v.daily.select(F.col("d").cast("timestamp_ntz").alias("ts"), F.lit("cf").alias("region_id"), (F.col("cf") - 0.3).alias("wind_cf"), F.col("cf").alias("solar_cf"))
+    fresh = v.daily.filter("day(d) % 3 = 0").select(F.col("d").cast("timestamp_ntz").alias("ts"), F.when(F.month("d") != 2, F.col("cf") * 7).alias("wind_speed_10m"),
+                                                  (F.col("cf") * 20).alias("temperature_2m"))
+    macro = v.monthly_zone.groupBy(F.col("yr").alias("year"), F.col("zone").alias("region_id")).agg(F.sum("total").alias("industry_index"))
+    days = v.literal([("2024-01-01",), ("2024-01-08",), ("1996-03-08",)], "d string").select(F.col("d").cast("date").alias("d"))
+    return demand.build_forecast_tables(v.load_wide, "ts", deco.two_sources(v), ("a", "b"), "KZ_SYSTEM", cap, [macro], fresh_weather=fresh, holidays=days)
+
+
+@query("p6_weather_refreshed", """
+select cast(d as timestamp) as ts, round(case when day(d) % 3 = 0 and month(d) <> 2 then cf * 7 else greatest(cf - 0.3, 0) * 15 end, 6) as wind_speed_10m,
+  round(greatest(cf, 0) * 1000, 5) as shortwave_radiation, round(case when day(d) % 3 = 0 then cf * 20 end, 6) as temperature_2m from fx_daily""")
+def weather_refreshed(v):
+    w = _full_tables(v)["weather"].select("ts", "wind_speed_10m", "shortwave_radiation", "temperature_2m")
+    return rounded(rounded(w, 6, "wind_speed_10m", "temperature_2m"), 5, "shortwave_radiation")
+
+
+_TIMES = deco.FALLBACK_SQL + """, grid as (select unnest(generate_series(make_timestamp(yr, mo, 1, 0, 0, 0), cast(last_day(make_date(yr, mo, 1)) as timestamp)
+  + interval 23 hour, interval 1 hour)) as ts from w where coalesce(a, b) is not null)"""
+
+
+@query("p6_holidays", f"""
+with {_TIMES}, c as (select distinct ts from (select ts from fx_hourly union all select ts from grid) a)
+select cast(ts as date) in (date '2024-01-01', date '2024-01-08', date '1996-03-08') as holiday, count(*) as n from c group by 1""")
+def holidays(v):
+    return _full_tables(v)["calendar"].groupBy((F.col("is_holiday") == 1).alias("holiday")).agg(F.count("*").alias("n"))
+
+
+@query("p6_load_manifest", f"""
+with {_TIMES} select 'load' as tbl, 'KZ_SYSTEM' as grp, count(*) as n_rows, min(ts) as first_ts, max(ts) as last_ts from grid
+union all select 'load', region_id, count(*), min(ts), max(ts) from fx_hourly group by 2""")
+def load_manifest(v):
+    return build_manifest({"load": (_full_tables(v)["load"], "region_id", "ts")})
+
+
 TRANSFER_HORIZONS, MIRROR_HORIZONS = (1, 6, 24, 168), (1, 24, 168)
 
 
@@ -438,3 +569,37 @@ def site_ranking(v):
 @query("p14_site_efficiency", res.PUE_SQL)
 def site_efficiency(v):
     return rounded(_study(v)["pue"], 8)
+
+
+def _costed(v):
+    cost = res.site_cost(v).withColumn("intensity", 0.3 + F.col("tariff"))
+    return site.site_study(v.sites, "site", deco.WEIGHTS, deco.BENEFIT, res._temps(v), ["loc"], "ts", "t", cost)
+
+
+@query("p14_site_costs", f"""
+with o as (select site, mw * 1000 * 8760 as kwh, mw * 1000 * 8760 * tariff / 1e6 as opex, 0.3::double + tariff as intensity from {res._SITE_COST} c)
+select site, round(kwh, 2) as kwh, round(opex, 6) as opex, round(100 * (1 - opex / (select max(opex) from o)), 6) as savings_pct, round(intensity * kwh / 1000, 4) as tonnes from o""")
+def site_costs(v):
+    s = _costed(v)
+    return rounded(rounded(rounded(s["opex"].join(s["emissions"], "site"), 2, "kwh"), 6, "opex", "savings_pct"), 4, "tonnes")
+
+
+@query("p14_tariff_sweep", f"""
+select site, round(tariff, 10) as tariff, round(capex + tariff * mw * 1000 * 8760 * 10 / 1e6 + 60, 5) as tco from (
+  select site, capex, mw, 0.02::double + i * (0.18::double / 49) as tariff from {res._SITE_COST} s cross join (select unnest(range(0, 50)) as i) x) t""")
+def site_tariff_sweep(v):
+    return rounded(rounded(_costed(v)["sweep"], 10, "tariff"), 5, "tco")
+
+
+@query("p14_water", f"""
+select site, technology, round(wue * mw * 1000 * 8760, 3) as water_l from {res._SITE_COST} c
+cross join (values ('evaporative_tower', 2.0::double), ('hybrid', 0.8), ('air_cooled_chiller', 0.01), ('direct_to_chip', 0.003), ('single_phase_immersion', 0.001)) t(technology, wue)""")
+def site_water(v):
+    return rounded(_costed(v)["water"], 3, "water_l")
+
+
+@query("p14_weighted_scores", """
+select site, round(s, 4) as score, rank() over (order by s desc) as rank from (
+  select site, 0.25::double * demand + 0.25::double * credit + 0.2::double * volume + 0.3::double * cost as s from fx_sites) t""")
+def site_scores(v):
+    return rounded(_costed(v)["scores"], 4)
