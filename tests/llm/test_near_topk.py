@@ -131,6 +131,15 @@ def test_block_top_equals_brute_force(n, k, spread):
         assert hit.tolist() == order and score.tolist() == every[order].tolist()
 
 
+def test_finer_bounds_are_made_for_survivors_alone():
+    rng = np.random.default_rng(8)
+    steps = rng.normal(0, 1, (400, 1)) + np.repeat(rng.normal(0, 0.5, (400, 4)), 16, axis=1) + rng.normal(0, 0.05, (400, 64))
+    x, seen = np.floor(64 * steps).astype(np.int64), []
+    list(topk.block_top(x[::20], x, np.arange(0, 400, 20), 5, seen))
+    assert len(seen) == len(topk.SEGMENTS) + 1 and seen[0] == 20 * 400
+    assert all(a >= b for a, b in zip(seen[:-1], seen[1:], strict=True)) and seen[1] < seen[0] / 2 and seen[-1] < seen[0] / 4
+
+
 def test_top_products_of_awkward_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 7)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)

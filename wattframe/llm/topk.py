@@ -20,6 +20,8 @@ from wattframe.session import cut_lineage
 
 SEGMENTS = (1, 4, 16)
 QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 8192, 4096, 256
+#: pairs whose bounds or products are made at once
+PAIRS = 100_000
 
 
 def segment_features(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -40,8 +42,12 @@ def exact_products(a: np.ndarray, b: np.ndarray, paired: bool = False) -> np.nda
     return out.astype(np.int64)
 
 
-def block_top(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, its best candidates, their products) with ties to the lower number; ``own`` is a query's own candidate or -1."""
+def block_top(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int, seen: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, its best candidates, their products) with ties to the lower number; ``own`` is a query's own candidate or -1.
+
+    Only the coarsest bound is made for all pairs; each finer one, and the exact product, for the pairs that the one before left. ``seen``, if given, gets the
+    number of pairs at each level and of exact products, added up.
+    """
     count = len(candidates)
     levels = [segment_features(candidates.astype(np.float64), s) for s in SEGMENTS]
     for lo in range(0, len(queries), CHUNK):
@@ -57,20 +63,28 @@ def block_top(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: i
         first = exact_products(np.repeat(part, take, axis=0), candidates[seed.ravel()], True).reshape(len(part), take).astype(np.float64)
         first[np.isneginf(np.take_along_axis(bound, seed, 1))] = -np.inf
         floor = first.min(1)[:, None] if count >= k else np.full((len(part), 1), -np.inf)
-        alive = np.isfinite(bound)
         scale = np.linalg.norm(wide, axis=1)[:, None] * np.linalg.norm(candidates.astype(np.float64), axis=1)[None, :]
         slack = 1 + 1e-9 * scale  # rounding of the bounds
-        alive &= bound + slack >= floor
+        alive = np.isfinite(bound) & (bound + slack >= floor)
+        i, j = np.nonzero(alive)
+        counts = [bound.size]
         for segments, level in zip(SEGMENTS[1:], levels[1:], strict=True):
-            alive &= segment_features(wide, segments) @ level.T + slack >= floor
+            counts.append(len(i))
+            asked = segment_features(wide, segments)
+            kept = [np.einsum("ij,ij->i", asked[i[at:at + PAIRS]], level[j[at:at + PAIRS]]) + slack[i[at:at + PAIRS], j[at:at + PAIRS]] >= floor[i[at:at + PAIRS], 0]
+                    for at in range(0, len(i), PAIRS)]
+            if kept:
+                kept = np.concatenate(kept)
+                i, j = i[kept], j[kept]
+        counts.append(len(i))
+        if seen is not None:
+            seen[:] = counts if not seen else [x + y for x, y in zip(seen, counts, strict=True)]
         score = np.full(alive.shape, np.iinfo(np.int64).min)
-        if alive.mean() > 0.1:
-            score[alive] = exact_products(part, candidates)[alive]
-        else:
-            i, j = np.nonzero(alive)
-            for at in range(0, len(i), 200_000):
-                s = slice(at, at + 200_000)
-                score[i[s], j[s]] = exact_products(part[i[s]], candidates[j[s]], True)
+        alive[:] = False
+        alive[i, j] = True
+        for at in range(0, len(i), PAIRS):
+            s = slice(at, at + PAIRS)
+            score[i[s], j[s]] = exact_products(part[i[s]], candidates[j[s]], True)
         for r in rows:
             hit = np.flatnonzero(alive[r])
             if len(hit) > k:
