@@ -22,6 +22,8 @@ SEGMENTS = (1, 4, 16)
 QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 8192, 4096, 256
 #: pairs whose bounds or products are made at once
 PAIRS = 100_000
+#: above this share of pairs a product of all rows with all is cheaper than picking the pairs
+DENSE = 0.1
 
 
 def segment_features(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -45,8 +47,8 @@ def exact_products(a: np.ndarray, b: np.ndarray, paired: bool = False) -> np.nda
 def block_top(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int, seen: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, its best candidates, their products) with ties to the lower number; ``own`` is a query's own candidate or -1.
 
-    Only the coarsest bound is made for all pairs; each finer one, and the exact product, for the pairs that the one before left. ``seen``, if given, gets the
-    number of pairs at each level and of exact products, added up.
+    The coarsest bound is made for all pairs; each finer one, and the exact product, for the pairs that the one before left, unless those are over DENSE of
+    all. ``seen``, if given, gets the number of pairs at each level and of exact products, added up.
     """
     count = len(candidates)
     levels = [segment_features(candidates.astype(np.float64), s) for s in SEGMENTS]
@@ -66,25 +68,31 @@ def block_top(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: i
         scale = np.linalg.norm(wide, axis=1)[:, None] * np.linalg.norm(candidates.astype(np.float64), axis=1)[None, :]
         slack = 1 + 1e-9 * scale  # rounding of the bounds
         alive = np.isfinite(bound) & (bound + slack >= floor)
-        i, j = np.nonzero(alive)
         counts = [bound.size]
         for segments, level in zip(SEGMENTS[1:], levels[1:], strict=True):
-            counts.append(len(i))
+            left = int(alive.sum())
             asked = segment_features(wide, segments)
-            kept = [np.einsum("ij,ij->i", asked[i[at:at + PAIRS]], level[j[at:at + PAIRS]]) + slack[i[at:at + PAIRS], j[at:at + PAIRS]] >= floor[i[at:at + PAIRS], 0]
-                    for at in range(0, len(i), PAIRS)]
-            if kept:
-                kept = np.concatenate(kept)
-                i, j = i[kept], j[kept]
-        counts.append(len(i))
+            if left > DENSE * alive.size:  # so few went that one product of all costs less than picking
+                counts.append(alive.size)
+                alive &= asked @ level.T + slack >= floor
+                continue
+            counts.append(left)
+            i, j = np.nonzero(alive)
+            for at in range(0, left, PAIRS):
+                s = slice(at, at + PAIRS)
+                alive[i[s], j[s]] = np.einsum("ij,ij->i", asked[i[s]], level[j[s]]) + slack[i[s], j[s]] >= floor[i[s], 0]
+        left = int(alive.sum())
+        counts.append(alive.size if left > DENSE * alive.size else left)
         if seen is not None:
             seen[:] = counts if not seen else [x + y for x, y in zip(seen, counts, strict=True)]
         score = np.full(alive.shape, np.iinfo(np.int64).min)
-        alive[:] = False
-        alive[i, j] = True
-        for at in range(0, len(i), PAIRS):
-            s = slice(at, at + PAIRS)
-            score[i[s], j[s]] = exact_products(part[i[s]], candidates[j[s]], True)
+        if left > DENSE * alive.size:
+            score[alive] = exact_products(part, candidates)[alive]
+        else:
+            i, j = np.nonzero(alive)
+            for at in range(0, left, PAIRS):
+                s = slice(at, at + PAIRS)
+                score[i[s], j[s]] = exact_products(part[i[s]], candidates[j[s]], True)
         for r in rows:
             hit = np.flatnonzero(alive[r])
             if len(hit) > k:
