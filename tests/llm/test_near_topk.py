@@ -73,6 +73,27 @@ def test_components_equal_brute_force(spark, texts, monkeypatch, block):
     assert sorted(r.doc_id for r in minmax.one_of_each(docs).collect()) == sorted(set(roots))
 
 
+@pytest.mark.parametrize("strangers", [0, 40])
+def test_copies_in_many_blocks_are_dealt_to_few(spark, monkeypatch, strangers):
+    monkeypatch.setattr(minmax, "BLOCK_SETS", 50)
+    dealt, plain = [], minmax._other_blocks
+    monkeypatch.setattr(minmax, "_other_blocks", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    rng = np.random.default_rng(10)
+    base, texts = [f"w{k}" for k in range(200)], []
+    for k in range(600):
+        own = list(base)
+        for at in rng.integers(0, 200, 2):
+            own[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(own))
+    # near some of them, but not near enough: they share band keys and stay apart
+    texts += [" ".join([*base[:172], *(f"y{j}_{k}" for j in range(28))]) for k in range(strangers)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)[0] and {got[k] for k in range(600)} == {0}
+    # all blocks with all others would be eleven copies of a set
+    assert strangers or sum(d.count() for d in dealt) < 60
+
+
 def test_block_links_span_the_right_components():
     rng = np.random.default_rng(5)
     texts = family(rng, 50, 60, 0.3) + family(rng, 30, 80, 0.1)
@@ -137,7 +158,7 @@ def test_finer_bounds_are_made_for_survivors_alone():
     x, seen = np.floor(64 * steps).astype(np.int64), []
     list(topk.block_top(x[::20], x, np.arange(0, 400, 20), 5, seen))
     assert len(seen) == len(topk.SEGMENTS) + 1 and seen[0] == 20 * 400
-    assert all(a >= b for a, b in zip(seen[:-1], seen[1:], strict=True)) and seen[1] < seen[0] / 2 and seen[-1] < seen[0] / 4
+    assert all(a >= b for a, b in zip(seen[:-1], seen[1:], strict=True)) and seen[1] < seen[0] / 10 and seen[-1] < seen[1]
 
 
 def test_top_products_of_awkward_vectors(spark, monkeypatch):

@@ -7,7 +7,9 @@ passage hardly ever meet.
 
 Sets that share a bucket, directly or through others, are one candidate group, each set in one. Groups are checked in blocks:
 intersections of all sets of a block are counted at once from its inverted lists, and a block gives no pairs but a forest of
-links. Blocks of one group meet each other only in sets that aren't connected yet. No group is gathered whole.
+links. A group of several blocks is first linked exactly to the first set of each band key, a star that joins most copies. Then a set meets
+only blocks that hold a set of another component under one of its band keys; where sets of many components share their keys and stay apart, that is
+still most blocks. No group is gathered whole.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.components import components
@@ -29,6 +31,8 @@ BANDS, ROWS = 48, 8
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 500_000
 #: inverted lists up to this length are counted pair by pair, longer ones by matrix products
 SHORT_LIST = 24
+#: a component of more than one in so many rows is a hot one
+HOT_SHARE = 1000
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -194,6 +198,44 @@ def band_links(nodes: DataFrame) -> DataFrame:
     return met.join(cut_lineage(shared), "key").where("a <> node").select("a", F.col("node").alias("b"))
 
 
+def _star_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the sets of ``keys`` (node, key) that are near-duplicates of the first set of one of their keys, on full ``sets`` (node, shingles)."""
+    lead = cut_lineage(keys.groupBy("key").agg(F.min("node").alias("a")))
+    star = keys.join(lead, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    sizes = star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("parts"))
+    # a first set goes to as many parts as its others fill
+    star = cut_lineage(star.join(sizes, "a").withColumn("part", F.expr("pmod(xxhash64(b), parts)")).drop("parts"))
+    heads = star.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), "shingles"), "a")
+    heads = heads.select(F.col("a").alias("first"), F.col("part").alias("place"), F.col("shingles").alias("own"))  # other names for cogroup
+    others = star.join(sets.select(F.col("node").alias("b"), "shingles"), "b")
+
+    def run(rows: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(head):
+            own, first = np.frombuffer(head.own.iloc[0], np.uint64), int(head["first"].iloc[0])
+            for b, other in zip(rows.b, rows.shingles, strict=True):
+                other = np.frombuffer(other, np.uint64)
+                both = int(np.isin(other, own, assume_unique=True).sum())
+                if both and (100 + percent) * both >= percent * (len(own) + len(other)):
+                    found.append((first, int(b)))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return others.groupBy("a", "part").cogroup(heads.groupBy("first", "place")).applyInPandas(run, "a long, b long")
+
+
+def _other_blocks(keys: DataFrame, own: DataFrame) -> DataFrame:
+    """node, label, home, block, other: the blocks in which a set of ``keys`` (node, key, home, block) may still find links, none for most.
+
+    Such a block holds a set of another component (``own``: node, label) under one of the set's band keys. Keys within one component vanish first.
+    """
+    marked = cut_lineage(keys.join(own, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    mixed = cut_lineage(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
+    rest = marked.join(mixed, "key")
+    there = cut_lineage(rest.groupBy("key", F.col("block").alias("other")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    met = rest.join(there, "key").where("block <> other AND (lo <> label OR hi <> label)")
+    return met.select("node", "label", "home", "block", "other").distinct()
+
+
 def _labeled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows of signatures() with a row id, and row, doc_id, text_hash, n_shingles, label of those with words: one label a component."""
     rows = signatures(docs, width)
@@ -220,9 +262,11 @@ def _labeled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
         shingles = cut_lineage(shingles)
     links = cut_lineage(_links(shingles, ["home", "block"], percent))
     if large:
-        own = components(links)
-        split = shingles.where("blocks > 1").join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = split.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != F.col("block"))))
+        big = placed.where("blocks > 1").select("node", "home", "block")
+        keys = cut_lineage(nodes.select(F.col("row").alias("node"), F.explode("bands").alias("key")).join(big, "node"))
+        links = cut_lineage(links.union(_star_links(keys, shingles, percent)))
+        asked = _other_blocks(keys, components(links))
+        split = asked.join(shingles.select("node", "shingles"), "node")
         split = split.select("node", "label", "home", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles")
         links = links.union(_links(split, ["home", "low", "high"], percent))
     merged = components(links)
@@ -232,6 +276,15 @@ def _labeled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     return rows, labeled
 
 
+def _named(labeled: DataFrame, name: Column) -> DataFrame:
+    """``labeled`` with an aggregate of each label. A label of more than one in HOT_SHARE rows is looked up in a broadcast table, which so has
+    at most HOT_SHARE rows, so that no task gets all rows of a large component."""
+    groups = cut_lineage(labeled.groupBy("label").agg(name, F.count(F.lit(1)).alias("_n")))
+    often = F.col("_n") > labeled.count() / HOT_SHARE
+    hot, few = F.broadcast(groups.where(often).drop("_n")), groups.where(~often).drop("_n")
+    return labeled.join(hot, "label").unionByName(labeled.join(hot, "label", "left_anti").join(few, "label"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
@@ -241,8 +294,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, percent: int = 85) -> Da
     An empty table gives no rows; other columns are left out.
     """
     rows, labeled = _labeled(docs, width, percent)
-    least = labeled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = labeled.join(least, "label").select("doc_id", "text_hash", "n_shingles", "component_id")
+    labeled = cut_lineage(labeled)
+    found = _named(labeled, F.min("doc_id").alias("component_id")).select("doc_id", "text_hash", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -255,8 +308,7 @@ def one_of_each(docs: DataFrame, *, width: int = 3, percent: int = 85) -> DataFr
     """
     _, labeled = _labeled(docs, width, percent)
     labeled = cut_lineage(labeled.select("label", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash").alias("name")))
-    least = labeled.groupBy("label").agg(F.min("name").alias("least"))
-    gone = labeled.join(least, "label").where(F.col("name") != F.col("least")).select("name").distinct()
+    gone = _named(labeled, F.min("name").alias("least")).where(F.col("name") != F.col("least")).select("name").distinct()
     again = labeled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     stay = docs.withColumn("__name", name).join(gone.withColumnRenamed("name", "__gone"), F.col("__name") == F.col("__gone"), "left_anti")
