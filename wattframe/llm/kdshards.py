@@ -20,6 +20,8 @@ PLACE_BITS, TEXT_BITS, ROW_BITS, STEP = 24, 12, 12, 12
 #: a group of equal texts is cut itself only if it holds more than this share of a shard's bytes
 GROUP_SHARE = 0.01
 SLOT_ROWS = 50_000
+#: a text that more than one in so many rows hold is looked up in a broadcast table, which so has at most this many rows
+HOT_SHARE = 1000
 
 
 @dataclass
@@ -142,10 +144,13 @@ def kd_shards(docs: DataFrame, *, shards: int | None = None, target_bytes: int |
     kinds = dict(docs.dtypes)
     numbers = [(F.log2("size") if d == "size" else _number(f"_c{k}", kinds[d])).alias(f"_d{k}") for k, d in enumerate(dimensions)]
     rows = cut_lineage(rows.select("_id", "doc_id", "size", "text_crc32", "_hash", *numbers))
-    group = rows.groupBy("_hash", "text_crc32", "size").agg(*[F.min(f"_d{k}").alias(f"_d{k}") for k in range(len(dimensions))])
-    base = cut_lineage(rows.drop(*[f"_d{k}" for k in range(len(dimensions))]).join(group, ["_hash", "text_crc32", "size"]).select(
-        "_id", "doc_id", "size", "text_crc32", *[f"_d{k}" for k in range(len(dimensions))],
-        F.expr(f"pmod(_hash, {2**TEXT_BITS})").alias("_text"), F.expr(f"pmod(xxhash64(_id), {2**ROW_BITS})").alias("_row")))
+    same, dims = ["_hash", "text_crc32", "size"], range(len(dimensions))
+    group = cut_lineage(rows.groupBy(*same).agg(*[F.min(f"_d{k}").alias(f"_m{k}") for k in dims], F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    often = F.col("_n") > rows.count() / HOT_SHARE
+    hot, few = F.broadcast(group.where(often)), group.where(~often)
+    met = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(few, same, "left"))
+    base = cut_lineage(met.select("_id", "doc_id", "size", "text_crc32", *[F.coalesce(f"_m{k}", f"_d{k}").alias(f"_d{k}") for k in dims],
+                                  F.expr(f"pmod(_hash, {2**TEXT_BITS})").alias("_text"), F.expr(f"pmod(xxhash64(_id), {2**ROW_BITS})").alias("_row")))
     total = base.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"),
                      *[f(f"_d{k}").alias(f"{m}{k}") for k in range(len(dimensions)) for m, f in (("lo", F.min), ("hi", F.max))]).first()
     if shards is None:
