@@ -3,6 +3,7 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -45,3 +46,13 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_repaired_charsets_of_letters_that_mangle_into_letters(spark, tmp_path):
+    texts = ["Übung", "Überaus schön", "ÜÜ", "ß—“”", "é und é", "é—", "x́ ä", "Í ä", "日本 ä", "plain", "", None, "ǖ ǖ", "Ü" * 40 + "ä"]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "lang": ["de"] * 7 + ["fr"] * 7, "text": texts}), tmp_path / "documents.parquet")
+    name, own = "n15_repaired_charsets", duckdb.connect()
+    own.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    got = entry.queries()[name](spark, str(tmp_path)).toArrow()
+    assert check.table_rows(got) == check.table_rows(own.execute(entry.oracle_sql()[name]).to_arrow_table())
+    assert sum(got.column("n_cp1252").to_pylist()) < sum(got.column("n_cp866").to_pylist()) < sum(got.column("n_marked").to_pylist())
