@@ -345,3 +345,36 @@ def test_network_equals_plain_windows_and_its_gradient_is_right():
             before.filters[k][i, f] = kept
             slope = (slopes[0] - slopes[1]) / 2e-2
             assert abs(slope) < 1e-4 or np.sign(slope) == -np.sign(after.filters[k][i, f] - kept)
+
+
+def test_every_labelled_row_trains_and_calibrates(spark, monkeypatch):
+    rng = random.Random(5)
+    plain = ["stone", "river", "cloud", "wind"]
+    rows = [(k, " ".join([*rng.choices(plain, k=20), "foul" if k % 2 else "fair"]), "en", k % 2) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 1)  # bounds of the sampled form don't touch it
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 1)
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 30)
+    monkeypatch.setattr(toxicity, "LEARNER_BYTES", 30_000)  # several learners
+    seen, deals = [], []
+    inner, cuts = toxicity.epoch, toxicity.best_cuts
+    monkeypatch.setattr(toxicity, "epoch", lambda rows, *a: (seen.append(rows.count()), deals.append(rows.rdd.getNumPartitions()), inner(rows, *a))[-1])
+    monkeypatch.setattr(toxicity, "best_cuts", lambda rows: (seen.append(rows.where("lang = '*'").count()), cuts(rows))[-1])
+    got = toxicity.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()
+    known = sum(not r.held_out for r in got)
+    assert seen[0] + seen[-1] == known and len(set(seen[:-1])) == 1 and len(seen) == toxicity.EPOCHS + 1 and deals[0] >= 4
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+    assert sorted(got) == sorted(toxicity.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect())
+
+
+def test_cuts_in_slices_equal_the_plain_cut(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(lang), round(float(x), places), int(rng.random() < 1 / (1 + np.exp(-3 * x)))) for lang, (n, places) in enumerate([(1, 3), (2, 3), (40, 1), (500, 2), (300, 6)]) for x in rng.normal(0, 1, n)]
+    got = {r.lang: r for r in toxicity.best_cuts(spark.createDataFrame(rows, "lang string, logit double, toxic int")).collect()}
+    assert len(got) == 5
+    for lang, found in got.items():
+        logits, truth = (np.array([r[k] for r in rows if r[0] == lang]) for k in (1, 2))
+        wrong = lambda cut: int(((logits > cut) != (truth > 0)).sum())  # noqa: B023, E731
+        assert found.cut == pytest.approx(toxicity.best_cut(logits, truth.astype(np.float32))) and wrong(found.cut) == wrong(toxicity.best_cut(logits, truth))
+        assert (found.toxic, found.clean) == ((truth > 0).sum(), (truth <= 0).sum())
