@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wattframe.llm import kdshards, kneserney, langid, toxicity
 from wattframe.llm.text import text_buffers
@@ -177,6 +178,45 @@ def test_word_probabilities_follow_the_definition_and_fold_nothing(spark):
     assert sorted(r.words for r in found) == sorted(np.bincount(row, minlength=len(texts) + 2).tolist())
 
 
+def test_shards_find_the_perplexities_of_the_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "A", "12", "34", "é", "b,", "don't", "w%d" % rng.randint(0, 200)]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate([*texts, "", None, texts[0], "never seen"])], "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    sure = docs.where("doc_id % 3 > 0").select("doc_id")
+    marked = docs.select("text", (F.col("doc_id") % 3 > 0).alias("trusted") & ~langid.held_out(F.col("doc_id")))
+    model = kneserney._interpolated(kneserney.count_grams(marked.toDF("text", "trusted")), kneserney.WORDS, None).collect()
+    logp = {(r.w1, r.w2, r.w3): np.log(r.p) for r in model}
+    row, words = kneserney.word_grams(*text_buffers(pa.array(texts)))
+    want = defaultdict(list)
+    for k, g in zip(row.tolist(), words.tolist(), strict=True):
+        want[k].append(logp[tuple(g)])
+    # no codes but few, several branches of frequent words, small chunks and one or many shards change nothing
+    for codes, branch, shard, chunk in ((250_000, 1 << 40, 1 << 40, 3 << 20), (3, 50, 500, 2_000), (10, 100, 2_000, 700)):
+        for name, value in (("CODES", codes), ("BRANCH_TOKENS", branch), ("SHARD_BYTES", shard), ("CHUNK_BYTES", chunk)):
+            monkeypatch.setattr(kneserney, name, value)
+        got = {r.doc_id: r for r in kneserney.perplexities(docs, sure).collect()}
+        assert len(got) == len(texts) + 4 and got[150].perplexity is None and got[151].perplexity is None and got[152].perplexity == got[0].perplexity
+        for k, p in want.items():
+            assert got[k].words == len(p) and got[k].perplexity == pytest.approx(np.exp(-np.mean(p)), rel=1e-8)
+
+
+def test_passes_deal_each_gram_once_and_packed(spark, monkeypatch):
+    monkeypatch.setattr(kneserney, "SHARD_BYTES", 50_000)
+    rng = random.Random(10)
+    texts = [" ".join("w%d" % int(rng.paretovariate(0.7)) for _ in range(rng.randint(100, 400))) for _ in range(400)]
+    docs = spark.createDataFrame([(t, k % 4 == 0, b"%16d" % k) for k, t in enumerate(texts)], "text string, learn boolean, key binary").coalesce(1)
+    codes = kneserney.survey(docs)
+    grams = len(kneserney.word_grams(*text_buffers(pa.array(texts)))[0])
+    size = F.octet_length("codes") + F.octet_length("rare1") + F.octet_length("rare2") + F.octet_length("rare3")
+    passes = [kneserney.dealt_grams(docs, codes, part, 3).where("n > 0").agg(F.sum("n").alias("n"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).first() for part in range(3)]
+    assert sum(p.n for p in passes) == grams and max(p.n for p in passes) < 0.7 * grams
+    assert sum(p.rows for p in passes) < grams / 1000 and sum(p.bytes for p in passes) < 9 * grams  # a row of three words and a count has 24.6 bytes in the shuffle
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    kneserney.perplexities(docs.selectExpr("text", "'en' AS lang", "1L AS doc_id").limit(5), docs.selectExpr("1L AS doc_id").limit(1)).count()
+    assert spark.conf.get(name) == before
+
+
 def test_quality_of_awkward_rows(awkward, nothing):
     got = kneserney.quality(awkward, awkward.where("doc_id IN (1, 2, 10)").select("doc_id")).collect()
     assert len(got) == awkward.count()
