@@ -169,3 +169,61 @@ def test_scores_do_not_depend_on_which_words_are_frequent(spark, monkeypatch):
     common = {r.doc_id: r.score for r in py.scores(docs).collect()}
     monkeypatch.setattr(py, "FREQUENT", 1)  # no word has a code, so far words go as hashes, too
     assert {r.doc_id: r.score for r in py.scores(docs).collect()} == pytest.approx(common, rel=1e-6)
+
+
+def test_hot_words_learn_from_all_documents(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(invented(random.Random(9), 400))), PLAIN).coalesce(2)
+    whole = {r.doc_id: r for r in py.scores(docs).collect()}
+    monkeypatch.setattr(py, "RESTAURANT", 40)  # every word is hot, and so are all pairs and triples
+    monkeypatch.setattr(py, "SHARD_TOKENS", 1_000)
+    split = {r.doc_id: r for r in py.scores(docs).collect()}
+    for out in (True, False):
+        own = [d for d, r in whole.items() if r.held_out == out]
+        assert np.mean([abs(split[d].score - whole[d].score) / whole[d].n_tokens for d in own]) < 0.03  # sampling; parts by document: 0.07 and more
+
+
+def test_parts_of_hot_words_add_up(spark, monkeypatch):
+    monkeypatch.setattr(py, "RESTAURANT", 40)
+    texts = [*invented(random.Random(6), 300), *["w1 w2 w1 w2 w1 w2"] * 60, "w3 " * 500]
+    words = sorted({w for t in texts for w in t.split()} | {"unseen"})
+    probes = [f"w1 w2 {w}" for w in words] + ["w1 w2"]
+    docs = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)] + [(1000 + k, t, False) for k, t in enumerate(probes)], "doc_id long, text string, learn boolean").coalesce(1)
+    corpus = py.survey(docs)
+    corpus.shards = 7
+    dealt = py.dealt_tokens(docs, corpus).toArrow()
+    by = lambda rows, name, kinds: {k: rows.filter(py.pc.equal(rows.column(name), k)) for k in kinds}
+    shards = {k: rows for k, rows in by(dealt, "shard", range(7)).items() if py.pc.sum(rows.column("n")).as_py()}
+    sent = py.pa.concat_tables([py.first_round(rows, corpus) for rows in shards.values()])
+    replies = py.pa.concat_tables([py.root_round(rows, corpus) for rows in by(sent, "range", range(7)).values() if rows.num_rows])
+    totals = replies.filter(py.pc.equal(replies.column("shard"), -1)).to_pylist()
+    everyone = {"range": -1, **{c: [sum(x) for x in zip(*(r[c] for r in totals), strict=True)] for c in ("all_guests", "all_taken")}}
+    heard, sweep = [], py.Shard.sweep
+    monkeypatch.setattr(py.Shard, "sweep", lambda shard, *a: heard.append((shard, mean := sweep(shard, *a))) or mean)
+    for k, rows in shards.items():
+        py.second_round(rows, py.pa.concat_tables([by(replies, "shard", [k])[k], py.pa.Table.from_pylist([everyone], schema=replies.schema)]), corpus)
+
+    hashed = lambda w: {None: py.END, "^": py.START}.get(w) or py.text_tokens(*py.text_slices(py.pa.array([w])).__next__()[2:])[1][0]
+    number = {w: int(np.flatnonzero(corpus.hot == hashed(w))[0]) for w in ("^", *words, None) if hashed(w) in corpus.hot}
+    pairs, triples = Counter(), Counter()
+    for t in texts:
+        own = ["^", "^", *tokens(t)]
+        for far, near, w in zip(own, own[1:], own[2:], strict=False):
+            pairs[number.get(near), number.get(far)] += 1
+            triples[number.get(near), number.get(far), number.get(w)] += 1
+    kinds, several = len(corpus.hot), 0
+    for shard, _ in heard:
+        others = np.concatenate([shard.house_guests[shard.shared_houses], shard.type_guests[shard.shared_types]])
+        several += np.count_nonzero(others)
+        for key, own, other in zip(shard.keys.tolist(), shard.held[0], others, strict=True):
+            (near, far), w = divmod(key // (kinds + 1), kinds), key % (kinds + 1)
+            assert own + other == (pairs[near, far] if w == kinds else triples[near, far, w])
+    assert several > 100 and max(triples.values()) > 400
+
+    total = {}
+    for shard, mean in heard:
+        upper = shard.upper[shard.kind]
+        for k in np.flatnonzero((shard.hot[upper] == number["w2"]) & (shard.docs >> 1 >= len(texts))):
+            probe = (probes[(shard.docs[k] >> 1) - len(texts)].split() + [None])[2]
+            if shard.words[shard.word[upper[k]]] == hashed(probe):
+                total[probe] = mean[shard.kind[k]]
+    assert len(total) == len(probes) and abs(sum(total.values()) - 1) < 0.02
